@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import with_maybe
 from .storage import Scratch, partitions
 
 #: Rows that share one set of coded fingerprints.
@@ -146,9 +147,10 @@ def exact_groups(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text
     byte = F.conv(F.hex(F.expr("substring(bitmap, cast(slot div 8 as int) + 1, 1)")), 16, 10).cast("int")
     marked = scratch.put(rows.join(maps, ["chunk", "owner"], "left").select("row_id", "doc_id", "n_chars", "sha", (F.col("again") | F.coalesce(F.getbit(byte, F.col("slot") % 8) == 1, F.lit(False))).alias("suspect")), "marked")
 
-    suspects = marked.where("suspect").select(F.col("doc_id").alias("sid")).distinct()
-    # Byte verification: equal bytes meet in one group, a text that only shares a fingerprint does not.
-    texts = source.join(suspects, F.col("doc_id").eqNullSafe(F.col("sid")), "left_semi").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.regexp_replace(F.coalesce("text", F.lit("")), BLANK_PATTERN, "").alias("body"))
+    # Byte verification: equal bytes meet in one group, a text that only shares a fingerprint does not.  Only
+    # suspects, and the few rows that the filter takes for some, are read further and shuffled.
+    suspects = marked.where("suspect").select("doc_id").distinct()
+    texts = with_maybe(source, F.col("doc_id"), suspects).where("_maybe").select(F.regexp_replace(F.coalesce("text", F.lit("")), BLANK_PATTERN, "").alias("body"))
     verified = texts.groupBy("body").agg(F.count("*").alias("copies")).select(F.sha2(F.col("body").cast("binary"), 256).alias("hex"), "copies").where("copies > 1")
     best = F.max_by("row_id", F.struct("n_chars", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))), -F.col("row_id")))
     top = marked.where("suspect").groupBy(F.lower(F.hex("sha")).alias("hex")).agg(best.alias("keep_row"), F.count("*").alias("group_size"))
@@ -162,18 +164,19 @@ def exact_groups(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text
 def drop_exact_copies(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are found again by doc_id and SHA-256; where both repeat, one of the rows stays.
+    Ids without a dropped row pass unread; the others are settled by id and SHA-256, and where both
+    repeat, one of the rows stays.
     """
-    kept = exact_groups(docs, scratch, doc_id, text).where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    many = scratch.put(kept, "kept")
+    marked = scratch.put(exact_groups(docs, scratch, doc_id, text).select("doc_id", "kept", "text_sha256"), "marked")
+    # Ids with a dropped row, and their rows that stay: one for each digest.
+    gone = scratch.put(marked.where("not kept").select(F.col("doc_id").alias("_gid")).distinct(), "gone")
+    kept = marked.where("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("_gid")), "left_semi").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha")).distinct()
+    flagged = with_maybe(docs, F.col(doc_id), gone)
+    touched = flagged.where("_maybe")
+    untouched = flagged.where("not _maybe").select(*docs.columns)
+    other = touched.join(gone, touched[doc_id].eqNullSafe(gone["_gid"]), "left_anti").select(*docs.columns)
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANK_PATTERN, "").cast("binary"), 256)
-    tagged = docs.withColumn("_len", F.coalesce(F.length(text), F.lit(0))).withColumn("_sha", sha)
-    found = tagged.join(many, tagged[doc_id].eqNullSafe(many["_kid"]) & (F.col("_sha") == F.col("_ksha")), "left_semi")
-    repeats = docs.groupBy(F.col(doc_id).alias("_rid")).agg(F.count("*").alias("_n")).where("_n > 1").select("_rid")
-    repeats = scratch.put(repeats, "repeats")
-    if repeats.isEmpty():
-        return found.select(*docs.columns)
-    twice = found.join(repeats, found[doc_id].eqNullSafe(repeats["_rid"]), "left_semi")
-    one = twice.withColumn("_rn", F.row_number().over(Window.partitionBy(doc_id, "_sha").orderBy(F.desc("_len")))).where("_rn = 1")
-    rest = found.join(repeats, found[doc_id].eqNullSafe(repeats["_rid"]), "left_anti")
-    return rest.select(*docs.columns).unionByName(one.select(*docs.columns))
+    twice = touched.join(gone, touched[doc_id].eqNullSafe(gone["_gid"]), "left_semi").withColumn("_sha", sha).withColumn("_len", F.coalesce(F.length(text), F.lit(0)))
+    found = twice.join(kept, twice[doc_id].eqNullSafe(kept["_kid"]) & (F.col("_sha") == F.col("_ksha")), "left_semi")
+    one = found.withColumn("_rn", F.row_number().over(Window.partitionBy(doc_id, "_sha").orderBy(F.desc("_len")))).where("_rn = 1")
+    return untouched.unionByName(other).unionByName(one.select(*docs.columns))

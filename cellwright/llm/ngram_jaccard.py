@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .bloom import with_maybe
 from .components import connected_components
 from .storage import Scratch, partitions
 from .tiles import by_tile, forest, with_tiles
@@ -156,7 +158,8 @@ def near_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     # Only members of clusters are read again, once per class.
     members = scratch.put(clusters.join(sizes, "cluster").join(classes, "node").select("node", "cluster", "size", "n", "bands", F.col("first.doc_id").alias("rid")), "members")
-    texts = source.join(members.select("node", "rid"), source["doc_id"].eqNullSafe(F.col("rid"))).select("node", "text")
+    likely = with_maybe(source, F.col("doc_id"), members.select("rid")).where("_maybe")
+    texts = likely.join(members.select("node", "rid"), likely["doc_id"].eqNullSafe(F.col("rid"))).select("node", "text")
     grams = texts.mapInArrow(_shingled(words), "node binary, ok boolean, grams binary").where("ok").drop("ok")
     tiled = with_tiles(members.select("node", "cluster", "size", "n", "bands").join(grams, "node"), F.col("size"), F.col("node"), block_rows).select("cluster", "bi", "bj", "own", "node", "n", "bands", "grams")
 
@@ -241,14 +244,18 @@ def drop_near_copies(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     """
     marked = scratch.put(near_texts(docs, scratch, doc_id, text).select("doc_id", "node", "kept"), "marked")
     gone = scratch.put(marked.where("not kept").select(F.col("doc_id").alias("_id"), "node"), "gone")
-    clash = scratch.put(marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").join(gone.select(F.col("_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("_id")), "clash")
-    plain = docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
-    if clash.isEmpty() and not gone.where("_id is null").count():
+    repeated = marked.groupBy(F.col("doc_id").alias("_rid")).agg(F.count("*").alias("n")).where("n > 1")
+    clash = scratch.put(repeated.join(gone, F.col("_rid").eqNullSafe(F.col("_id")), "left_semi").select(F.col("_rid").alias("_id")), "clash")
+    flagged = with_maybe(docs, F.col(doc_id), gone.select("_id"))
+    likely = flagged.where("_maybe").drop("_maybe")
+    plain = flagged.where("not _maybe").drop("_maybe").unionByName(likely.join(gone, likely[doc_id].eqNullSafe(gone["_id"]), "left_anti"))
+    if clash.isEmpty():
         return plain
     # Repeated ids: keep, for each kept (id, words), one row.
     keep = marked.where("kept").join(clash, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), "node")
-    tagged = docs.join(clash, docs[doc_id].eqNullSafe(clash["_id"]), "left_semi").mapInArrow(_with_node(text), docs.schema.add("node", "binary"))
-    again = tagged.join(keep, tagged[doc_id].eqNullSafe(keep["_id"]) & tagged["node"].eqNullSafe(keep["node"]), "left_semi").dropDuplicates([doc_id, "node"])
+    node_schema = StructType([*docs.schema.fields, StructField("_node", BinaryType())])
+    tagged = docs.join(clash, docs[doc_id].eqNullSafe(clash["_id"]), "left_semi").mapInArrow(_with_node(text), node_schema)
+    again = tagged.join(keep, tagged[doc_id].eqNullSafe(keep["_id"]) & tagged["_node"].eqNullSafe(keep["node"]), "left_semi").dropDuplicates([doc_id, "_node"])
     return plain.unionByName(again.select(*docs.columns))
 
 
@@ -256,6 +263,6 @@ def _with_node(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined = [words_of(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in joined], pa.binary())], names=[*batch.schema.names, "node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in joined], pa.binary())], names=[*batch.schema.names, "_node"])
 
     return run

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import with_maybe
 from .storage import Scratch
 
 #: Kind, pattern, group whose length counts, least length.  Kinds rank in this order.
@@ -106,8 +107,11 @@ def redact(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     merged = runs.groupBy("uid", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_spans"))
     keyed = scratch.put(merged.join(rows, "uid").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans").dropDuplicates(["_id", "_key"]), "runs")
     cols = docs.columns
+    flagged = with_maybe(docs, F.col(doc_id), keyed.select("_id"))
+    clean = flagged.where("not _maybe").select(*cols)
+    docs = flagged.where("_maybe").drop("_maybe")
     held = docs.join(keyed, docs[doc_id].eqNullSafe(keyed["_id"]) & (F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == keyed["_key"]), "left")
     t = docs[text]
     parts = F.transform("_spans", lambda x, i: F.concat(F.substring(t, F.when(i == 0, 0).otherwise(F.get("_spans", i - 1)["e"]).cast("int") + 1, (x["s"] - F.when(i == 0, 0).otherwise(F.get("_spans", i - 1)["e"])).cast("int")), F.lit(MASK)))
     masked = F.concat(F.array_join(parts, ""), F.substring(t, F.element_at("_spans", -1)["e"].cast("int") + 1, F.length(t)))
-    return held.select(*[F.when(F.col("_spans").isNull(), t).otherwise(masked).alias(text) if c == text else docs[c] for c in cols])
+    return clean.unionByName(held.select(*[F.when(F.col("_spans").isNull(), t).otherwise(masked).alias(text) if c == text else docs[c] for c in cols]))
