@@ -37,8 +37,10 @@ def fold_events(events: DataFrame, conv: str = "conv_id") -> DataFrame:
     own = Window.partitionBy("conv", "turn")
     at = F.struct("seq", F.when(F.col("op") == "regenerate", 0).when(F.col("op") == "edit", 1).otherwise(2).alias("k"), F.coalesce("role", F.lit("")).alias("r"), F.col("text").alias("t"))
     e = e.withColumn("at", at).withColumn("void", F.max(F.when(F.col("op") == "regenerate", F.col("seq"))).over(cut)).where("void is null or seq > void")
+    # A turn keeps its role through resets, so it is taken from all events of the turn.
+    e = e.withColumn("last_role", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("at"))).over(own))
     e = e.withColumn("reset", F.max(F.when(F.col("op") != "delta", F.col("at"))).over(own)).where("reset is null or at >= reset")
-    turns = e.groupBy("conv", "turn").agg(F.array_sort(F.collect_list("at")).alias("log"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("at"))).alias("role"))
+    turns = e.groupBy("conv", "turn").agg(F.array_sort(F.collect_list("at")).alias("log"), F.first("last_role").alias("role"))
     body = F.array_join(F.transform(F.filter("log", lambda x: x["k"] != 0), lambda x: x["t"]), "")
     return turns.select(F.col("conv").alias(conv), "turn", F.coalesce("role", F.lit("")).alias("role"), body.alias("text"))
 
