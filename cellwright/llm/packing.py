@@ -27,6 +27,8 @@ from .storage import Scratch
 LENGTH, END_ID, MAX_QUEUES, BROADCAST_ROWS = 2048, 1, 1024, 200_000
 #: Words a worker remembers, in each of two generations.
 MEMO_WORDS = 500_000
+#: Windows whose counts are computed together.
+BLOCK = 512
 #: ASCII marks around a word; the apostrophe only after it, as it can start a pre-token with letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
@@ -229,17 +231,19 @@ def pack(docs: DataFrame, scratch: Scratch, encoder: Callable[[], Callable[[list
         base = F.broadcast(base)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[int, np.ndarray] = {}  # window -> counts before it
+        blocks: dict[int, np.ndarray] = {}  # counts before the windows of a block
+
+        def block(i: int) -> np.ndarray:
+            if i not in blocks:
+                if len(blocks) > 64:
+                    blocks.clear()
+                blocks[i] = plan.before((np.arange(BLOCK) + i * BLOCK) * length)
+            return blocks[i]
 
         def cuts(first: int, last: int) -> np.ndarray:
-            if new := [w for w in range(first, last + 1) if w not in cache]:
-                if len(cache) > 20_000:
-                    cache.clear()
-                    new = list(range(first, last + 1))
-                for a in range(0, len(new), 1024):
-                    for w, row in zip(new[a : a + 1024], plan.before(np.asarray(new[a : a + 1024]) * length), strict=True):
-                        cache[w] = row
-            return np.stack([cache[w] for w in range(first, last + 1)])
+            parts = [block(i) for i in range(first // BLOCK, last // BLOCK + 1)]
+            at = first - first // BLOCK * BLOCK
+            return (parts[0] if len(parts) == 1 else np.concatenate(parts))[at : at + last - first + 1]
 
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
@@ -249,11 +253,16 @@ def pack(docs: DataFrame, scratch: Scratch, encoder: Callable[[], Callable[[list
         docs_, starts, lengths, crcs, tokens, seqs, offsets, kept = [], [], [], [], [], [], [], []
         for queue, base_, before, doc, n, ids in zip(*[batch.column(c).to_pylist() for c in ("queue", "base", "before", "doc_id", "n", "ids")], strict=True):
             s, lo, raw = index[queue], base_ + before, _wide(ids)
-            first, last = _window(plan, s, lo, length), _window(plan, s, lo + n - 1, length)
-            table = cuts(max(0, first - 1), last + 2)
+            # The closed form gives the windows but for ties; the exact counts settle them.
+            first, last = (int(plan._due(np.asarray([(t + 0.5) / plan.rate[s]])).sum()) // length for t in (lo, lo + n - 1))
+            first, last = max(0, first - 1), last + 2
+            table = cuts(first, last)
+            while table[0, s] > lo or table[-1, s] < lo + n:
+                first, last = max(0, first - 1), last + 1
+                table = cuts(first, last)
             own = table[:, s]
             a = int(np.searchsorted(own, lo, side="right")) - 1
-            w = max(0, first - 1) + a
+            w = first + a
             at = 0
             while at < n:
                 take = min(n - at, int(own[a + 1]) - (lo + at))
@@ -273,17 +282,6 @@ def pack(docs: DataFrame, scratch: Scratch, encoder: Callable[[], Callable[[list
     return coded.join(base, ["part", "queue"]).select("queue", "base", "before", "doc_id", "n", "ids").mapInArrow(place, out)
 
 
-def _window(plan: Schedule, s: int, token: int, length: int) -> int:
-    """The window of a queue's token: slots due before it, by the closed form, refined to the exact count."""
-    p = np.asarray([(token + 0.5) / plan.rate[s]])
-    guess = min(int(plan._due(p).sum()), plan.total - 1) // length
-    while plan.before(np.asarray([guess * length]))[0, s] > token:
-        guess -= 1
-    while plan.before(np.asarray([(guess + 1) * length]))[0, s] <= token:
-        guess += 1
-    return guess
-
-
 def padded_length(used: int, length: int = LENGTH) -> int:
     """A sequence is padded to ``length`` unless its own length is a power of two."""
     return used if used and used & (used - 1) == 0 else length
