@@ -882,3 +882,144 @@ def sliding_window(spark, sf_dir):
 @query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 def session_window(spark, sf_dir):
     return _ev(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# Study and integration operators ---------------------------------------------------------------------
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, source, CASE WHEN source = 'b' AND p_size > 30 THEN NULL ELSE CASE source WHEN 'a' THEN CAST(p_size AS DOUBLE) ELSE p_size * 10.0 END END AS res, CASE WHEN source = 'b' AND p_size > 30 THEN 'LEFT' ELSE 'EXACT' END AS res_kind, CASE source WHEN 'a' THEN 'SAME_UNIT' ELSE 'CONVERTED' END AS res_status FROM part, (SELECT unnest(['a', 'b']) AS source)")
+def integrate_sources(spark, sf_dir):
+    from .operators.integration import Target, integrate
+
+    p = table(spark, sf_dir, "part")
+    a = Dataset(p.select("p_partkey", F.col("p_size").cast("string").alias("v")))
+    b = Dataset(p.select("p_partkey", F.when(F.col("p_size") > 30, F.concat(F.lit("<"), F.col("p_size").cast("string"))).otherwise(F.col("p_size").cast("string")).alias("w")))
+    out = integrate({"a": a, "b": b}, [Target("res", "mg/L", {"a": {"column": "v", "unit": "mg/L"}, "b": {"column": "w", "unit": "mg/dL"}})], ["p_partkey"])
+    return out.select("p_partkey", "source", F.round("res", 6).alias("res"), "res_kind", "res_status")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '<' ELSE '' END || CAST(p_size AS VARCHAR) || '00' AS out FROM part")
+def unit_exact(spark, sf_dir):
+    from .functions.units import convert
+
+    cell = F.concat(F.when(F.col("p_size") % 4 == 0, "<").otherwise(""), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(convert(cell, "g/dL", "g/L"), F.lit("0")).alias("out"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'cancelled' WHEN o_orderkey % 4 = 1 THEN 'final' ELSE 'open' END AS word FROM orders")
+def category_normalize(spark, sf_dir):
+    from .operators.integration import normalise_words
+
+    raw = F.element_at(F.array(F.lit("2"), F.lit(" FINAL "), F.lit("2"), F.lit("pending")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    df = orders(spark, sf_dir).df.select("o_orderkey", raw.alias("word"), F.when(F.col("o_orderkey") % 4 == 0, "x").otherwise("y").alias("src"))
+    return normalise_words(df, "word", {"final": ["done"], "open": ["pending"]}, {"x": {"2": "cancelled"}, "y": {"2": "open"}}, "src").select("o_orderkey", "word")
+
+
+@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'STATUS_NOT_ACCEPTED' WHEN o_totalprice > 200000 THEN 'ABOVE' END AS reason FROM orders) GROUP BY reason")
+def result_status(spark, sf_dir):
+    from .operators.integration import result_status as status
+
+    _, why = status(F.col("o_orderstatus"), ["f", "o"], [(F.col("o_totalprice") > 200000, "ABOVE"), (~F.col("o_orderstatus").isin("F", "O"), "STATUS_NOT_ACCEPTED")])
+    return orders(spark, sf_dir).df.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT concat_ws(';', CASE WHEN o_orderstatus <> 'F' THEN 'METHOD_MISMATCH' END, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' OR o_orderdate >= TIMESTAMP '1997-01-01' THEN 'OUTSIDE_VALIDITY' END) AS why, count(*) AS n FROM orders GROUP BY 1")
+def measurement_context(spark, sf_dir):
+    from .operators.integration import measurement_context as context
+
+    return orders(spark, sf_dir).df.groupBy(context({"method": (F.col("o_orderstatus"), "F")}, F.col("o_orderdate"), "1995-01-01", "1997-01-01").alias("why")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT g AS \"group\", count(*) AS rows, count(x) AS n, 0 AS missing, count(*) FILTER (sign <> '') AS censored, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, round(quantile_cont(x, 0.25), 6) AS q1, round(median(x), 6) AS median, round(quantile_cont(x, 0.75), 6) AS q3, min(x) AS min, max(x) AS max, round(100 * stddev_samp(x) / abs(avg(x)), 6) AS cv_pct, round(exp(avg(ln(x))), 6) AS geo_mean, round(exp(stddev_samp(ln(x))), 6) AS geo_sd FROM (SELECT *, CASE WHEN sign = '' THEN num END AS x FROM " + _CMP + ", (SELECT unnest(['all', 'R']) AS g) WHERE g = 'all' OR l_returnflag = 'R') GROUP BY g")
+def sample_summary(spark, sf_dir):
+    from .operators.study import sample_summary as summary
+
+    out = summary(bounded(spark, sf_dir), {"all": F.lit(True), "R": F.col("l_returnflag") == "R"}, "res")
+    return out.withColumn("missing", F.col("missing").cast("int"))
+
+
+@query("SELECT CAST(b.bin AS INT) AS bin, count(value) AS n FROM (SELECT unnest(range(0, 10)) AS bin) b LEFT JOIN (SELECT value, least(floor(value / 50), 9) AS bin FROM events WHERE value BETWEEN 0 AND 500) e ON e.bin = b.bin GROUP BY 1")
+def planned_histogram(spark, sf_dir):
+    from .operators.study import fixed_histogram
+
+    return fixed_histogram(_ev(spark, sf_dir), F.col("value"), 0, 500, 10)
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (value < 1 OR value > 400) AS outside, round(count(*) FILTER (value < 1 OR value > 400) / count(*), 6) AS share, CASE WHEN count(*) FILTER (value < 1 OR value > 400) / count(*) <= 0.1 THEN 'ACCEPT' ELSE 'REVIEW' END AS verdict FROM events GROUP BY event_type")
+def ri_verification(spark, sf_dir):
+    from .operators.study import share_outside
+
+    e = _ev(spark, sf_dir)
+    return share_outside(e, e.select("event_type").distinct().select("event_type", F.lit(1.0).alias("low"), F.lit(400.0).alias("high")), ["event_type"], F.col("value"))
+
+
+_CENTRAL = "(SELECT event_type, CAST(user_id % 3 AS VARCHAR) AS g, quantile_cont(value, 0.025) AS a, quantile_cont(value, 0.975) AS b FROM events GROUP BY 1, 2)"
+
+
+@query(f"SELECT x.event_type, x.g AS group_a, y.g AS group_b, round(greatest(least(x.b, y.b) - greatest(x.a, y.a), 0) / (greatest(x.b, y.b) - least(x.a, y.a)), 6) AS overlap FROM {_CENTRAL} x JOIN {_CENTRAL} y ON x.event_type = y.event_type AND x.g < y.g")
+def ri_overlap(spark, sf_dir):
+    from .operators.study import interval_overlap
+
+    return interval_overlap(_ev(spark, sf_dir), ["event_type"], F.col("user_id") % 3, F.col("value"))
+
+
+@query("SELECT group_a, group_b, n_a, n_b, round(w, 6) AS rank_sum, round((w - n_a * (n_a + n_b + 1) / 2.0) / sqrt(n_a::DOUBLE * n_b * (n_a + n_b + 1) / 12), 6) AS z FROM (SELECT '0' AS group_a, '1' AS group_b, count(*) FILTER (g = 0) AS n_a, count(*) FILTER (g = 1) AS n_b, sum(r) FILTER (g = 0) AS w FROM (SELECT user_id % 2 AS g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM events))")
+def wilcoxon_partition(spark, sf_dir):
+    from .operators.study import wilcoxon_partition as wilcoxon
+
+    return wilcoxon(_ev(spark, sf_dir), F.col("user_id") % 2, F.col("value"))
+
+
+@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'NO_VALUE' WHEN event_id % 5 = 0 THEN 'NO_SITE' ELSE 'INCLUDED' END AS reason FROM events) GROUP BY reason")
+def input_audit(spark, sf_dir):
+    from .operators.study import input_audit as audit
+
+    return audit(_holes(spark, sf_dir).df, [("NO_VALUE", F.col("value").isNull()), ("NO_SITE", F.col("site").isNull())])
+
+
+@query("SELECT event_type, site, count(*) AS n, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM (SELECT event_type, user_id % 3 AS site, value FROM events) GROUP BY ROLLUP (event_type, site)")
+def ri_partition_sets(spark, sf_dir):
+    from .operators.study import partition_sets
+
+    return partition_sets(_ev(spark, sf_dir).withColumn("site", F.col("user_id") % 3), ["event_type", "site"], F.col("value"))
+
+
+@query("SELECT event_type, count(value) AS n FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS m, stddev_samp(value) OVER (PARTITION BY event_type) AS s FROM events) WHERE abs(value - m) <= 2 * s GROUP BY event_type")
+def gaussian_trim(spark, sf_dir):
+    from .operators.study import gaussian_trim as trim
+
+    return trim(_ev(spark, sf_dir), ["event_type"], F.col("value"), 2.0, 1).groupBy("event_type").agg(F.count("value").alias("n"))
+
+
+@query("SELECT 'o_totalprice' AS \"column\", count(*) AS compared, count(*) FILTER (o_orderkey % 7 <> 0) AS equal, count(*) FILTER (o_orderkey % 7 = 0) AS unequal FROM orders")
+def evaluate_outputs(spark, sf_dir):
+    from .operators.integration import compare_outputs
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return compare_outputs(o, o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), "o_orderkey")
+
+
+@query()
+def ri_normality(spark, sf_dir):
+    from .operators.study import normality
+
+    return normality(_ev(spark, sf_dir), ["event_type"], F.col("value"))
+
+
+@query()
+def ri_shape(spark, sf_dir):
+    from .operators.study import shape
+
+    return shape(_ev(spark, sf_dir), ["event_type"], F.col("value"))
+
+
+@query()
+def least_squares(spark, sf_dir):
+    fit = statistics.least_squares(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_suppkey")
+    return spark.createDataFrame(fit.round(6))
+
+
+@query()
+def group_test(spark, sf_dir):
+    got = statistics.group_test(_labelled(spark, sf_dir), F.col("quality"), F.col("n_chars"))
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in got.items()], "statistic string, value double")
