@@ -1023,3 +1023,28 @@ def least_squares(spark, sf_dir):
 def group_test(spark, sf_dir):
     got = statistics.group_test(_labelled(spark, sf_dir), F.col("quality"), F.col("n_chars"))
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in got.items()], "statistic string, value double")
+
+
+@query("SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS DOUBLE) AS w, CASE WHEN c_custkey % 6 = 0 THEN '<5.0' WHEN c_custkey % 3 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS v_cens FROM customer")
+def survey_prepare(spark, sf_dir):
+    from .operators.starting import prepare_survey
+
+    c = table(spark, sf_dir, "customer")
+    m = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit(2.0).alias("w"), F.col("c_nationkey").alias("v"), F.when(F.col("c_custkey") % 6 == 0, "1").otherwise("0").alias("f"))
+    return prepare_survey(c.select("c_custkey"), m, "c_custkey", "w", {"v": ("f", "1", 5.0)}).select("c_custkey", "w", "v_cens")
+
+
+@query("SELECT source, 'sex' AS \"column\", 'SEX_CODE' AS issue, 'q' AS value, count(*) AS n FROM (SELECT o_orderstatus AS source FROM orders WHERE o_custkey % 3 = 1) GROUP BY source")
+def init_review(spark, sf_dir):
+    from .operators.starting import review
+
+    df = table(spark, sf_dir, "orders").select("o_orderstatus", F.when(F.col("o_custkey") % 3 == 1, "q").otherwise("M").alias("sex"))
+    return review(Dataset(df, {"sex": ("SEX",)}), "o_orderstatus")
+
+
+@query("SELECT o_orderkey, CASE o_custkey % 2 WHEN 0 THEN 'female' ELSE 'male' END AS sex, CAST(o_custkey % 90 AS VARCHAR) AS age FROM orders")
+def init_options(spark, sf_dir):
+    from .operators.starting import apply_options
+
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 2).cast("string").alias("sex"), F.concat((F.col("o_custkey") % 90).cast("string"), F.lit(" yr")).alias("age"))
+    return apply_options(Dataset(df, {"sex": ("SEX",), "age": ("AGE",)}), {"SEX_CODES": {"0": "female", "1": "male"}, "AGE": "integer"}).df.select("o_orderkey", "sex", "age")

@@ -83,3 +83,20 @@ def test_catalogue_equals_sql(spark, name):
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     assert sorted(repr(tuple(r[i] for i in order)) for r in got.fetchall()) == rows
+
+
+def test_presets_and_reports(spark, tmp_path):
+    from cellwright.operators import starting
+    from cellwright.sources import reports
+
+    ds = Dataset(spark.createDataFrame([("p", "GLU", "1", "M")], "patient string, test string, result string, sex string"))
+    assert starting.bind_roles(ds) == {"patient": "patient", "test": "test", "result": "result", "sex": "sex"}
+    out = starting.apply_preset(ds)
+    assert "RESULT" in out.tags["result"] and out.meta["WORKS"]["DEFAULT"][-1] == "EDA"
+    moved = starting.place_tags(out)
+    assert moved.meta["COLUMN"]["sex"]["TAGS"] == ["SEX"] and moved.tags == {}
+    root = reports.write_report({"a/b": ds.df}, str(tmp_path / "r"), archive=True)
+    assert {p.name for p in root.iterdir()} == {"a_b.csv", "report.html", "report.docx", "warnings.txt", "manifest.json"} and root.with_suffix(".zip").exists()
+    qc = spark.createDataFrame([("g", r, r, m, float(v)) for r in range(6) for m, v in (("L1", r), ("L2", 10 - r))], "grp string, run int, order int, material string, v double")
+    got = starting.qc_workflow(qc, ["grp"], "run", "order", "v")
+    assert got["review"].count() == 6 and got["precision"].count() == 2
