@@ -94,10 +94,11 @@ _OP1 = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 c AS (SELECT min(doc_id) AS cid, count(*) AS n, w FROM t WHERE len(w) > 0 GROUP BY w),
-g AS (SELECT cid, n, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(array_to_string(w[i : i + 4], ' ')))) AS g FROM c),
-u AS (SELECT cid, unnest(g) AS x FROM g),
+e AS (SELECT cid, len(w) AS m, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM c),
+u AS MATERIALIZED (SELECT DISTINCT cid, x FROM (SELECT cid, i, m, hash(x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS x FROM e WINDOW o AS (PARTITION BY cid ORDER BY i)) WHERE i <= greatest(m - 4, 1)),
+z AS MATERIALIZED (SELECT cid, count(*) AS k FROM u GROUP BY cid),
 p AS (SELECT a.cid AS a, b.cid AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.cid <> b.cid GROUP BY 1, 2),
-l AS (SELECT p.a, p.b, h.n FROM p JOIN g f ON f.cid = p.a JOIN g h ON h.cid = p.b WHERE k >= 0.8 * (len(f.g) + len(h.g) - k) - 1e-9),
+l AS MATERIALIZED (SELECT p.a, p.b, c.n FROM p JOIN z f ON f.cid = p.a JOIN z h ON h.cid = p.b JOIN c ON c.cid = p.b WHERE p.k >= 0.8 * (f.k + h.k - p.k) - 1e-9),
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 s AS (SELECT a, least(a, min(b)) AS grp FROM r GROUP BY a),
 k AS (SELECT a, sum(n) AS links FROM l GROUP BY a)
