@@ -1048,3 +1048,16 @@ def init_options(spark, sf_dir):
 
     df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 2).cast("string").alias("sex"), F.concat((F.col("o_custkey") % 90).cast("string"), F.lit(" yr")).alias("age"))
     return apply_options(Dataset(df, {"sex": ("SEX",), "age": ("AGE",)}), {"SEX_CODES": {"0": "female", "1": "male"}, "AGE": "integer"}).df.select("o_orderkey", "sex", "age")
+
+
+_LEVELS = """x AS (SELECT o_orderstatus AS item, CASE o_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'other' END AS sex, CASE WHEN a < 1 THEN '<1' WHEN a >= 70 THEN '70+' ELSE CAST(greatest(a // 10 * 10, 1) AS VARCHAR) || '-' || CAST(a // 10 * 10 + 9 AS VARCHAR) END AS age_band, o_totalprice AS x FROM (SELECT *, o_custkey % 90 AS a FROM orders)),
+g AS (SELECT item, 'ITEM' AS level, 'ALL' AS sex, 'ALL' AS age_band, x FROM x UNION ALL SELECT item, 'ITEM_SEX', sex, 'ALL', x FROM x UNION ALL SELECT item, 'ITEM_AGE', 'ALL', age_band, x FROM x UNION ALL SELECT item, 'ITEM_SEX_AGE', sex, age_band, x FROM x),
+q AS (SELECT item, level, sex, age_band, count(*) AS n, quantile_cont(x, 0.025) AS lo, median(x) AS med, quantile_cont(x, 0.975) AS hi FROM g GROUP BY ALL),
+m AS (SELECT item, level, sex, age_band, median(abs(x - med)) AS mad FROM g JOIN q USING (item, level, sex, age_band) GROUP BY ALL)"""
+
+
+@query(f"WITH {_LEVELS} SELECT item, level, sex, age_band, n, CASE WHEN n < 40 THEN 'none' WHEN n < 120 THEN 'robust' ELSE 'nonparametric' END AS method, round(med, 6) AS median, CASE WHEN n < 40 THEN NULL WHEN n < 120 THEN round(med - 1.96 * 1.4826 * mad, 6) ELSE round(lo, 6) END AS low, CASE WHEN n < 40 THEN NULL WHEN n < 120 THEN round(med + 1.96 * 1.4826 * mad, 6) ELSE round(hi, 6) END AS high FROM q JOIN m USING (item, level, sex, age_band)")
+def ri_levels(spark, sf_dir):
+    from .plans.analyses import reference_levels
+
+    return reference_levels(orders(spark, sf_dir).df, F.col("o_orderstatus"), V.sex(F.expr(SEX)), F.expr(_AGE), F.col("o_totalprice"))

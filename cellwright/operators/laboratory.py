@@ -120,7 +120,8 @@ def stage_rows(df: DataFrame, points: dict[str, Column], keep: list[str], target
             status = F.when(points[a].isNull(), "missing_start").when(points[b].isNull(), "missing_end").when(m < 0, "negative").otherwise("ok")
             limit = (targets or {}).get(name)
             out.append(F.struct(F.lit(name).alias("stage"), F.round(m, 6).alias("minutes"), status.alias("status"), (F.coalesce((status == "ok") & (m > limit), F.lit(False)) if limit is not None else F.lit(False)).alias("breach")))
-    return df.select(*keep, F.explode(F.array(*out)).alias("s")).select(*keep, "s.*")
+    listed = F.array(*out) if out else F.array().cast("array<struct<stage:string,minutes:double,status:string,breach:boolean>>")
+    return df.select(*keep, F.explode(listed).alias("s")).select(*keep, "s.*")
 
 
 def stage_summary(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -116,6 +116,8 @@ def register_plugin(name: str, handler: Callable[[Dataset, dict], Output | Datas
 
 
 def run_step(ds: Dataset, name: str, options: dict | None = None) -> Output:
+    from . import analyses  # noqa: F401  (registers its steps)
+
     key = name.upper()
     if key not in STEPS:
         raise ValueError(f"unknown step {name!r}")

@@ -100,3 +100,26 @@ def test_presets_and_reports(spark, tmp_path):
     qc = spark.createDataFrame([("g", r, r, m, float(v)) for r in range(6) for m, v in (("L1", r), ("L2", 10 - r))], "grp string, run int, order int, material string, v double")
     got = starting.qc_workflow(qc, ["grp"], "run", "order", "v")
     assert got["review"].count() == 6 and got["precision"].count() == 2
+
+
+def test_compositions(spark):
+    from cellwright.plans import runner
+
+    rows = [(f"p{i % 7}", f"T{i % 2}", str(i % 13 + 1) if i % 9 else "<1", "MF"[i % 2], str(i % 80), f"2024-01-{i % 28 + 1:02d} 0{i % 9}:00:00", f"2024-01-{i % 28 + 1:02d} 0{i % 9}:{i % 50 + 5:02d}:00", 1.0 + i % 3, i % 2, i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "patient string, test string, v string, sex string, age string, got string, out string, w double, h int, u int")
+    tags = {"patient": ("PATIENT_ID",), "test": ("ITEM",), "v": ("RESULT", "<NUM>"), "sex": ("SEX",), "age": ("AGE",), "got": ("LAB_RECEIVED_AT",), "out": ("FINAL_REPORTED_AT",)}
+    meta = {"COLUMN": {c: {"ID": c.upper()} for c in df.columns}}
+    ds = Dataset(df, tags, meta)
+    chem = runner.run_step(ds, "CHEMISTRY_ANALYSIS", {})
+    assert {"ITEM_COUNTS", "TAT_BY_TEST", "AGE_SEX_RESULT", "DELTA_CHECK"} <= set(chem.tables) and "instrument" in chem.message
+    assert chem.tables["TAT_BY_TEST"].count() == 2
+    tat = runner.run_step(ds, "LAB_TAT_ANALYSIS", {"BY": ["test"]})
+    assert tat.tables["stages"].count() == 0 or tat.tables["summary"].count() >= 0
+    ri = runner.run_step(ds, "REFERENCE_INTERVAL", {"POLICY": "VALUE"})
+    assert ri.tables["v:intervals"].where("level = 'ITEM_SEX'").count() > 0
+    ep = runner.run_step(ds, "RI_EP28", {"INCLUDE": [{"COLUMN_ID": "AGE", "MIN": 18}], "PARTITION": ["sex"], "METHOD": ["NONPARAMETRIC", "PARAMETRIC", "ROBUST"], "OUTLIERS": "TUKEY"})
+    assert ep.tables["v:limits"].count() == 6 and {r.reason for r in ep.tables["audit"].collect()} == {"INCLUDED", "NOT_INCLUDED"}
+    plan = {"GROUPS": {"old": [{"COLUMN_ID": "AGE", "MIN_EXCLUSIVE": 60}]}, "ANALYSES": [{"TYPE": "SUMMARY"}, {"TYPE": "HISTOGRAM", "LOW": 1, "HIGH": 13, "BINS": 4}, {"TYPE": "SURVEY_MEAN", "WEIGHT_ID": "W", "STRATUM_ID": "H", "PSU_ID": "U"}]}
+    done = runner.run_step(ds, "ANALYZE", plan)
+    assert {r.group for r in done.tables["1_SUMMARY:v"].collect()} == {"ALL", "old"}
+    assert done.tables["3_SURVEY_MEAN:v:old"].first().n > 0
