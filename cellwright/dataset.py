@@ -95,8 +95,8 @@ class Dataset:
 def number_rows(df: DataFrame, *order: str) -> DataFrame:
     """Add ``__row_id`` in the order of a declared unique key.
 
-    Range partitions are counted first, so that numbering needs no single-task sort: each partition
-    starts after the rows of those before it.
+    Range partitions are sorted each for itself; their numbers rise with the key and leave gaps, so
+    that no single task sees all rows.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     return parts.withColumn(ROW, F.col("_m")).drop("_p", "_m")

@@ -77,11 +77,31 @@ def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> D
     return out
 
 
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: list[str] = (), descending: bool = False, buckets: int = 128) -> DataFrame:
+    """Running totals ``sums`` (column -> name) in the order of a numeric column with distinct values in each group.
+
+    Without groups a plain window would sort all rows in one task.  Here approximate quantiles cut the order into buckets;
+    each bucket adds its own running total to the total of the buckets before it (a table of at most ``buckets`` rows).
+    """
+    step = F.col(order).desc() if descending else F.col(order).asc()
+    if by:
+        w = Window.partitionBy(*by).orderBy(step)
+        return df.withColumns({n: F.sum(c).over(w) for c, n in sums.items()})
+    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("_cuts"))
+    at = F.coalesce(F.size(F.filter("_cuts", lambda v: v < F.col(order))), F.lit(0))
+    cut = df.crossJoin(F.broadcast(cuts)).withColumn("_b", -at if descending else at).drop("_cuts")  # one row
+    every = cut.groupBy("_b").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums)])
+    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.select("_b", *[F.coalesce(F.sum(f"_s{i}").over(ahead), F.lit(0)).alias(f"_a{i}") for i in range(len(sums))])
+    w = Window.partitionBy("_b").orderBy(step)
+    out = cut.join(F.broadcast(before), "_b").withColumns({n: F.col(f"_a{i}") + F.sum(c).over(w) for i, (c, n) in enumerate(sums.items())})
+    return out.drop("_b", *[f"_a{i}" for i in range(len(sums))])
+
+
 def average_rank(df: DataFrame, column: str, name: str, by: list[str] = ()) -> DataFrame:
     """Ranks over distinct values, so that only one row per value is sorted, joined back to the rows."""
-    d = df.groupBy(*by, column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(column))
-    return df.join(d.select(*by, column, (upto - (F.col("_n") - 1) / 2).alias(name)), [*by, column])
+    d = running_sums(df.groupBy(*by, column).agg(F.count("*").alias("_n")), column, {"_n": "_upto"}, by)
+    return df.join(d.select(*by, column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), [*by, column])
 
 
 def kendall(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -95,10 +115,9 @@ def kendall(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 def roc_curve(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """One row per distinct score: sensitivity and specificity of score >= threshold, and Youden's index."""
     g = df.select(score.cast("double").alias("t"), positive.cast("int").alias("p")).where("t is not null and p is not null").groupBy("t").agg(F.sum("p").alias("pos"), F.sum(1 - F.col("p")).alias("neg"))
-    total = F.broadcast(g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))  # one row
-    w = Window.orderBy(F.desc("t"))
-    c = g.crossJoin(total).select("t", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), "P", "N")
-    sens, spec = F.col("tp") / F.col("P"), 1 - F.col("fp") / F.col("N")
+    total = F.broadcast(g.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")))  # one row
+    c = running_sums(g, "t", {"pos": "tp", "neg": "fp"}, descending=True).crossJoin(total)
+    sens, spec = F.col("tp") / F.col("all_pos"), 1 - F.col("fp") / F.col("all_neg")
     return c.select(F.col("t").alias("threshold"), F.round(sens, 6).alias("sensitivity"), F.round(spec, 6).alias("specificity"), F.round(sens + spec - 1, 6).alias("youden"))
 
 
