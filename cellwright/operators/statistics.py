@@ -35,6 +35,41 @@ def bland_altman(pairs: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "n", F.round("m", 6).alias("bias"), F.round("s", 6).alias("sd"), F.round(F.col("m") - 1.96 * F.col("s"), 6).alias("low"), F.round(F.col("m") + 1.96 * F.col("s"), 6).alias("high"))
 
 
+def t_quantile_column(p: float, df: Column) -> Column:
+    """Student quantile for a column of degrees of freedom: Arrow batches over small result tables."""
+
+    @F.pandas_udf("double")
+    def q(s: pd.Series) -> pd.Series:
+        known = {v: S.t_quantile(p, float(v)) for v in s.dropna().unique() if v > 0}
+        return s.map(known).astype("float64")
+
+    return q(df.cast("double"))
+
+
+def mean_bias(pairs: DataFrame, by: list[str], confidence: float = 0.95) -> DataFrame:
+    """Mean difference with its t interval, absolute and in percent of the first method's mean."""
+    d = F.col("y") - F.col("x")
+    g = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"), F.avg("x").alias("mx"))
+    half = t_quantile_column((1 + confidence) / 2, F.col("n") - 1) * F.col("s") / F.sqrt("n")
+    r = lambda c, a: F.round(c, 6).alias(a)
+    return g.withColumn("h", half).select(*by, "n", r(F.col("m"), "bias"), r(F.when(F.col("mx") != 0, 100 * F.col("m") / F.col("mx")), "bias_pct"), r(F.col("m") - F.col("h"), "low"), r(F.col("m") + F.col("h"), "high"))
+
+
+def predicted_bias(fit: DataFrame, points: list[float]) -> DataFrame:
+    """What a fitted line (slope, intercept) says of the difference at given concentrations."""
+    at = F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("at")
+    b = F.col("intercept") + (F.col("slope") - 1) * F.col("at")
+    return fit.select("*", at).withColumn("bias", F.round(b, 6)).withColumn("bias_pct", F.round(F.when(F.col("at") != 0, 100 * b / F.col("at")), 6))
+
+
+def method_comparison(df: DataFrame, keys: list[str], by: list[str], method: str, value: Column, a: str, b: str, points: list[float] = (), ratio: float = 1.0) -> dict[str, DataFrame]:
+    """All tables of a comparison of two methods over one paired base."""
+    pairs = pair_methods(df, list(dict.fromkeys([*by, *keys])), method, value, a, b)
+    lines = {"deming": deming(pairs, by, ratio), "passing_bablok": passing_bablok(pairs, by)}
+    out = {"pairs": pairs, **lines, "bland_altman": bland_altman(pairs, by), "bias": mean_bias(pairs, by)}
+    return out | {f"{k}_predicted": predicted_bias(t, list(points)) for k, t in lines.items() if points}
+
+
 def passing_bablok(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Shifted median of all pairwise slopes, and the median intercept.
 

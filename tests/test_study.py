@@ -123,3 +123,21 @@ def test_compositions(spark):
     done = runner.run_step(ds, "ANALYZE", plan)
     assert {r.group for r in done.tables["1_SUMMARY:v"].collect()} == {"ALL", "old"}
     assert done.tables["3_SURVEY_MEAN:v:old"].first().n > 0
+
+
+def test_method_comparison(spark):
+    from cellwright.operators import intervals, statistics
+
+    rows = [(f"s{i}", m, "g", float(i) if m == "A" else 1.1 * i + 2 + (i % 3 - 1) * 0.01) for i in range(1, 41) for m in "AB"] + [("s99", "A", "g", 5.0)]
+    df = spark.createDataFrame(rows, "sample string, method string, item string, v double")
+    got = statistics.method_comparison(df, ["sample"], ["item"], "method", F.col("v"), "A", "B", [10.0, 0.0])
+    assert got["pairs"].count() == 40
+    d, b = got["deming"].first(), got["bias"].first()
+    assert d.slope == pytest.approx(1.1, abs=0.01) and d.intercept == pytest.approx(2, abs=0.05)
+    x = np.asarray([0.1 * i + 2 + (i % 3 - 1) * 0.01 for i in range(1, 41)])
+    half = 2.022691 * x.std(ddof=1) / np.sqrt(40)
+    assert (b.bias, b.low, b.high) == pytest.approx((x.mean(), x.mean() - half, x.mean() + half), abs=1e-5)
+    at = {r.at: (r.bias, r.bias_pct) for r in got["passing_bablok_predicted"].collect()}
+    assert at[10.0][0] == pytest.approx(3.0, abs=0.05) and at[0.0][1] is None
+    t = intervals.tail_confidence(intervals.tails(df, ["item"], F.col("v"), 2, 40)).first()
+    assert t.below_ci.low < t.below_share < t.below_ci.high
