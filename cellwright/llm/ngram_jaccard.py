@@ -28,6 +28,8 @@ from .tiles import by_tile, forest, with_tiles
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Classes in a block.
 BLOCK_ROWS = 256
+#: N-grams of a class, on average, in a full block; long texts get blocks of fewer classes.
+BLOCK_GRAMS = 4096
 #: White space between words.
 BLANKS = b" \t\n\x0b\x0c\r"
 _BLANK = np.zeros(256, dtype=bool)
@@ -114,12 +116,14 @@ def _signed(words: int, bands: int, rows: int):
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
-                nodes, found = [], []
+                nodes, found, sizes = [], [], []
                 for text in batch.column("text").to_pylist():
                     joined = words_of(text)
                     nodes.append(hashlib.blake2b(joined, digest_size=16).digest() if joined else None)
-                    found.append(banding.of(shingles(joined, words)).tolist() if joined else None)
-                yield pa.record_batch([batch.column("doc_id"), batch.column("uid"), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "uid", "node", "bands"])
+                    grams = shingles(joined, words)
+                    sizes.append(len(grams))
+                    found.append(banding.of(grams).tolist() if joined else None)
+                yield pa.record_batch([batch.column("doc_id"), batch.column("uid"), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "uid", "node", "bands", "n_grams"])
 
     return run
 
@@ -149,13 +153,14 @@ def near_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     bands = choose_bands(threshold, recall, rows)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.put(source.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_signed(words, bands, rows), "doc_id bigint, uid bigint, node binary, bands array<bigint>"), "signed")
-    classes = scratch.put(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("first"), F.first("bands").alias("bands")), "classes")
+    signed = scratch.put(source.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_signed(words, bands, rows), "doc_id bigint, uid bigint, node binary, bands array<bigint>, n_grams bigint"), "signed")
+    classes = scratch.put(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("first"), F.first("bands").alias("bands"), F.max("n_grams").alias("n_grams")), "classes")
     buckets = classes.select("node", F.posexplode("bands").alias("band", "hash"))
     heads = buckets.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").select("band", "hash", "head")
     chained = buckets.join(heads, ["band", "hash"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     clusters = scratch.put(connected_components(chained, scratch).withColumnRenamed("component", "cluster"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    # A block is full at BLOCK_ROWS classes or at BLOCK_GRAMS n-grams each on average, whatever comes first.
+    sizes = clusters.join(classes.select("node", "n_grams"), "node").groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("size"))
     # Only members of clusters are read again, once per class.
     members = scratch.put(clusters.join(sizes, "cluster").join(classes, "node").select("node", "cluster", "size", "n", "bands", F.col("first.doc_id").alias("rid")), "members")
     likely = with_maybe(source, F.col("doc_id"), members.select("rid")).where("_maybe")
