@@ -104,11 +104,9 @@ def unique_names(names: list[str]) -> list[str]:
     raw, seen, out = set(names), set(), []
     for name in names:
         pick, k = name, 0
-        while pick in seen:
+        while pick in seen or (k and pick in raw):
             k += 1
             pick = f"{name}.{k}"
-            if pick in raw:
-                continue
         seen.add(pick)
         out.append(pick)
     return out
