@@ -82,7 +82,9 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, vec_id: str = "vec_id", e
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     grouped = connected_components(found.where("parent is not null").select(F.col("cls").alias("a"), F.col("parent").alias("b")), scratch).withColumnRenamed("node", "cls")
     named = classes.select("label", "key", "cls", "n", "first").join(links, "cls", "left").join(grouped, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    # Both are written, so that the join has two plain exchanges, whose large partitions adaptive execution can split.
+    named = scratch.put(named, "named")
+    least = scratch.put(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     of = scratch.put(named.join(least, "component").select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "of")
     out = coded.select("vec_id", "label", "key").join(of, ["label", "key"], "left")
     component = F.coalesce("component_id", "vec_id")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from . import worker
 from .bloom import with_maybe
 from .components import connected_components
 from .storage import Scratch, partitions
@@ -112,6 +113,7 @@ class Banding:
 
 def _signed(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.forget()
         banding = Banding(bands, rows)
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
@@ -160,7 +162,8 @@ def near_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     chained = buckets.join(heads, ["band", "hash"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     clusters = scratch.put(connected_components(chained, scratch).withColumnRenamed("component", "cluster"), "clusters")
     # A block is full at BLOCK_ROWS classes or at BLOCK_GRAMS n-grams each on average, whatever comes first.
-    sizes = clusters.join(classes.select("node", "n_grams"), "node").groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("size"))
+    # Written, so that the join below has two plain exchanges, whose large partitions adaptive execution can split.
+    sizes = scratch.put(clusters.join(classes.select("node", "n_grams"), "node").groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("size")), "sizes")
     # Only members of clusters are read again, once per class.
     members = scratch.put(clusters.join(sizes, "cluster").join(classes, "node").select("node", "cluster", "size", "n", "bands", F.col("first.doc_id").alias("rid")), "members")
     likely = with_maybe(source, F.col("doc_id"), members.select("rid")).where("_maybe")
@@ -175,7 +178,8 @@ def near_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b")), scratch)
     linked = links.join(groups, "node", "left").join(classes, "node").withColumn("component", F.coalesce("component", "node"))
-    best = linked.groupBy("component").agg(F.min("first").alias("best"))
+    linked = scratch.put(linked, "linked")
+    best = scratch.put(linked.groupBy("component").agg(F.min("first").alias("best")), "best")
     of = scratch.put(linked.join(best, "component").select("node", "links", "best"), "of")
     # Rows of classes that link with no other class need no more than their class.
     per_class = scratch.put(classes.join(of, "node", "left").where("links is not null or n > 1").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("best", "first").alias("best")), "per_class")
