@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import worker
 from .bloom import with_maybe
 from .storage import Scratch, partitions
 
@@ -82,6 +83,7 @@ def _prints(owners: int):
         yield pa.record_batch([pa.array([chunk] * m), pa.array(full, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([k for k, _ in coded], pa.int32()), pa.array([int(first_of[o + 1] - first_of[o]) for o in full], pa.int32()), pa.array([s for _, s in coded], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.forget()
         part = TaskContext.get().partitionId()
         ids, lengths, shas, done = [], [], [], 0
         for batch in batches:

@@ -21,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import worker
 from .storage import Scratch
 
 #: Window length, the id that ends a document, most queues, largest broadcast of offsets (rows).
 LENGTH, END_ID, MAX_QUEUES, BROADCAST_ROWS = 2048, 1, 1024, 200_000
 #: Words a worker remembers, in each of two generations.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 #: Windows whose counts are computed together.
 BLOCK = 512
 #: ASCII marks around a word; the apostrophe only after it, as it can start a pre-token with letters.
@@ -126,14 +127,9 @@ class WordMemo:
         return out
 
 
-_memos: dict[tuple[str, int], WordMemo] = {}
-
-
 def memo_of(path: str, words: int = MEMO_WORDS) -> WordMemo:
     """One memo for each worker process, kept between tasks."""
-    if (path, words) not in _memos:
-        _memos[path, words] = WordMemo(path, words)
-    return _memos[path, words]
+    return worker.keep(("words", path, words), lambda: WordMemo(path, words))
 
 
 class Schedule:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
+
 #: The mark for a space, what an unknown character costs below the worst piece.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Words a worker remembers, in each of two generations.
@@ -126,14 +128,9 @@ class PieceCodec:
         return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
 
 
-_codecs: dict[tuple[str, int], PieceCodec] = {}
-
-
 def codec_of(path: str, memo_words: int = MEMO_WORDS) -> PieceCodec:
     """One codec for each worker process, kept between tasks."""
-    if (path, memo_words) not in _codecs:
-        _codecs[path, memo_words] = PieceCodec.from_file(path, memo_words)
-    return _codecs[path, memo_words]
+    return worker.keep(("pieces", path, memo_words), lambda: PieceCodec.from_file(path, memo_words))
 
 
 def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", digest_only: bool = False) -> DataFrame:

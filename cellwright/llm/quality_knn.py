@@ -14,8 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from . import worker
 
 #: Fixed values.  Bound of the labelled sample, dimensions of the latent space, voting neighbours, cut.
 SAMPLE_ROWS, DIMS, NEIGHBOURS, THRESHOLD = 4096, 48, 25, 0.3
@@ -23,6 +27,8 @@ SAMPLE_ROWS, DIMS, NEIGHBOURS, THRESHOLD = 4096, 48, 25, 0.3
 SHARPNESS = 20.0
 #: Documents compared with the labelled vectors at once.
 BLOCK = 1024
+#: Texts held as Python objects at once.
+SLICE = 512
 #: Marks that are a class of their own; other ASCII marks share one.
 MARKS = "\n .,!?|#$%&*-:@/'\""
 _CLASSES = 6 + len(MARKS)
@@ -156,17 +162,25 @@ def held_out(column: str):
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, keep_columns: bool = False) -> DataFrame:
     """One row per document row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    With ``keep_columns`` all columns of ``docs`` follow the score as they are.  Null and empty texts get a score as
+    With ``keep_columns`` all columns of ``docs`` are returned as they are, and ``_score`` (one of that name is replaced).  Null and empty texts get a score as
     well, repeated rows the same one.  Only texts enter a score.  The model stays on the driver's broadcast; there is no shuffle.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(learn(named, labels, sample_rows))
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series(model.value.score(s.tolist()))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.forget()
+        for whole in batches:  # texts become Python objects a slice at a time
+            scores = [model.value.score(whole.column(at).slice(a, SLICE).to_pylist()) for a in range(0, whole.num_rows, SLICE)]
+            found = pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
+            kept = [whole.column(i) for i in passed]
+            yield pa.RecordBatch.from_arrays([*kept, found], names=[*(whole.schema.names[i] for i in passed), "_score"])
+
+    frame = docs.drop("_score") if keep_columns else named
+    at = frame.columns.index(text if keep_columns else "text")
+    passed = range(len(frame.columns)) if keep_columns else [0]
+    fields = [frame.schema.fields[i] for i in passed]
+    out = frame.mapInArrow(run, StructType([*fields, StructField("_score", DoubleType())]))
     if keep_columns:
-        return docs.withColumn("_score", score(F.col(text)))
-    return named.select("doc_id", held_out("doc_id").alias("held_out"), score("text").alias("score")).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        return out
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))

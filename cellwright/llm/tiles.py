@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
+
 
 def with_tiles(df: DataFrame, size: Column, key: Column, block_rows: int) -> DataFrame:
     """Add ``bi``, ``bj``, ``own``: a row of block b goes to all tiles (min(b, j), max(b, j)).
@@ -25,6 +27,7 @@ def by_tile(df: DataFrame, keys: list[str], n: int, work: Callable[[list[dict]],
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.forget()
         held: list[dict] = []
         at, out = None, []
 
@@ -33,17 +36,17 @@ def by_tile(df: DataFrame, keys: list[str], n: int, work: Callable[[list[dict]],
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         types = [{"bigint": pa.int64(), "binary": pa.binary(), "int": pa.int32()}[f.split()[1]] for f in schema.split(", ")]
-        for batch in batches:
-            for row in batch.to_pylist():
-                unit = tuple(row[k] for k in keys)
-                if unit != at and held:
-                    out += work(held)
-                    held = []
-                    if len(out) > 10_000:
-                        yield emit()
-                        out.clear()
-                at = unit
-                held.append(row)
+        rows = (row for batch in batches for a in range(0, batch.num_rows, 256) for row in batch.slice(a, 256).to_pylist())
+        for row in rows:
+            unit = tuple(row[k] for k in keys)
+            if unit != at and held:
+                out += work(held)
+                held = []
+                if len(out) > 10_000:
+                    yield emit()
+                    out.clear()
+            at = unit
+            held.append(row)
         if held:
             out += work(held)
         yield emit()
