@@ -10,6 +10,8 @@ import csv
 import io
 import re
 import tomllib
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,10 @@ from ..functions import values as V
 
 SECTIONS = ("SCHEMA", "JOB", "META", "DATA")
 _MARK = re.compile(r"<\s*(/?)\s*(SCHEMA|JOB|META|DATA)\s*>", re.I)
-#: Rows of a table that is handed to Spark from the driver; longer ones are scanned from the file.
+#: Rows of a container text; :func:`to_text` refuses more.
 INLINE_ROWS = 20_000
+#: Rows of an Arrow batch on the way to a feather file.
+BATCH_ROWS = 10_000
 
 
 def split_sections(text: str, default: str | None = None) -> dict[str, str]:
@@ -179,7 +183,7 @@ def write_container(ds: Dataset, path: str) -> None:
 
 
 def write_table(ds: Dataset, path: str, fmt: str | None = None) -> None:
-    """csv, tsv, jsonl, parquet, orc: distributed writers over the export frame; feather and sql for small tables."""
+    """csv, tsv, jsonl, parquet, orc: distributed writers over the export frame; feather, sql and xlsx are one file, streamed by the driver."""
     fmt = fmt or Path(path).suffix.lstrip(".").lower()
     df = export_frame(ds)
     if fmt in ("csv", "tsv"):
@@ -189,11 +193,16 @@ def write_table(ds: Dataset, path: str, fmt: str | None = None) -> None:
     elif fmt in ("parquet", "orc"):
         getattr(df.write.mode("overwrite"), fmt)(path)
     elif fmt == "feather":
-        import pyarrow.feather as feather
+        import pyarrow as pa
 
-        feather.write_feather(df.limit(INLINE_ROWS).toArrow(), path)
+        schema = pa.schema([(c, pa.string()) for c in df.columns])
+        rows = df.toLocalIterator()
+        with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+            while some := list(islice(rows, BATCH_ROWS)):
+                w.write_batch(pa.record_batch([pa.array([r[i] for r in some], pa.string()) for i in range(len(df.columns))], schema=schema))
     elif fmt == "sql":
-        Path(path).write_text(sql_script(ds), encoding="utf-8")
+        with Path(path).open("w", encoding="utf-8") as f:
+            f.writelines(line + "\n" for line in sql_lines(ds))
     elif fmt == "xlsx":
         from .workbook import write_workbook
 
@@ -202,16 +211,20 @@ def write_table(ds: Dataset, path: str, fmt: str | None = None) -> None:
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def sql_script(ds: Dataset, table: str = "data") -> str:
-    """CREATE TABLE and INSERT statements of a small table."""
+def sql_lines(ds: Dataset, table: str = "data") -> Iterator[str]:
+    """CREATE TABLE and INSERT statements, a row at a time."""
     q = lambda n: '"' + n.replace('"', '""') + '"'
     lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    rows = export_frame(ds).limit(INLINE_ROWS).collect()
-    lines = [f"CREATE TABLE {q(table)} ({', '.join(q(c) + ' TEXT' for c in ds.columns)});"]
-    lines += [f"INSERT INTO {q(table)} VALUES ({', '.join(map(lit, r))});" for r in rows]
-    lines += [f"CREATE TABLE {q(table + '_columns')} (name TEXT, tags TEXT);"]
-    lines += [f"INSERT INTO {q(table + '_columns')} VALUES ({lit(c)}, {lit('::'.join(ds.tags.get(c, ())))});" for c in ds.columns]
-    return "\n".join(lines) + "\n"
+    yield f"CREATE TABLE {q(table)} ({', '.join(q(c) + ' TEXT' for c in ds.columns)});"
+    for r in export_frame(ds).toLocalIterator():
+        yield f"INSERT INTO {q(table)} VALUES ({', '.join(map(lit, r))});"
+    yield f"CREATE TABLE {q(table + '_columns')} (name TEXT, tags TEXT);"
+    for c in ds.columns:
+        yield f"INSERT INTO {q(table + '_columns')} VALUES ({lit(c)}, {lit('::'.join(ds.tags.get(c, ())))});"
+
+
+def sql_script(ds: Dataset, table: str = "data") -> str:
+    return "\n".join(sql_lines(ds, table)) + "\n"
 
 
 def write_bundle(ds: Dataset, folder: str) -> None:
@@ -221,14 +234,18 @@ def write_bundle(ds: Dataset, folder: str) -> None:
 
     root = Path(folder)
     root.mkdir(parents=True, exist_ok=False)
-    rows = export_frame(ds).limit(INLINE_ROWS).collect()
+    n = 0
     with (root / "data.tsv").open("w", newline="", encoding="utf-8") as f:
         w = csv.writer(f, delimiter="\t", lineterminator="\n")
         w.writerow(ds.columns)
-        w.writerows([list(r) for r in rows])
+        for n, r in enumerate(export_frame(ds).toLocalIterator(), 1):  # noqa: B007
+            w.writerow(list(r))
     (root / "columns.csv").write_text("name,tags\n" + "".join(f'"{c}","{"::".join(ds.tags.get(c, ()))}"\n' for c in ds.columns), encoding="utf-8")
     for name in ("meta", "schema", "job"):
         (root / f"{name}.toml").write_text(toml_text(getattr(ds, name)) + "\n", encoding="utf-8")
     (root / "loader.R").write_text('load_bundle <- function(dir) read.delim(file.path(dir, "data.tsv"), colClasses = "character", na.strings = "")\n', encoding="utf-8")
-    files = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.iterdir())}
-    (root / "manifest.json").write_text(json.dumps({"rows": len(rows), "files": files}, indent=1), encoding="utf-8")
+    files = {}
+    for p in sorted(root.iterdir()):
+        with p.open("rb") as f:
+            files[p.name] = hashlib.file_digest(f, "sha256").hexdigest()
+    (root / "manifest.json").write_text(json.dumps({"rows": n, "files": files}, indent=1), encoding="utf-8")

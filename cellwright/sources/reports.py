@@ -13,13 +13,22 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
-#: Rows of a table shown in a report.
+#: Rows of a table shown on the page and in the document; CSV files hold all.
 ROWS = 500
 
 
-def fetch(tables: dict[str, DataFrame], rows: int = ROWS) -> dict[str, tuple[list[str], list[list[str]]]]:
-    """Heads of tables; reports are for people, so at most ``rows`` rows each."""
-    return {k: (t.columns, [["" if v is None else str(v) for v in r] for r in t.limit(rows).collect()]) for k, t in tables.items()}
+def write_csv(t: DataFrame, path: Path, head: int = ROWS) -> tuple[list[str], list[list[str]]]:
+    """The whole table as CSV; its first ``head`` rows are returned for the page and the document."""
+    first = []
+    with path.open("w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(t.columns)
+        for r in t.toLocalIterator():
+            cells = ["" if v is None else str(v) for v in r]
+            w.writerow(cells)
+            if len(first) < head:
+                first.append(cells)
+    return t.columns, first
 
 
 def to_html(title: str, found: dict) -> str:
@@ -47,16 +56,15 @@ def write_report(tables: dict[str, DataFrame], folder: str, title: str = "Report
     """A new folder with a CSV per table, report.html, report.docx, warnings.txt and manifest.json; optionally zipped."""
     root = Path(folder)
     root.mkdir(parents=True, exist_ok=False)
-    found = fetch(tables)
-    for name, (cols, rows) in found.items():
-        with (root / ("".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in name) + ".csv")).open("w", newline="", encoding="utf-8") as f:
-            w = csv.writer(f)
-            w.writerow(cols)
-            w.writerows(rows)
+    found = {name: write_csv(t, root / ("".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in name) + ".csv")) for name, t in tables.items()}
     (root / "report.html").write_text(to_html(title, found), encoding="utf-8")
     (root / "report.docx").write_bytes(to_document(title, found))
     (root / "warnings.txt").write_text("\n".join(warnings), encoding="utf-8")
-    (root / "manifest.json").write_text(json.dumps({p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.iterdir())}, indent=1), encoding="utf-8")
+    sums = {}
+    for p in sorted(root.iterdir()):
+        with p.open("rb") as f:
+            sums[p.name] = hashlib.file_digest(f, "sha256").hexdigest()
+    (root / "manifest.json").write_text(json.dumps(sums, indent=1), encoding="utf-8")
     if archive:
         with zipfile.ZipFile(root.with_suffix(".zip"), "w", zipfile.ZIP_DEFLATED) as z:
             for p in sorted(root.iterdir()):

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import re
+import tempfile
 import zipfile
-from pathlib import Path
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
+from typing import IO
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
@@ -19,6 +23,8 @@ from . import container as C
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 CONTROL = ("META", "SCHEMA", "JOB")
+#: Rows of a sheet that the format allows, with the header.
+SHEET_ROWS = 1_048_576
 
 
 def _column(ref: str) -> int:
@@ -90,25 +96,41 @@ def read_workbook(spark: SparkSession, path: str, source: str = "sheet_name") ->
 
 
 def write_workbook(ds: Dataset, path: str) -> None:
-    """Control sheets and DATA, or one sheet per value of a SHEET column.  All cells are inline text, so '=' starts no formula."""
+    """Control sheets and DATA, or one sheet per value of a SHEET column.  All cells are inline text, so '=' starts no formula.
+
+    Rows go through a file per sheet, as its columns are known only at the end.  A table that a sheet cannot hold is refused.
+    """
     sheet_col = next(iter(ds.find(any_of=["SHEET"])), None)
-    rows = C.export_frame(ds).limit(C.INLINE_ROWS).collect()
-    sheets: dict[str, list[list[str]]] = {}
+    sheets: dict[str, Iterable[list[str | None]]] = {}
     for s, body in (("SCHEMA", ds.schema), ("JOB", ds.job), ("META", ds.meta)):
         if body:
             sheets[s] = [[line] for line in C.toml_text(body).split("\n")]
     cols = [c for c in ds.columns if c != sheet_col]
-    head = [T.build_header(c, ds.tags.get(c, ())) for c in cols]
-    if sheet_col is None:
-        sheets["DATA"] = [head, *[[r[c] for c in cols] for r in rows]]
-    else:
-        groups: dict[str, list] = {}
-        for r in rows:
-            groups.setdefault(r[sheet_col] or "DATA", []).append(r)
-        for name, rs in groups.items():
-            used = [c for c in cols if any(r[c] != "" for r in rs)]
-            sheets[_sheet_name(name, sheets)] = [[T.build_header(c, ds.tags.get(c, ())) for c in used], *[[r[c] for c in used] for r in rs]]
-    Path(path).write_bytes(workbook_bytes(sheets))
+    with tempfile.TemporaryDirectory() as held, ExitStack() as files:
+        groups: dict[str, list] = {} if sheet_col else {"DATA": [files.enter_context(open(f"{held}/0", "w+", encoding="utf-8")), 0, set(range(len(cols)))]}
+        for r in C.export_frame(ds).toLocalIterator():
+            name = (r[sheet_col] or "DATA") if sheet_col else "DATA"
+            if name not in groups:
+                groups[name] = [files.enter_context(open(f"{held}/{len(groups)}", "w+", encoding="utf-8")), 0, set()]
+            g, cells = groups[name], [r[c] for c in cols]
+            g[1] += 1
+            if g[1] >= SHEET_ROWS:
+                raise ValueError(f"sheet {name} has more than {SHEET_ROWS - 1} rows: write the table in another format")
+            if len(g[2]) < len(cols):
+                g[2].update(i for i, x in enumerate(cells) if x != "")
+            g[0].write(json.dumps(cells) + "\n")
+        for name, (f, _, used) in groups.items():
+            sheets[_sheet_name(name, sheets) if sheet_col else name] = _held_rows(f, [T.build_header(c, ds.tags.get(c, ())) for c in cols], sorted(used))
+        with open(path, "wb") as out:
+            write_parts(out, sheets)
+
+
+def _held_rows(f: IO[str], head: list[str], used: list[int]) -> Iterator[list[str | None]]:
+    f.seek(0)
+    yield [head[i] for i in used]
+    for line in f:
+        cells = json.loads(line)
+        yield [cells[i] for i in used]
 
 
 def _sheet_name(name: str, taken) -> str:
@@ -121,6 +143,14 @@ def _sheet_name(name: str, taken) -> str:
 
 
 def workbook_bytes(sheets: dict[str, list[list[str | None]]]) -> bytes:
+    out = io.BytesIO()
+    write_parts(out, sheets)
+    return out.getvalue()
+
+
+def write_parts(out: IO[bytes], sheets: dict[str, Iterable[list[str | None]]]) -> None:
+    """The zip of a workbook, a row at a time."""
+
     def letters(i: int) -> str:
         s = ""
         i += 1
@@ -132,7 +162,6 @@ def workbook_bytes(sheets: dict[str, list[list[str | None]]]) -> bytes:
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
-    out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
         z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
@@ -142,6 +171,8 @@ def workbook_bytes(sheets: dict[str, list[list[str | None]]]) -> bytes:
         links = "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships">{links}</Relationships>')
         for i, rows in enumerate(sheets.values(), 1):
-            lines = "".join(f'<row r="{k}">' + "".join(f'<c r="{letters(j)}{k}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for j, v in enumerate(r) if v not in (None, "")) + "</row>" for k, r in enumerate(rows, 1))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>')
-    return out.getvalue()
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as part:
+                part.write(f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>'.encode())
+                for k, r in enumerate(rows, 1):
+                    part.write((f'<row r="{k}">' + "".join(f'<c r="{letters(j)}{k}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for j, v in enumerate(r) if v not in (None, "")) + "</row>").encode())
+                part.write(b"</sheetData></worksheet>")

@@ -88,6 +88,39 @@ def test_scripts_and_bundle(spark, tmp_path):
         C.write_bundle(ds, str(tmp_path / "bundle"))
 
 
+def test_exports_hold_every_row(spark, tmp_path):
+    import json
+
+    import pyarrow.feather as feather
+
+    from cellwright.sources import reports
+
+    n = 20_345
+    ds = Dataset(spark.range(n).select(F.col("id").cast("string").alias("a"), F.when(F.col("id") == n - 1, "last").alias("b")))
+    for fmt in ("feather", "sql", "xlsx"):
+        C.write_table(ds, str(tmp_path / f"x.{fmt}"))
+    assert sorted(map(int, feather.read_table(tmp_path / "x.feather").column("a").to_pylist())) == list(range(n))
+    assert (tmp_path / "x.sql").read_text().count('INSERT INTO "data" VALUES') == n
+    data = read_sheets((tmp_path / "x.xlsx").read_bytes())["DATA"]
+    assert len(data) == n + 1 and data[0] == ["a", "b"] and [r for r in data if len(r) > 1][1] == [str(n - 1), "last"]
+    C.write_bundle(ds, str(tmp_path / "b"))
+    assert len((tmp_path / "b" / "data.tsv").read_text().splitlines()) == n + 1 and json.loads((tmp_path / "b" / "manifest.json").read_text())["rows"] == n
+    root = reports.write_report({"t": ds.df}, str(tmp_path / "r"))
+    assert len((root / "t.csv").read_text().splitlines()) == n + 1 and (root / "report.html").read_text().count("<tr>") == reports.ROWS + 1
+
+
+def test_workbook_sheets_and_limit(spark, tmp_path, monkeypatch):
+    from cellwright.sources import workbook
+
+    df = spark.createDataFrame([("1", "s1", None), ("2", "s2", "x"), ("3", "s1", None)], "a string, sheet string, b string")
+    ds = Dataset(df.coalesce(1), {"sheet": ("SHEET",)})
+    write_workbook(ds, str(tmp_path / "x.xlsx"))
+    assert read_sheets((tmp_path / "x.xlsx").read_bytes()) == {"s1": [["a"], ["1"], ["3"]], "s2": [["a", "b"], ["2", "x"]]}
+    monkeypatch.setattr(workbook, "SHEET_ROWS", 2)
+    with pytest.raises(ValueError):
+        write_workbook(ds, str(tmp_path / "y.xlsx"))
+
+
 def test_inference(spark):
     df = spark.createDataFrame([(f"0{i}", str(i), f"<{i}" if i == 3 else str(i), f"2024-01-{i + 10}", "ab"[i % 2], f"t{i}") for i in range(20)], "patient_id string, n string, c string, d string, k string, s string")
     assert tables.infer(df) == {"patient_id": ("ID", "STR"), "n": ("NUM",), "c": ("<NUM>",), "d": ("DATE",), "k": ("CATEGORY",), "s": ("STR",)}
