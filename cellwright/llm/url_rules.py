@@ -24,7 +24,7 @@ HOST_RULES = [
 BAD = "\x00bad"
 #: Mining parameters.  Support is relative to the labelled pages, so a frequent combination is
 #: never rare at scale; confidence is the share of bad labels among the pages that match.
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.6, 4
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 #: A rule list is broadcast only up to this length; a longer one is joined by shuffle.
 BROADCAST_RULES = 10_000
 
@@ -69,20 +69,34 @@ def mine_rules(tokens: DataFrame, scratch: Scratch, min_support: float = MIN_SUP
     """
     baskets = scratch.put(tokens.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0"), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= MAX_TOKENS))
-    found = scratch.put(found.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support"), "rules")
-    # Prune a rule if one on a proper subset of its tokens is as confident: each rule looks up its own subsets.
-    subsets = found.select("rule_tokens", "confidence", F.explode(_subsets(F.col("rule_tokens"))).alias("part")).where("size(part) < size(rule_tokens) and size(part) > 0")
-    better = subsets.join(found.select(F.col("rule_tokens").alias("part"), F.col("confidence").alias("c")), "part").where("c >= confidence").select("rule_tokens").distinct()
-    pruned = found.join(better, "rule_tokens", "left_anti")
+    # With and without BAD side by side, so that the combinations are mined once.
+    bad = F.array_contains("items", BAD)
+    sets = model.freqItemsets.groupBy(F.array_sort(F.array_remove("items", BAD)).alias("rule_tokens")).agg(F.max(F.when(bad, F.col("freq"))).alias("hits"), F.max(F.when(~bad, F.col("freq"))).alias("seen"))
+    sets = sets.where("hits is not null and size(rule_tokens) > 0").select("rule_tokens", "hits", (F.col("hits") / F.col("seen")).alias("confidence"))
+    sets = scratch.put(sets, "sets")
+    found = sets.where(F.col("confidence") >= min_confidence)
+    longest = found.agg(F.max(F.size("rule_tokens"))).first()[0] or 0
+    pruned = _irredundant(sets, longest, scratch).where(F.col("confidence") >= min_confidence).select("rule_tokens", "confidence", (F.col("hits") / baskets.count()).alias("support"))
     counts = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     anchors = pruned.select("rule_tokens", F.explode("rule_tokens").alias("token")).join(counts, "token").groupBy("rule_tokens").agg(F.min(F.struct("n", "token"))["token"].alias("anchor"))
     return scratch.put(pruned.join(anchors, "rule_tokens"), "pruned")
 
 
-def _subsets(a: Column) -> Column:
-    """All subsets of an array of at most MAX_TOKENS tokens, by the bits of 0 .. 2^n - 1."""
-    return F.transform(F.sequence(F.lit(0), F.lit(2**MAX_TOKENS - 1)), lambda bits: F.filter(a, lambda x, i: F.getbit(bits, i) == 1))
+def _irredundant(sets: DataFrame, longest: int, scratch: Scratch) -> DataFrame:
+    """Sets of at most ``longest`` tokens that are more confident than every proper subset.
+
+    All subsets of a frequent set are in ``sets``, so each size takes the best confidence below it from the size
+    before: a set of n tokens looks up n sets, however large n is.
+    """
+    level = sets.where("size(rule_tokens) = 1").withColumn("below", F.lit(None).cast("double"))
+    out = level
+    for size in range(2, longest + 1):
+        best = level.select(F.col("rule_tokens").alias("part"), F.greatest("confidence", "below").alias("best"))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.filter("rule_tokens", lambda x, i: i != k))
+        below = sets.where(F.size("rule_tokens") == size).select("*", F.explode(parts).alias("part")).join(best, "part")
+        level = scratch.put(below.groupBy("rule_tokens", "hits", "confidence").agg(F.max("best").alias("below")), "level")
+        out = out.unionByName(level)
+    return out.where("below is null or below < confidence").drop("below")
 
 
 def judge_pages(pages: DataFrame, labels: DataFrame | None, scratch: Scratch, page_id: str = "page_id", url: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

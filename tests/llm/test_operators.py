@@ -280,6 +280,31 @@ def test_mined_rules_are_brute_force(spark):
         assert got[i] == ("block" if best else "allow", best)
 
 
+def test_long_rules_are_brute_force(spark):
+    """Bad only where six tokens meet: no smaller combination is confident enough."""
+    rows = [(i, "http://" + ".".join(f"t{k}x" if i >> k & 1 else f"f{k}x" for k in range(5)) + "/p", i % 32 == 31 and i < 120) for i in range(128)]
+    rows += [(200 + k, "http://" + ".".join(f"t{j}x" for j in range(5) if j != k) + "/q", False) for k in range(5) for _ in range(3)]
+    rows = [(n, u, b) for n, (_, u, b) in enumerate(rows)]
+    df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows], "page_id long, bad boolean")
+    tokens = lambda u: {"s:http", *("h:" + x for x in u.split("/")[2].split(".")), *("p:" + x for x in u.split("/")[3:])}
+    sets = [(tokens(u), bad) for _, u, bad in rows]
+    mined = {}
+    for combo in {c for t, bad in sets if bad for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)}:
+        have = [bad for t, bad in sets if set(combo) <= t]
+        if sum(have) >= 0.01 * len(rows) and sum(have) / len(have) >= 0.7:
+            mined[combo] = sum(have) / len(have)
+    kept = {m: c for m, c in mined.items() if not any(len(o) < len(m) and set(o) < set(m) and d >= c for o, d in mined.items())}
+    assert kept and min(map(len, kept)) > 4
+    taught = df.withColumn("h", url_rules.host_of(F.col("url"))).withColumn("p", url_rules.path_of(F.col("url"))).select("page_id", url_rules.url_tokens(F.col("h"), F.col("p"), F.col("url")).alias("tokens")).join(lab, "page_id")
+    rules = url_rules.mine_rules(taught, Scratch(spark, "t"), 0.01, 0.7).collect()
+    assert {tuple(r.rule_tokens): r.confidence for r in rules} == kept
+    got = {r.page_id: (r.verdict, r.mined_confidence) for r in url_rules.judge_pages(df, lab, Scratch(spark, "t"), min_support=0.01, min_confidence=0.7).collect()}
+    for i, u, _ in rows:
+        best = max((c for m, c in mined.items() if set(m) <= tokens(u)), default=None)
+        assert got[i] == ("block" if best else "allow", best)
+
+
 # 7 -------------------------------------------------------------------------------
 
 
