@@ -6,6 +6,10 @@ deficit relative to its share, that is, token ``i`` of queue ``s`` is due at ``(
 the others go on.  Because due times are a closed form, the number of tokens each queue has got
 when a window begins is computed, not simulated: every partition starts with the deficits that
 all windows before it leave behind, and windows are filled in parallel.
+
+Up to MAX_QUEUES sources, a worker holds the counts of all queues before a block of windows.  Beyond, the
+order is the same, but the stream is cut into cells of due time; a task orders the tokens of a cell and notes
+at which due time and queue each window begins, and offsets are running sums over a window's pieces.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from pyspark.sql import functions as F
 from . import worker
 from .storage import Scratch
 
-#: Window length, the id that ends a document, most queues, largest broadcast of offsets (rows).
+#: Window length, the id that ends a document, most queues whose counts are held densely, largest broadcast of offsets (rows).
 LENGTH, END_ID, MAX_QUEUES, BROADCAST_ROWS = 2048, 1, 1024, 200_000
 #: Words a worker remembers, in each of two generations.
 MEMO_WORDS = 400_000
 #: Windows whose counts are computed together.
 BLOCK = 512
+#: Tokens of a cell of due time (more if there are more queues), and queues handled together in one.
+CELL, SLICE = 1_000_000, 1_000_000
 #: ASCII marks around a word; the apostrophe only after it, as it can start a pre-token with letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
@@ -162,8 +168,81 @@ class Schedule:
         earlier = np.cumsum(tie, axis=1) - tie
         return base + np.clip(want - earlier, 0, tie)
 
+    # Many queues: a position at a time, and slices of queues.
+
+    def _count(self, p: float, a: int = 0, b: int | None = None) -> np.ndarray:
+        return np.minimum(np.floor(p * self.rate[a:b] + 0.5).astype(np.int64), self.totals[a:b])
+
+    def handed(self, p: float) -> int:
+        """Tokens due at ``p``."""
+        return sum(int(self._count(p, a, a + SLICE).sum()) for a in range(0, len(self.totals), SLICE))
+
+    def _end(self) -> float:
+        return float(((self.totals + 1) / self.rate).max()) if len(self.totals) else 1.0
 
-def _counted(encoder: Callable, end_id: int, queue_of: Callable[[str | None], str]):
+    def _edge(self, x: int) -> float:
+        """A due time with at most ``x`` tokens before or at it, and near to the last such one."""
+        lo, hi = 0.0, self._end()
+        for _ in range(64):
+            mid = lo + (hi - lo) / 2
+            if not lo < mid < hi:
+                break
+            got = self.handed(mid)
+            lo, hi = (mid, hi) if got <= x else (lo, mid)
+            if x - CELL // 16 <= got <= x:
+                break
+        return lo
+
+    def cells(self) -> int:
+        return -(-self.total // self._cell())
+
+    def _cell(self) -> int:
+        return max(CELL, len(self.totals))
+
+    def begins(self, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that begin in cell ``k``: number, due time and queue of the first token."""
+        size, last = self._cell(), k + 1 >= self.cells()
+        lo = self._edge(k * size) if k else 0.0
+        hi = self._end() if last else self._edge((k + 1) * size)
+        at = self.handed(lo)
+        keys, queues = [], []
+        for a in range(0, len(self.totals), SLICE):
+            x = self._count(lo, a, a + SLICE)
+            n = np.maximum(self._count(hi, a, a + SLICE) - x, 0)
+            q = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + x[q]
+            keys.append(due_at(i, self.rate[a + q])), queues.append((a + q).astype(np.int32))
+        key, queue = np.concatenate(keys or [np.zeros(0)]), np.concatenate(queues or [np.zeros(0, np.int32)])
+        order = np.argsort(key, kind="stable")  # queues ascend within equal due times
+        first = np.arange(-(-at // length), -(-(at + len(key)) // length))
+        pick = order[first * length - at]
+        return first, key[pick], queue[pick]
+
+
+def due_at(i: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Least float ``p`` at which token ``i`` is due: floor(p * rate + 1/2) > i, as rounded."""
+    p = (i + 0.5) / rate
+    while (late := np.floor(p * rate + 0.5) <= i).any():
+        p = np.where(late, np.nextafter(p, np.inf), p)
+    while True:
+        less = np.nextafter(p, -np.inf)
+        early = np.floor(less * rate + 0.5) > i
+        if not early.any():
+            return p
+        p = np.where(early, less, p)
+
+
+def window_of(key: np.ndarray, queue: np.ndarray, due: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Window of each token (due time, queue), where windows begin at (``due``, ``first`` queue), in order."""
+    out = np.searchsorted(due, key, side="left")
+    upto = np.searchsorted(due, key, side="right")
+    # A queue has one token at most at a due time, so that the queue settles ties.
+    for t in np.flatnonzero(out < upto):
+        out[t] += np.searchsorted(first[out[t] : upto[t]], queue[t], side="right")
+    return out - 1
+
+
+def _counted(encoder: Callable, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("queue", pa.string()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
     tail = np.asarray([end_id], dtype="<u4").tobytes()
 
@@ -173,7 +252,7 @@ def _counted(encoder: Callable, end_id: int, queue_of: Callable[[str | None], st
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
                 ids = [x + tail for x in encode(batch.column("text").to_pylist())]
-                queues = [queue_of(s) for s in batch.column("source").to_pylist()]
+                queues = [s or "" for s in batch.column("source").to_pylist()]
                 n, before = [len(x) // 4 for x in ids], []
                 for q, k in zip(queues, n, strict=True):
                     before.append(sums.get(q, 0))
@@ -199,7 +278,7 @@ def pack(docs: DataFrame, scratch: Scratch, encoder: Callable[[], Callable[[list
     ``encoder()`` returns, on an executor, a function from texts to packed uint32 ids.  Every document
     ends with ``end_id``, so that empty and null texts have one token.  ``shares`` are target
     proportions by source, ('' for a null source; 1 unless named); by default a source's share
-    of all tokens, so that all queues end together.  Over MAX_QUEUES sources share queues by hash.
+    of all tokens, so that all queues end together.  Every source has its own queue, however many there are.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and
     ``ids`` if asked for).  Sequences are full but for the last.  Repeated rows are packed each for itself; an empty
@@ -207,17 +286,12 @@ def pack(docs: DataFrame, scratch: Scratch, encoder: Callable[[], Callable[[list
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
-    many = rows.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-
-    def queue_of(s: str | None) -> str:
-        return f"{zlib.crc32((s or '').encode()) % MAX_QUEUES:04d}" if many else s or ""
-
-    if many and shares:
-        raise ValueError(f"shares need at most {MAX_QUEUES} sources")
-    coded = scratch.put(rows.mapInArrow(_counted(encoder, end_id, queue_of), "part int, queue string, before bigint, doc_id bigint, n bigint, ids binary"), "ids")
+    coded = scratch.put(rows.mapInArrow(_counted(encoder, end_id), "part int, queue string, before bigint, doc_id bigint, n bigint, ids binary"), "ids")
     sums = scratch.put(coded.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("part", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).cast("bigint").alias("base"))
+    if sums.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
+        return _pack_many(coded, sums, base, scratch, length, shares, keep_ids)
     # At most MAX_QUEUES rows reach the driver.
     totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}
     names = list(totals)
@@ -278,6 +352,59 @@ def pack(docs: DataFrame, scratch: Scratch, encoder: Callable[[], Callable[[list
     return coded.join(base, ["part", "queue"]).select("queue", "base", "before", "doc_id", "n", "ids").mapInArrow(place, out)
 
 
+def _pack_many(coded: DataFrame, sums: DataFrame, base: DataFrame, scratch: Scratch, length: int, shares: dict[str, float] | None, keep_ids: bool) -> DataFrame:
+    """The same sequences as the dense counts give, for any number of queues.
+
+    Names stay in tables; two numbers a queue, and two a window, reach the driver and the workers.
+    """
+    spark = coded.sparkSession
+    total = sums.groupBy("queue").agg(F.sum("n").alias("n"))
+    if shares is not None:
+        given = spark.createDataFrame([(q, float(x)) for q, x in shares.items()], "queue string, share double")
+        total = total.join(given, "queue", "left").withColumn("share", F.coalesce("share", F.lit(1.0)))
+    else:
+        total = total.withColumn("share", F.col("n").cast("double"))
+    queues = scratch.put(total.withColumn("s", F.row_number().over(Window.orderBy("queue")) - 1), "queues")
+    table = queues.select("s", "n", "share").orderBy("s").toArrow()
+    plan = spark.sparkContext.broadcast(Schedule(table.column("n").to_numpy(), table.column("share").to_numpy()))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                w, due, s = plan.value.begins(k, length)
+                yield pa.record_batch([pa.array(w, pa.int64()), pa.array(due, pa.float64()), pa.array(s, pa.int32())], names=["w", "due", "s"])
+
+    cells = plan.value.cells()
+    begun = scratch.put(spark.range(0, cells, 1, min(cells, 10_000)).mapInArrow(begin, "w bigint, due double, s int"), "windows").orderBy("w").toArrow()
+    starts = spark.sparkContext.broadcast((begun.column("due").to_numpy(), begun.column("s").to_numpy()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        due, first = starts.value
+        rate = plan.value.rate
+        for whole in batches:
+            for x in range(0, whole.num_rows, 256):
+                batch = whole.slice(x, 256)
+                out: list[list] = [[] for _ in names]
+                for s, b, before, doc, n, ids in zip(*[batch.column(c).to_pylist() for c in ("s", "base", "before", "doc_id", "n", "ids")], strict=True):
+                    lo, raw = b + before, _wide(ids)
+                    w = window_of(due_at(np.arange(lo, lo + n), np.full(n, rate[s])), np.full(n, s), due, first)
+                    cut = [0, *(np.flatnonzero(np.diff(w)) + 1).tolist(), n]
+                    for u, v in zip(cut, cut[1:]):  # noqa: B905
+                        part = raw[u:v].tobytes()
+                        row = [doc, u, v - u, zlib.crc32(part), n, int(w[u]), s, lo + u, *([part] if keep_ids else [])]
+                        for held, cell in zip(out, row, strict=True):
+                            held.append(cell)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "s", "at"] + (["ids"] if keep_ids else [])
+    kinds = [pa.int64()] * 6 + [pa.int32(), pa.int64()] + ([pa.binary()] if keep_ids else [])
+    fields = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, s int, at bigint" + (", ids binary" if keep_ids else "")
+    pieces = coded.join(base, ["part", "queue"]).join(queues.select("queue", "s"), "queue").select("s", "base", "before", "doc_id", "n", "ids").mapInArrow(place, fields)
+    earlier = Window.partitionBy("sequence_id").orderBy("s", "at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("bigint"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else []))
+
+
 def padded_length(used: int, length: int = LENGTH) -> int:
     """A sequence is padded to ``length`` unless its own length is a power of two."""
     return used if used and used & (used - 1) == 0 else length

@@ -374,6 +374,52 @@ def test_schedule_is_exact_and_monotone(totals):
     assert (before.sum(axis=1) == np.arange(s.total + 1)).all() and (np.diff(before, axis=0) >= 0).all() and (before[-1] == totals).all()
 
 
+@pytest.mark.parametrize("shares", [None, {"s0": 5.0, "s1": 0.5, "s2": 1.0}])
+def test_packing_of_many_sources_equals_dense_counts(spark, monkeypatch, shares):
+    rng = np.random.default_rng(6)
+    rows = [(i, "x" * int(n), f"s{int(k)}") for i, (n, k) in enumerate(zip(rng.integers(0, 60, 300), rng.zipf(1.4, 300) % 40))] + [(900, None, None), (901, "", ""), (902, "y" * 3000, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {}
+    for most in (1024, 5):
+        monkeypatch.setattr(packing, "MAX_QUEUES", most)
+        monkeypatch.setattr(packing, "CELL", 1000)
+        got[most] = sorted(map(tuple, packing.pack(df.orderBy("doc_id").coalesce(1), Scratch(spark, "t"), plain_encoder, length=64, shares=shares).collect()))
+    assert got[5] == got[1024] and len({r[5] for r in got[5]}) > 100
+
+
+def test_packing_keeps_one_queue_for_each_of_1200_sources(spark):
+    """A hot source and small ones: each has its share of every window."""
+    rows = [(i, "x" * 3, f"t{i}") for i in range(1200)] + [(5000 + i, "y" * 399, "hot") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(df, Scratch(spark, "t"), plain_encoder, length=128, shares={"hot": 1200.0}).toPandas()
+    assert out.length.sum() == 1200 * 4 + 30 * 400
+    assert (out.groupby("sequence_id").length.sum().iloc[:-1] == 128).all()
+    # The k-th tokens of all unnamed sources are due together, after 1200 k + 600 hot ones.
+    assert out[(out.doc_id >= 5000) & (out.sequence_id < 37)].length.sum() == 37 * 128 - 2 * 1200
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]]
+    first = out[(out.doc_id < 5000) & (out.start == 0)].merge(spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", "source").toPandas(), on="doc_id").sort_values("source")
+    assert first.sequence_id.is_monotonic_increasing
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 300), st.integers(1, 9)), min_size=1, max_size=12), st.booleans())
+def test_window_starts_equal_dense_counts(queues, named):
+    plan = packing.Schedule([t for t, _ in queues], [float(s) for _, s in queues] if named else None)
+    cells = packing.CELL
+    packing.CELL = 100
+    try:
+        found = [plan.begins(k, 7) for k in range(plan.cells())]
+    finally:
+        packing.CELL = cells
+    w, due, first = (np.concatenate(x) for x in zip(*found))
+    assert list(w) == list(range(-(-plan.total // 7)))
+    counts = plan.before(np.arange(len(w) + 1) * 7)
+    for s, (t, _) in enumerate(queues):
+        got = packing.window_of(packing.due_at(np.arange(t), np.full(t, plan.rate[s])), np.full(t, s), due, first)
+        assert (np.bincount(got, minlength=len(w)) == np.diff(counts[:, s])).all()
+
+
 def test_word_memo_equals_the_tokenizer():
     memo = packing.WordMemo(WORD, words=40)
     texts = ["á b\x85c\xa0d  Eİ ΑΣ", "<|endoftext|> foo", "x\x1cy 'S don'T", "it's 12 34a ½  z 'tis ('tis) \"q's\" ''", None, "", "é ́x ² word² ª", "*** re-do, re-do! $%& 10%", "中文 字 \U0001f600ok", *(" ".join(prose(k, 50)) for k in range(6))]
