@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -61,6 +61,8 @@ def stateful_multirule(points: DataFrame, group: str, keep: int = 64) -> DataFra
 def sync_writer(target: str, quarantine: str, keys: list[str]):
     """For ``foreachBatch``: new keys are appended, equal rows ignored, changed ones set aside for review.
 
+    A new key with differing rows in one batch is set aside with all of them, as none can be told to be the right one.
+    Removed keys are not noticed, as batches are additions: compare snapshots for those (``multi.snapshot_diff``).
     Batches carry their number into the folder, so that a batch that is run again overwrites itself.
     """
 
@@ -68,15 +70,15 @@ def sync_writer(target: str, quarantine: str, keys: list[str]):
         spark = batch.sparkSession
         cols = batch.columns
         rest = [c for c in cols if c not in keys]
-        batch = batch.dropDuplicates(keys)
+        batch = batch.distinct().withColumn("_rows", F.count("*").over(Window.partitionBy(*keys)))
         try:
             seen = spark.read.parquet(target).where(F.col("batch") < number).drop("batch")
         except Exception:  # nothing has been written yet
-            seen = batch.limit(0)
+            seen = batch.select(*cols).limit(0)
         old = seen.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*rest).alias("_old"))
         j = batch.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
-        j.where("_old is null").select(*cols).write.mode("overwrite").parquet(f"{target}/batch={number}")
-        j.where(F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.struct(*rest))).select(*cols).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        j.where("_old is null and _rows = 1").select(*cols).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        j.where((F.col("_old").isNull() & (F.col("_rows") > 1)) | (F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.struct(*rest)))).select(*cols).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
 
     return write
 

@@ -207,3 +207,12 @@ def test_sync_sets_changes_aside(spark, tmp_path):
     write(spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "k int, v string"), 1)
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "a"), (2, "b"), (3, "d")]
     assert [(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "q")).collect()] == [(2, "c")]
+
+
+def test_sync_sets_repeated_keys_aside(spark, tmp_path):
+    write = streams.sync_writer(str(tmp_path / "t"), str(tmp_path / "q"), ["k"])
+    write(spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c"), (None, "x"), (None, "y"), (4, None)], "k int, v string"), 0)
+    write(spark.createDataFrame([(1, "a"), (1, "d"), (3, "e")], "k int, v string"), 1)
+    found = lambda name: sorted(((r.k, r.v) for r in spark.read.parquet(str(tmp_path / name)).collect()), key=str)
+    assert found("t") == [(1, "a"), (3, "e"), (4, None)]
+    assert found("q") == [(1, "d"), (2, "b"), (2, "c"), (None, "x"), (None, "y")]
