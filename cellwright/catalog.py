@@ -970,6 +970,13 @@ def wilcoxon_partition(spark, sf_dir):
     return wilcoxon(_ev(spark, sf_dir), F.col("user_id") % 2, F.col("value"))
 
 
+@query("WITH e AS (SELECT CAST(user_id % 4 AS VARCHAR) AS g, round(value) AS x FROM events), n AS (SELECT DISTINCT g FROM e), p AS (SELECT a.g AS group_a, b.g AS group_b FROM n a JOIN n b ON a.g < b.g), r AS (SELECT group_a, group_b, g, rank() OVER (PARTITION BY group_a, group_b ORDER BY x) + (count(*) OVER (PARTITION BY group_a, group_b, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY group_a, group_b, x) AS t FROM p JOIN e ON g = group_a OR g = group_b), s AS (SELECT group_a, group_b, count(*) FILTER (g = group_a)::DOUBLE AS na, count(*) FILTER (g = group_b)::DOUBLE AS nb, sum(r) FILTER (g = group_a)::DOUBLE AS w, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY ALL) SELECT group_a, group_b, na::BIGINT AS n_a, nb::BIGINT AS n_b, round(w, 6) AS rank_sum, round(sign(w - na * (na + nb + 1) / 2) * greatest(abs(w - na * (na + nb + 1) / 2) - 0.5, 0) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))), 6) AS z FROM s")
+def wilcoxon_pairs(spark, sf_dir):
+    from .operators.study import wilcoxon_pairs as wilcoxon
+
+    return wilcoxon(_ev(spark, sf_dir), F.col("user_id") % 4, F.round("value")).drop("p")  # DuckDB has no normal distribution
+
+
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'NO_VALUE' WHEN event_id % 5 = 0 THEN 'NO_SITE' ELSE 'INCLUDED' END AS reason FROM events) GROUP BY reason")
 def input_audit(spark, sf_dir):
     from .operators.study import input_audit as audit

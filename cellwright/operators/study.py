@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as S
 from ..functions import values as V
-from .statistics import average_rank
+from .statistics import average_rank, running_sums
 
 
 def sample_summary(df: DataFrame, groups: dict[str, Column], value: str, policy: str = "DELETE", lower: str | None = None, upper: str | None = None) -> DataFrame:
@@ -102,13 +102,44 @@ def lilliefors(x: np.ndarray) -> tuple[float, float]:
 
 
 def wilcoxon_partition(df: DataFrame, group: Column, value: Column) -> DataFrame:
-    """Two groups: rank sum, z and two-sided p from ranks over distinct values."""
+    """Two groups: rank sum and z without corrections.  More groups are refused; :func:`wilcoxon_pairs` takes any number, with p."""
     x = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null")
     s = average_rank(x, "x", "rank").groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("w"))
-    two = s.agg(F.min_by("g", "g").alias("group_a"), F.max_by("g", "g").alias("group_b"), F.min_by("n", "g").alias("n_a"), F.max_by("n", "g").alias("n_b"), F.min_by("w", "g").alias("w"))
+    two = s.agg(F.count("*").alias("groups"), F.min_by("g", "g").alias("group_a"), F.max_by("g", "g").alias("group_b"), F.min_by("n", "g").alias("n_a"), F.max_by("n", "g").alias("n_b"), F.min_by("w", "g").alias("w"))
     n = F.col("n_a") + F.col("n_b")
     z = (F.col("w") - F.col("n_a") * (n + 1) / 2) / F.sqrt(F.col("n_a").cast("double") * F.col("n_b") * (n + 1) / 12)
-    return two.select("group_a", "group_b", "n_a", "n_b", F.round("w", 6).alias("rank_sum"), F.round(z, 6).alias("z"))
+    w = F.when(F.col("groups") > 2, F.raise_error(F.lit("more than two groups: use wilcoxon_pairs")).cast("double")).otherwise(F.col("w"))
+    return two.select("group_a", "group_b", "n_a", "n_b", F.round(w, 6).alias("rank_sum"), F.round(z, 6).alias("z"))
+
+
+def wilcoxon_pairs(df: DataFrame, group: Column, value: Column) -> DataFrame:
+    """Every pair of groups: rank sum of the first, z with tie and continuity correction, two-sided p.
+
+    Ranks are taken within the pair, from counts of distinct values: a pair sees one row per value and group.
+    z is the distance from the mean rank sum less 1/2, never beyond 0; without variance z is 0 and p 1.
+    """
+    x = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null")
+    counts = x.groupBy("g", "x").agg(F.count("*").alias("k"))
+    names = x.select("g").distinct()
+    pairs = names.select(F.col("g").alias("group_a")).join(names.select(F.col("g").alias("group_b")), F.col("group_a") < F.col("group_b"))
+    first = counts.join(pairs, F.col("g") == F.col("group_a")).select("group_a", "group_b", "x", F.col("k").alias("ka"), F.lit(0).cast("bigint").alias("kb"))
+    second = counts.join(pairs, F.col("g") == F.col("group_b")).select("group_a", "group_b", "x", F.lit(0).cast("bigint").alias("ka"), F.col("k").alias("kb"))
+    by = ["group_a", "group_b"]
+    v = first.unionByName(second).groupBy(*by, "x").agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb")).withColumn("t", F.col("ka") + F.col("kb"))
+    r = running_sums(v, "x", {"t": "upto"}, by)
+    rank, t = F.col("upto") - (F.col("t") - 1) / 2, F.col("t").cast("double")
+    g = r.groupBy(*by).agg(F.sum("ka").alias("n_a"), F.sum("kb").alias("n_b"), F.sum(F.col("ka") * rank).alias("w"), F.sum(t * t * t - t).alias("ties"))
+    a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    n = a + b
+    off = F.col("w") - a * (n + 1) / 2
+    var = a * b / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))
+    z = F.when(var > 0, F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(F.lit(0.0))
+
+    @F.pandas_udf("double")
+    def p(z: pd.Series) -> pd.Series:
+        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)))
+
+    return g.select(*by, "n_a", "n_b", F.round("w", 6).alias("rank_sum"), z.alias("_z")).select(*by, "n_a", "n_b", "rank_sum", F.round("_z", 6).alias("z"), F.round(p("_z"), 8).alias("p"))
 
 
 def input_audit(df: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:

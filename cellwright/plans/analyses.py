@@ -155,7 +155,7 @@ def interval_study(ds: Dataset, options: dict) -> Output:
         tables[f"{c}:normality"] = study.normality(base, by, x)
         if len(by) == 1 and by != ["_all"]:
             tables[f"{c}:partition"] = intervals.harris_boyd(base, [], F.col(f"`{by[0]}`"), x)
-            tables[f"{c}:wilcoxon"] = study.wilcoxon_partition(base, F.col(f"`{by[0]}`"), x)
+            tables[f"{c}:wilcoxon"] = study.wilcoxon_pairs(base, F.col(f"`{by[0]}`"), x)
         if low := ci(options, "VERIFY_LOW"):
             tables[f"{c}:tails"] = intervals.tails(base, by, x, float(low), float(ci(options, "VERIFY_HIGH")))
     return Output("RI_EP28", ds, tables)

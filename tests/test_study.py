@@ -141,3 +141,22 @@ def test_method_comparison(spark):
     assert at[10.0][0] == pytest.approx(3.0, abs=0.05) and at[0.0][1] is None
     t = intervals.tail_confidence(intervals.tails(df, ["item"], F.col("v"), 2, 40)).first()
     assert t.below_ci.low < t.below_share < t.below_ci.high
+
+
+def test_wilcoxon_of_every_pair_with_ties(spark):
+    import math
+
+    values = {"a": [1, 2, 2, 3, 3, 3, 5], "b": [2, 3, 4, 4, 5, 5, 6, 6], "c": [3, 3, 9, 9, 9, 7], "d": [3, 3]}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [(None, 1.0), ("a", None)], "g string, x double")
+    got = {(r.group_a, r.group_b): r for r in study.wilcoxon_pairs(df, F.col("g"), F.col("x")).collect()}
+    assert set(got) == {(a, b) for a in values for b in values if a < b}
+    for (a, b), r in got.items():
+        x, y = values[a], values[b]
+        u, n, pool = sum((i > j) + (i == j) / 2 for i in x for j in y), len(x) + len(y), x + y
+        ties = sum(pool.count(v) ** 3 - pool.count(v) for v in set(pool))
+        d, sd = u - len(x) * len(y) / 2, math.sqrt(len(x) * len(y) / 12 * (n + 1 - ties / (n * (n - 1))))
+        z = math.copysign(max(abs(d) - 0.5, 0) / sd, d)
+        assert (r.n_a, r.n_b) == (len(x), len(y)) and r.rank_sum == u + len(x) * (len(x) + 1) / 2
+        assert r.z == pytest.approx(z, abs=1e-6) and r.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-7)
+    with pytest.raises(Exception, match="wilcoxon_pairs"):
+        study.wilcoxon_partition(df, F.col("g"), F.col("x")).collect()
