@@ -131,7 +131,7 @@ def reference_interval(ds: Dataset, options: dict) -> Output:
 
 @step("RI_EP28")
 def interval_study(ds: Dataset, options: dict) -> Output:
-    """Cohort, optional latent exclusion and trimming, outliers, then each method by partition, with audit and sensitivity tables."""
+    """Cohort, optional trimming (once, on the values' own scale), outliers, then each method by partition, with an audit table."""
     df = ds.df
     if tests := as_list(ci(options, "INCLUDE")):
         holds, _ = eligibility(tests, {t["COLUMN_ID"]: ds.col(f"id:{t['COLUMN_ID']}") for t in tests})
@@ -145,7 +145,7 @@ def interval_study(ds: Dataset, options: dict) -> Output:
     tables = {"audit": audit}
     for c in result_columns(ds, options):
         x = numbers(ds, c, options)
-        base = study.gaussian_trim(df, by, x, float(ci(options, "TRIM"))) if ci(options, "TRIM") else df
+        base = study.gaussian_trim(df, by, x, float(ci(options, "TRIM")), 1) if ci(options, "TRIM") else df
         methods = [str(m).upper() for m in as_list(ci(options, "METHOD", default=["NONPARAMETRIC"]))]
         parts = [intervals.reference_intervals(base, by, x, m, ci(options, "OUTLIERS"), int(ci(options, "BOOTSTRAP_N", default=0))).withColumn("method", F.lit(m)) for m in methods]
         out = parts[0]

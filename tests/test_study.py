@@ -160,3 +160,13 @@ def test_wilcoxon_of_every_pair_with_ties(spark):
         assert r.z == pytest.approx(z, abs=1e-6) and r.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-7)
     with pytest.raises(Exception, match="wilcoxon_pairs"):
         study.wilcoxon_partition(df, F.col("g"), F.col("x")).collect()
+
+
+def test_interval_study_trims_once(spark):
+    """After 1000 is gone, 30 lies beyond 3 SD of the others, but stays."""
+    from cellwright.plans import runner
+
+    values = [10.0 + i % 5 for i in range(60)] + [30.0, 1000.0]
+    ds = Dataset(spark.createDataFrame([(v,) for v in values], "x double"), {"x": ("RESULT", "NUM")})
+    row = runner.run_step(ds, "RI_EP28", {"TRIM": 3}).tables["x:limits"].first()
+    assert row.n == 61
