@@ -282,6 +282,12 @@ def act_sort_top(spark, sf_dir):
     return run_action(ds, {"TYPE": "SORT", "BY": ["value"], "ASCENDING": False}).df.limit(100).select("event_id", "value")
 
 
+@query("SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS place FROM events")
+def act_sort(spark, sf_dir):
+    out = run_action(events(spark, sf_dir), {"TYPE": "SORT", "BY": ["value"], "ASCENDING": False}).df.withColumn("_at", F.monotonically_increasing_id())
+    return out.select("event_id", "value", F.row_number().over(Window.orderBy("_at")).cast("bigint").alias("place"))
+
+
 @query("SELECT l_orderkey, l_linenumber, measure, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR measure IN (l_quantity, l_discount, l_tax))")
 def act_pivot_longer(spark, sf_dir):
     ds = Dataset(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"))
@@ -321,6 +327,37 @@ for _how, _sql in (("left", "LEFT"), ("inner", "INNER"), ("right", "RIGHT"), ("o
     query(f"SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_name FROM orders {_sql} JOIN {_CUSTOMERS} ON o_custkey = c_custkey")(_join(_how))
 
 
+def _moved_customers(spark, sf_dir) -> Dataset:
+    """All customers; a fourth of the keys are mapped to keys that no order has."""
+    key = F.when(F.col("c_custkey") % 4 == 0, -F.col("c_custkey") - 1).otherwise(F.col("c_custkey"))
+    return Dataset(table(spark, sf_dir, "customer").select(key.alias("c_custkey"), "c_name", "c_nationkey"), {"c_name": ("NAME",)})
+
+
+_MOVED_CUSTOMERS = "(SELECT CASE WHEN c_custkey % 4 = 0 THEN -c_custkey - 1 ELSE c_custkey END AS c_custkey, c_name FROM customer)"
+
+
+def _whole_join(how):
+    def f(spark, sf_dir):
+        return join_datasets(orders(spark, sf_dir), _moved_customers(spark, sf_dir), ["o_custkey"], ["c_custkey"], how, ["c_name"]).df.select("o_orderkey", "o_custkey", "c_name")
+
+    f.__name__ = f"join_whole_{how}"
+    return f
+
+
+for _how, _sql in (("left", "LEFT"), ("inner", "INNER"), ("right", "RIGHT"), ("outer", "FULL")):
+    query(f"SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_name FROM orders {_sql} JOIN {_MOVED_CUSTOMERS} ON o_custkey = c_custkey")(_whole_join(_how))
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM {_MOVED_CUSTOMERS})")
+def join_whole_unmatched_left(spark, sf_dir):
+    return unmatched(orders(spark, sf_dir), _moved_customers(spark, sf_dir), ["o_custkey"], ["c_custkey"])[0].select("o_orderkey")
+
+
+@query(f"SELECT c_custkey FROM {_MOVED_CUSTOMERS} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def join_whole_unmatched_right(spark, sf_dir):
+    return unmatched(orders(spark, sf_dir), _moved_customers(spark, sf_dir), ["o_custkey"], ["c_custkey"])[1].select("c_custkey")
+
+
 @query("SELECT a.event_id, b.n FROM events a JOIN (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.event_type = b.event_type")
 def join_composite(spark, sf_dir):
     ds = events(spark, sf_dir)
@@ -387,6 +424,22 @@ def snapshot_diff_keyed(spark, sf_dir):
     return multi.snapshot_diff(o.where("o_orderkey % 10 <> 1"), new, ["o_orderkey"])
 
 
+@query("SELECT CASE WHEN change = 'added' THEN -o_orderkey - 1 ELSE o_orderkey END AS o_orderkey, change, CASE WHEN change = 'modified' THEN 'o_totalprice' END AS columns FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 10 = 0 THEN ['removed', 'added'] ELSE ['modified'] END) AS change FROM orders WHERE o_orderkey % 10 IN (0, 2))")
+def snapshot_diff_whole(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    k = F.col("o_orderkey")
+    new = o.select(F.when(k % 10 == 0, -k - 1).otherwise(k).alias("o_orderkey"), F.when(k % 10 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), "o_orderstatus")
+    return multi.snapshot_diff(o, new, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 10 = 1 THEN 'NEW' WHEN o_orderkey % 10 = 2 THEN 'CHANGED' ELSE 'SAME' END AS status FROM orders")
+def result_annotation_whole(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    old = o.select(F.when(k % 10 == 1, -k - 1).otherwise(k).alias("o_orderkey"), F.when(k % 10 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return multi.annotate_results(old, o, ["o_orderkey"], "o_totalprice")
+
+
 @query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 10 = 1 THEN 'NEW' WHEN o_orderkey % 10 = 2 THEN 'CHANGED' ELSE 'SAME' END AS status FROM orders")
 def result_annotation(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
