@@ -14,14 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import worker
+from .names import column
 
 #: The mark for a space, what an unknown character costs below the worst piece.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
-#: Words a worker remembers, in each of two generations.
-MEMO_WORDS = 400_000
+#: Words a worker remembers, in each of two generations; longer words are encoded each time.
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
 
 
 class PieceCodec:
@@ -62,28 +62,36 @@ class PieceCodec:
         return cls(plain, byte_ids, memo_words)
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
-        """Best path over a text whose spaces are marked already."""
-        n, unknown = len(text), self.unknown
+        """Best path over a text whose spaces are marked already.
+
+        A character that is no piece by itself can be an unknown one, also where a longer piece ends with it.
+        """
+        n = len(text)
         best: list[float | None] = [None] * (n + 1)
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        best[0], done = 0.0, 0
+        best[0], done, known = 0.0, 0, 0  # positions up to `done` are settled; `known`: last end of a one-character piece
         for end, (size, i, score) in self.automaton.iter(text):
             end += 1
-            while done < end - 1:  # positions at which no piece ends
+            while done < end - 1:
                 done += 1
-                if best[done] is None:
-                    best[done], back[done] = best[done - 1] + unknown, (done - 1, -1)
+                if done != known:
+                    self._unknown(best, back, done)
             before = best[end - size]
             if best[end] is None or before + score > best[end]:
                 best[end], back[end] = before + score, (end - size, i)
             if size == 1:
-                done = end
+                known = end
         while done < n:
             done += 1
-            if best[done] is None:
-                best[done], back[done] = best[done - 1] + unknown, (done - 1, -1)
+            if done != known:
+                self._unknown(best, back, done)
         return self._walk(text, back, best[n])
 
+    def _unknown(self, best: list[float | None], back: list[tuple[int, int]], at: int) -> None:
+        score = best[at - 1] + self.unknown
+        if best[at] is None or score > best[at]:
+            best[at], back[at] = score, (at - 1, -1)
+
     def _walk(self, text: str, back: list[tuple[int, int]], score: float) -> tuple[list[int], float]:
         out, at = [], len(text)
         while at:
@@ -102,6 +110,8 @@ class PieceCodec:
             if got is None:
                 ids, score = self.viterbi(word)
                 got = (np.asarray(ids, dtype="<i4").tobytes(), score)
+                if len(word) > MEMO_CHARS:
+                    return got
             if len(self.young) >= self.limit:
                 self.young, self.old = {}, self.young
             self.young[word] = got
@@ -156,7 +166,7 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
                 yield pa.record_batch(cols, names=names)
 
     schema = "doc_id bigint, n_pieces bigint, score double, ids_crc32 bigint, round_trip boolean" + ("" if digest_only else ", ids array<int>")
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text")).mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -167,4 +177,4 @@ def decode_pieces(encoded: DataFrame, model_path: str, doc_id: str = "doc_id", i
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), pa.array([codec.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select(column(doc_id).cast("bigint").alias("doc_id"), column(ids).alias("ids")).mapInArrow(run, "doc_id bigint, text string")
