@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import worker
+from .names import column
 from .storage import Scratch
 
 #: Window length, the id that ends a document, most queues whose counts are held densely, largest broadcast of offsets (rows).
 LENGTH, END_ID, MAX_QUEUES, BROADCAST_ROWS = 2048, 1, 1024, 200_000
-#: Words a worker remembers, in each of two generations.
-MEMO_WORDS = 400_000
+#: Words a worker remembers, in each of two generations; longer words are encoded each time.
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
 #: Windows whose counts are computed together.
 BLOCK = 512
 #: Tokens of a cell of due time (more if there are more queues), and queues handled together in one.
@@ -80,7 +81,7 @@ class WordMemo:
         for w in words:
             core = w.strip(MARKS)
             at = w.find(core)
-            if core.isalpha() and "'" not in w[:at]:
+            if core.isalpha() and len(w) <= MEMO_CHARS and "'" not in w[:at]:
                 parts.append((w, w[:at], core, w[at + len(core) :]))
                 if core not in self.cores:
                     fresh.add(core)
@@ -128,6 +129,8 @@ class WordMemo:
                 self._learn(missing)
             get = self.young.__getitem__
             out += [b"".join(map(get, words)) if ok else self._ids(t) for t, ok, words in zip(texts[a : a + 64], plain[a : a + 64], split[a : a + 64], strict=True)]
+            for w in [w for w in missing if len(w) > MEMO_CHARS]:
+                del self.young[w]
             if len(self.young) > self.limit:
                 self.young, self.old = {}, self.young
         return out
@@ -285,7 +288,7 @@ def pack(docs: DataFrame, scratch: Scratch, encoder: Callable[[], Callable[[list
     table gives no pieces; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
+    rows = docs.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text"), column(source).cast("string").alias("source"))
     coded = scratch.put(rows.mapInArrow(_counted(encoder, end_id), "part int, queue string, before bigint, doc_id bigint, n bigint, ids binary"), "ids")
     sums = scratch.put(coded.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
