@@ -7,10 +7,13 @@ tokens is as confident.  Rules match by an inverted index: each is filed under i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import column
 from .storage import Scratch
 
 #: Fixed values: (verdict, host, path), in the order they are given.
@@ -62,24 +65,34 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
 
 
 def mine_rules(tokens: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``tokens(tokens, bad)`` of labelled pages -> rules(rule_tokens, anchor, confidence, support).
+    """``tokens(tokens, bad)`` of labelled pages -> rules(parts, anchor, confidence, support).
 
-    The number of frequent combinations is bounded by the thresholds and by the tokens of one
-    URL, not by the number of pages.  No labelled pages give no rules.
+    A rule matches a URL that has a token of each of its ``parts``.  Tokens that occur in the very same labelled pages are one item while rules are mined: a
+    combination of several of them says no more than one does, and forty parameters that always come together would have 2^40 combinations.  Only tokens on
+    enough bad pages are mined.  ``anchor`` is the rarest part.  No labelled pages give no rules.
     """
-    baskets = scratch.put(tokens.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0"), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    pages = scratch.put(tokens.where("size(tokens) > 0").select(F.monotonically_increasing_id().alias("uid"), F.array_distinct("tokens").alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")), "labelled")
+    n = pages.count()
+    least = max(1, math.ceil(min_support * n))
+    each = pages.select("uid", "bad", F.explode("tokens").alias("token"))
+    # Two sums of 64-bit hashes tell sets of pages apart.
+    where = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("hits"), F.bit_xor(F.xxhash64("uid")).alias("p"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("q")).where(F.col("hits") >= least)
+    groups = scratch.put(where.groupBy("n", "p", "q").agg(F.array_sort(F.collect_list("token")).alias("part")).select(F.col("part")[0].alias("item"), "part", "n"), "groups")
+    items = each.join(groups.select(F.explode("part").alias("token"), "item"), "token").groupBy("uid").agg(F.collect_set("item").alias("items"), F.max("bad").alias("bad"))
+    baskets = scratch.put(items.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "baskets")
+    # The support is counted in all labelled pages, also those without any frequent token; half a page less, against rounding.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, baskets.count())), minConfidence=min_confidence).fit(baskets)
     # With and without BAD side by side, so that the combinations are mined once.
     bad = F.array_contains("items", BAD)
-    sets = model.freqItemsets.groupBy(F.array_sort(F.array_remove("items", BAD)).alias("rule_tokens")).agg(F.max(F.when(bad, F.col("freq"))).alias("hits"), F.max(F.when(~bad, F.col("freq"))).alias("seen"))
-    sets = sets.where("hits is not null and size(rule_tokens) > 0").select("rule_tokens", "hits", (F.col("hits") / F.col("seen")).alias("confidence"))
+    sets = model.freqItemsets.groupBy(F.array_sort(F.array_remove("items", BAD)).alias("rule")).agg(F.max(F.when(bad, F.col("freq"))).alias("hits"), F.max(F.when(~bad, F.col("freq"))).alias("seen"))
+    sets = sets.where("hits is not null and size(rule) > 0").select("rule", "hits", (F.col("hits") / F.col("seen")).alias("confidence"))
     sets = scratch.put(sets, "sets")
-    found = sets.where(F.col("confidence") >= min_confidence)
-    longest = found.agg(F.max(F.size("rule_tokens"))).first()[0] or 0
-    pruned = _irredundant(sets, longest, scratch).where(F.col("confidence") >= min_confidence).select("rule_tokens", "confidence", (F.col("hits") / baskets.count()).alias("support"))
-    counts = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    anchors = pruned.select("rule_tokens", F.explode("rule_tokens").alias("token")).join(counts, "token").groupBy("rule_tokens").agg(F.min(F.struct("n", "token"))["token"].alias("anchor"))
-    return scratch.put(pruned.join(anchors, "rule_tokens"), "pruned")
+    longest = sets.where(F.col("confidence") >= min_confidence).agg(F.max(F.size("rule"))).first()[0] or 0
+    pruned = _irredundant(sets, longest, scratch).where(F.col("confidence") >= min_confidence).select("rule", "confidence", (F.col("hits") / max(1, n)).alias("support"))
+    parts = pruned.withColumn("item", F.explode("rule")).join(groups, "item")
+    rules = scratch.put(parts.groupBy("rule", "confidence", "support").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.min(F.struct("n", "part"))["part"].alias("anchor")).drop("rule"), "rules")
+    scratch.drop(pages, groups, baskets, sets)
+    return rules
 
 
 def _irredundant(sets: DataFrame, longest: int, scratch: Scratch) -> DataFrame:
@@ -88,13 +101,13 @@ def _irredundant(sets: DataFrame, longest: int, scratch: Scratch) -> DataFrame:
     All subsets of a frequent set are in ``sets``, so each size takes the best confidence below it from the size
     before: a set of n tokens looks up n sets, however large n is.
     """
-    level = sets.where("size(rule_tokens) = 1").withColumn("below", F.lit(None).cast("double"))
+    level = sets.where("size(rule) = 1").withColumn("below", F.lit(None).cast("double"))
     out = level
     for size in range(2, longest + 1):
-        best = level.select(F.col("rule_tokens").alias("part"), F.greatest("confidence", "below").alias("best"))
-        parts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.filter("rule_tokens", lambda x, i: i != k))
-        below = sets.where(F.size("rule_tokens") == size).select("*", F.explode(parts).alias("part")).join(best, "part")
-        level = scratch.put(below.groupBy("rule_tokens", "hits", "confidence").agg(F.max("best").alias("below")), "level")
+        best = level.select(F.col("rule").alias("part"), F.greatest("confidence", "below").alias("best"))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.filter("rule", lambda x, i: i != k))
+        below = sets.where(F.size("rule") == size).select("*", F.explode(parts).alias("part")).join(best, "part")
+        level = scratch.put(below.groupBy("rule", "hits", "confidence").agg(F.max("best").alias("below")), "level")
         out = out.unionByName(level)
     return out.where("below is null or below < confidence").drop("below")
 
@@ -108,7 +121,7 @@ def judge_pages(pages: DataFrame, labels: DataFrame | None, scratch: Scratch, pa
     Repeated pages get a row each; an empty table gives none; other columns are not read.
     """
     u = F.col("_url")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url")).withColumn("host", host_of(u)).withColumn("path", path_of(u)).withColumn("tokens", url_tokens(F.col("host"), F.col("path"), u)).withColumn("fixed", fixed_rule(F.col("host"), F.col("path")))
+    rows = pages.select(column(page_id).alias("page_id"), column(url).alias("_url")).withColumn("host", host_of(u)).withColumn("path", path_of(u)).withColumn("tokens", url_tokens(F.col("host"), F.col("path"), u)).withColumn("fixed", fixed_rule(F.col("host"), F.col("path")))
     mined = None
     if labels is not None:
         known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
@@ -117,10 +130,10 @@ def judge_pages(pages: DataFrame, labels: DataFrame | None, scratch: Scratch, pa
     if not mined or not n:
         hit = rows.withColumn("mined_confidence", F.lit(None).cast("double"))
     else:
-        index = mined.groupBy("anchor").agg(F.collect_list(F.struct("rule_tokens", "confidence")).alias("rules"))
+        index = mined.withColumn("token", F.explode("anchor")).groupBy("token").agg(F.collect_list(F.struct("parts", "confidence")).alias("rules"))
         index = F.broadcast(index) if n <= BROADCAST_RULES else index
         numbered = scratch.put(rows.withColumn("uid", F.monotonically_increasing_id()), "pages")
-        matched = numbered.where("fixed is null").select("uid", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor").select("uid", F.explode(F.filter("rules", lambda r: F.forall(r["rule_tokens"], lambda t: F.array_contains("tokens", t)))).alias("r")).groupBy("uid").agg(F.max("r.confidence").alias("mined_confidence"))
+        matched = numbered.where("fixed is null").select("uid", "tokens", F.explode("tokens").alias("token")).join(index, "token").select("uid", F.explode(F.filter("rules", lambda r: F.forall(r["parts"], lambda part: F.arrays_overlap(part, "tokens")))).alias("r")).groupBy("uid").agg(F.max("r.confidence").alias("mined_confidence"))
         hit = numbered.join(matched, "uid", "left")
     verdict = F.coalesce(F.col("fixed.verdict"), F.when(F.col("mined_confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return hit.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), verdict.alias("verdict"), "mined_confidence")
