@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,18 +55,15 @@ def by_tile(df: DataFrame, keys: list[str], n: int, work: Callable[[list[dict]],
     return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def forest(n: int, left, right) -> list[int]:
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
     """Smallest index of each index's component under the links left[k] - right[k]."""
-    up = list(range(n))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in zip(left, right, strict=True):
-        a, b = find(int(a)), find(int(b))
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
+    up = np.arange(n)
+    while len(left):
+        low = np.minimum(up[left], up[right])
+        np.minimum.at(up, up[left], low)
+        np.minimum.at(up, up[right], low)
+        while (up[up] != up).any():
+            up = up[up]
+        apart = up[left] != up[right]
+        left, right = left[apart], right[apart]
+    return up.tolist()
