@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import column, fresh
+
 #: Fixed value: 2^19 words of 8 bytes.
 MAX_WORDS = 1 << 19
 
@@ -28,13 +30,17 @@ def _mask(h: Column) -> Column:
 
 
 def with_maybe(df: DataFrame, key: Column, keys: DataFrame, name: str = "_maybe") -> DataFrame:
-    """``df`` plus ``name``: false only where the key is surely not in the single column of ``keys``."""
+    """``df`` plus ``name``: false only where the key is surely not in the single column of ``keys``.
+
+    ``name`` must be new to ``df``; other columns may have any names.
+    """
     n = keys.count()
     words = 1
     while words < MAX_WORDS and words * 4 < n:
         words *= 2
     h = F.xxhash64(F.col(keys.columns[0]))
-    bits = keys.select(_word(h, words).alias("_w"), _mask(h).alias("_m")).groupBy("_w").agg(F.expr("bit_or(_m)").alias("_b"))
+    at, word, bits = fresh([*df.columns, name], "_at", "_word", "_bits")
+    filled = keys.select(_word(h, words).alias(word), _mask(h).alias("mask")).groupBy(word).agg(F.bit_or("mask").alias(bits))
     mine = F.xxhash64(key)
-    j = df.withColumn("_k", _word(mine, words)).join(F.broadcast(bits), F.col("_k") == F.col("_w"), "left")
-    return j.withColumn(name, F.coalesce(F.col("_b").bitwiseAND(_mask(mine)) == _mask(mine), F.lit(False))).drop("_k", "_w", "_b")
+    joined = df.withColumn(at, _word(mine, words)).join(F.broadcast(filled), F.col(at) == F.col(word), "left")
+    return joined.select(*[column(c) for c in df.columns], F.coalesce(F.col(bits).bitwiseAND(_mask(mine)) == _mask(mine), F.lit(False)).alias(name))

@@ -22,6 +22,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from . import worker
 from .bloom import with_maybe
 from .components import connected_components
+from .names import column, columns, fresh, numbered
 from .storage import Scratch, partitions
 from .tiles import by_tile, forest, with_tiles
 
@@ -131,14 +132,13 @@ def _signed(words: int, bands: int, rows: int):
 
 
 def _shingled(words: int):
+    """Digest and n-grams of each text with words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
-                joined = [words_of(t) for t in batch.column("text").to_pylist()]
-                ok = [hashlib.blake2b(w, digest_size=16).digest() == n for w, n in zip(joined, batch.column("node").to_pylist(), strict=True)]
-                grams = [shingles(w, words).tobytes() if o else b"" for w, o in zip(joined, ok, strict=True)]
-                yield pa.record_batch([batch.column("node"), pa.array(ok), pa.array(grams, pa.binary())], names=["node", "ok", "grams"])
+                joined = {words_of(t) for t in whole.column("text").slice(a, 512).to_pylist()} - {b""}
+                yield pa.record_batch([pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in joined], pa.binary()), pa.array([shingles(w, words).tobytes() for w in joined], pa.binary())], names=["node", "grams"])
 
     return run
 
@@ -154,7 +154,7 @@ def near_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     """
     spark = docs.sparkSession
     bands = choose_bands(threshold, recall, rows)
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text"))
     signed = scratch.put(source.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_signed(words, bands, rows), "doc_id bigint, uid bigint, node binary, bands array<bigint>, n_grams bigint"), "signed")
     classes = scratch.put(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("first"), F.first("bands").alias("bands"), F.max("n_grams").alias("n_grams")), "classes")
     buckets = classes.select("node", F.posexplode("bands").alias("band", "hash"))
@@ -164,17 +164,18 @@ def near_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     # A block is full at BLOCK_ROWS classes or at BLOCK_GRAMS n-grams each on average, whatever comes first.
     # Written, so that the join below has two plain exchanges, whose large partitions adaptive execution can split.
     sizes = scratch.put(clusters.join(classes.select("node", "n_grams"), "node").groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("size")), "sizes")
-    # Only members of clusters are read again, once per class.
     members = scratch.put(clusters.join(sizes, "cluster").join(classes, "node").select("node", "cluster", "size", "n", "bands", F.col("first.doc_id").alias("rid")), "members")
-    likely = with_maybe(source, F.col("doc_id"), members.select("rid")).where("_maybe")
-    texts = likely.join(members.select("node", "rid"), likely["doc_id"].eqNullSafe(F.col("rid"))).select("node", "text")
-    grams = texts.mapInArrow(_shingled(words), "node binary, ok boolean, grams binary").where("ok").drop("ok")
+    # Only ids of members are read again.  N-grams meet their class by digest, and rows of one text are combined on
+    # the map side, so that an id on many rows multiplies nothing.
+    likely = with_maybe(source, F.col("doc_id"), members.select("rid")).where("_maybe").select("text")
+    grams = likely.mapInArrow(_shingled(words), "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
     tiled = with_tiles(members.select("node", "cluster", "size", "n", "bands").join(grams, "node"), F.col("size"), F.col("node"), block_rows).select("cluster", "bi", "bj", "own", "node", "n", "bands", "grams")
 
     def compare(unit: list[dict]) -> list[tuple]:
         return _compare(unit, threshold)
 
     found = scratch.put(by_tile(tiled, ["cluster", "bi", "bj"], 2 * partitions(spark), compare, "node binary, links bigint, parent binary"), "found")
+    scratch.drop(clusters, sizes, members)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b")), scratch)
     linked = links.join(groups, "node", "left").join(classes, "node").withColumn("component", F.coalesce("component", "node"))
@@ -183,17 +184,13 @@ def near_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     of = scratch.put(linked.join(best, "component").select("node", "links", "best"), "of")
     # Rows of classes that link with no other class need no more than their class.
     per_class = scratch.put(classes.join(of, "node", "left").where("links is not null or n > 1").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("best", "first").alias("best")), "per_class")
+    scratch.drop(classes, found, linked, best, of)
     out = signed.select("doc_id", "uid", "node").join(per_class, "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("group_id"), F.when(F.col("best").isNull(), F.lit(True)).otherwise(F.col("best.uid") == F.col("uid")).alias("kept"), "uid", "node")
 
 
 def _compare(unit: list[dict], threshold: float) -> list[tuple]:
-    seen, rows = set(), []
-    for r in unit:  # repeated rows of one id give a class's n-grams more than once
-        if r["node"] not in seen:
-            seen.add(r["node"])
-            rows.append(r)
-    rows.sort(key=lambda r: r["node"])
+    rows = sorted(unit, key=lambda r: r["node"])
     own = np.asarray([r["own"] for r in rows])
     same = rows[0]["bi"] == rows[0]["bj"]
     a = np.flatnonzero(own == rows[0]["bi"])
@@ -247,31 +244,35 @@ def _common(grams: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 
 
 def drop_near_copies(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which none of the same group stays before them, with all their columns.
+    """The rows of ``docs`` of which none of the same group stays before them, with all their columns as they are, whatever their names.
 
-    Rows are found again by doc_id; a doc_id with both kept and dropped rows is settled by its words.
+    Rows are found again by doc_id; a doc_id with both kept and dropped rows is settled by its words.  Every row without words stays.  Where
+    doc_id and words both repeat, the row whose columns (but maps) hash highest stays.
     """
     marked = scratch.put(near_texts(docs, scratch, doc_id, text).select("doc_id", "node", "kept"), "marked")
-    gone = scratch.put(marked.where("not kept").select(F.col("doc_id").alias("_id"), "node"), "gone")
-    repeated = marked.groupBy(F.col("doc_id").alias("_rid")).agg(F.count("*").alias("n")).where("n > 1")
-    clash = scratch.put(repeated.join(gone, F.col("_rid").eqNullSafe(F.col("_id")), "left_semi").select(F.col("_rid").alias("_id")), "clash")
-    flagged = with_maybe(docs, F.col(doc_id), gone.select("_id"))
-    likely = flagged.where("_maybe").drop("_maybe")
-    plain = flagged.where("not _maybe").drop("_maybe").unionByName(likely.join(gone, likely[doc_id].eqNullSafe(gone["_id"]), "left_anti"))
+    maybe, gid, rid, node, row = fresh(docs.columns, "_maybe", "_gid", "_rid", "_node", "_row")
+    key = column(doc_id).cast("bigint")
+    gone = scratch.put(marked.where("not kept").select(F.col("doc_id").alias(gid)).distinct(), "gone")
+    repeated = marked.groupBy(F.col("doc_id").alias(rid)).agg(F.count("*").alias("n")).where("n > 1")
+    clash = scratch.put(repeated.join(gone, F.col(rid).eqNullSafe(F.col(gid)), "left_semi").select(rid), "clash")
+    flagged = with_maybe(docs, key, gone, maybe)
+    plain = flagged.where(~F.col(maybe)).select(*columns(docs)).union(flagged.where(maybe).join(gone, key.eqNullSafe(F.col(gid)), "left_anti").select(*columns(docs)))
     if clash.isEmpty():
         return plain
     # Repeated ids: keep, for each kept (id, words), one row.
-    keep = marked.where("kept").join(clash, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), "node")
-    node_schema = StructType([*docs.schema.fields, StructField("_node", BinaryType())])
-    tagged = docs.join(clash, docs[doc_id].eqNullSafe(clash["_id"]), "left_semi").mapInArrow(_with_node(text), node_schema)
-    again = tagged.join(keep, tagged[doc_id].eqNullSafe(keep["_id"]) & tagged["_node"].eqNullSafe(keep["node"]), "left_semi").dropDuplicates([doc_id, "_node"])
-    return plain.unionByName(again.select(*docs.columns))
+    stay = marked.where("kept and node is not null").join(clash, F.col("doc_id").eqNullSafe(F.col(rid)), "left_semi").select(F.col("doc_id").alias(rid), F.col("node").alias(f"{node}_"))
+    tagged = numbered(docs.join(clash, key.eqNullSafe(F.col(rid)), "left_semi"))
+    again = tagged.mapInArrow(_with_node(docs.columns.index(text)), StructType([*tagged.schema.fields, StructField("node", BinaryType())])).toDF(*docs.columns, node)
+    found = again.join(stay, key.eqNullSafe(F.col(rid)) & (F.col(node) == F.col(f"{node}_")), "left_semi")
+    first = F.max_by(F.struct(*columns(docs)), F.xxhash64(*[column(c) for c, t in docs.dtypes if "map<" not in t]))
+    one = found.groupBy(key.alias(rid), F.col(node)).agg(first.alias(row)).select(f"{row}.*")
+    return plain.union(again.where(F.col(node).isNull()).select(*columns(docs))).union(one)
 
 
-def _with_node(text: str):
+def _with_node(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined = [words_of(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in joined], pa.binary())], names=[*batch.schema.names, "_node"])
+            joined = [words_of(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in joined], pa.binary())], names=[*batch.schema.names, "node"])
 
     return run

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders of the scopes that are open, innermost last.
+_open: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a fresh local folder only where that is unset (tests)."""
+    """``spark.checkpoint.dir``; a fresh local folder only where that is unset and all tasks run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="cellwright-"))
     return found.rstrip("/")
 
@@ -23,7 +30,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/cellwright/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_open[-1] if _open else shared_dir(spark) + '/cellwright'}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
@@ -36,11 +43,29 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Remove tables that nothing lazy reads any more."""
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._remove(table._scratch_path)
+
+    def close(self) -> None:
+        """Remove all tables, once their last reader has run."""
+        self._remove(self.root)
+
+    @contextmanager
+    def scope(self, name: str) -> Iterator[None]:
+        """Tables of every ``Scratch`` that is made inside are removed at the end."""
+        root = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        _open.append(root)
+        try:
+            yield
+        finally:
+            _open.remove(root)
+            self._remove(root)
+
+    def _remove(self, folder: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
