@@ -17,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import worker
 from .bloom import with_maybe
+from .names import column, columns, fresh
 from .storage import Scratch, partitions
 
 #: Rows that share one set of coded fingerprints.
@@ -139,7 +140,7 @@ def exact_groups(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text
     owner holds about ``owner_rows`` fingerprints whatever the input's size.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).alias("text"))
     owners = max(4, -(-docs.select(F.lit(1)).count() // owner_rows))
     out = "chunk string, owner int, slot int, again boolean, row_id bigint, doc_id bigint, n_chars bigint, sha binary, k int, n int, stream binary"
     both = scratch.put(source.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).mapInArrow(_prints(owners), out), "prints")
@@ -148,6 +149,7 @@ def exact_groups(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text
     rows = both.where("stream is null").select("chunk", "owner", "slot", "again", "row_id", "doc_id", "n_chars", "sha")
     byte = F.conv(F.hex(F.expr("substring(bitmap, cast(slot div 8 as int) + 1, 1)")), 16, 10).cast("int")
     marked = scratch.put(rows.join(maps, ["chunk", "owner"], "left").select("row_id", "doc_id", "n_chars", "sha", (F.col("again") | F.coalesce(F.getbit(byte, F.col("slot") % 8) == 1, F.lit(False))).alias("suspect")), "marked")
+    scratch.drop(both)
 
     # Byte verification: equal bytes meet in one group, a text that only shares a fingerprint does not.  Only
     # suspects, and the few rows that the filter takes for some, are read further and shuffled.
@@ -164,21 +166,24 @@ def exact_groups(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text
 
 
 def drop_exact_copies(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns as they are, whatever their names.
 
-    Ids without a dropped row pass unread; the others are settled by id and SHA-256, and where both
-    repeat, one of the rows stays.
+    Ids without a dropped row pass unread; the others are settled by id and SHA-256.  Where both repeat, the longest of the
+    rows stays, then the one whose columns (but maps) hash highest.
     """
     marked = scratch.put(exact_groups(docs, scratch, doc_id, text).select("doc_id", "kept", "text_sha256"), "marked")
+    maybe, gid, kid, ksha, sha, row = fresh(docs.columns, "_maybe", "_gid", "_kid", "_ksha", "_sha", "_row")
+    key = column(doc_id).cast("bigint")
     # Ids with a dropped row, and their rows that stay: one for each digest.
-    gone = scratch.put(marked.where("not kept").select(F.col("doc_id").alias("_gid")).distinct(), "gone")
-    kept = marked.where("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("_gid")), "left_semi").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha")).distinct()
-    flagged = with_maybe(docs, F.col(doc_id), gone)
-    touched = flagged.where("_maybe")
-    untouched = flagged.where("not _maybe").select(*docs.columns)
-    other = touched.join(gone, touched[doc_id].eqNullSafe(gone["_gid"]), "left_anti").select(*docs.columns)
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANK_PATTERN, "").cast("binary"), 256)
-    twice = touched.join(gone, touched[doc_id].eqNullSafe(gone["_gid"]), "left_semi").withColumn("_sha", sha).withColumn("_len", F.coalesce(F.length(text), F.lit(0)))
-    found = twice.join(kept, twice[doc_id].eqNullSafe(kept["_kid"]) & (F.col("_sha") == F.col("_ksha")), "left_semi")
-    one = found.withColumn("_rn", F.row_number().over(Window.partitionBy(doc_id, "_sha").orderBy(F.desc("_len")))).where("_rn = 1")
-    return untouched.unionByName(other).unionByName(one.select(*docs.columns))
+    gone = scratch.put(marked.where("not kept").select(F.col("doc_id").alias(gid)).distinct(), "gone")
+    kept = marked.where("kept").join(gone, F.col("doc_id").eqNullSafe(F.col(gid)), "left_semi").select(F.col("doc_id").alias(kid), F.col("text_sha256").alias(ksha)).distinct()
+    flagged = with_maybe(docs, key, gone, maybe)
+    untouched = flagged.where(~F.col(maybe)).select(*columns(docs))
+    touched = flagged.where(maybe)
+    other = touched.join(gone, key.eqNullSafe(F.col(gid)), "left_anti").select(*columns(docs))
+    digest = F.sha2(F.regexp_replace(F.coalesce(column(text), F.lit("")), BLANK_PATTERN, "").cast("binary"), 256)
+    found = touched.withColumn(sha, digest).join(kept, key.eqNullSafe(F.col(kid)) & (F.col(sha) == F.col(ksha)), "left_semi")
+    # Combined on the map side, so that rows repeated without end meet as one per task.
+    first = F.max_by(F.struct(*columns(docs)), F.struct(F.coalesce(F.length(column(text)), F.lit(0)), F.xxhash64(*[column(c) for c, t in docs.dtypes if "map<" not in t])))
+    one = found.groupBy(key.alias(kid), F.col(sha)).agg(first.alias(row)).select(f"{row}.*")
+    return untouched.union(other).union(one)

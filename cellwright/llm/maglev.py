@@ -13,9 +13,12 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A prime about 100 times the default shard count, and that count.
+from .names import column, fresh
+
+#: A prime about 100 times the default shard count, that count, and rows in a file.
 TABLE_SIZE = 6553
 N_SHARDS = 64
+ROWS_PER_FILE = 500_000
 
 
 def _is_prime(n: int) -> bool:
@@ -64,14 +67,21 @@ def assign_shards(df: DataFrame, key: str, shards: list[str] | None = None, size
         raise ValueError(f"columns {sorted(taken)} are in the input already")
     shards = shards or [f"shard-{k:05d}" for k in range(N_SHARDS)]
     names = F.split(F.lit("\x00".join(shards[k] for k in lookup_table(shards, size))), "\x00")
-    slot = slot_of(df[key], size)
+    slot = slot_of(column(key), size)
     return df.withColumn(slot_col, slot).withColumn(shard_col, F.element_at(names, (F.col(slot_col) + 1).cast("int")))
 
 
-def write_shards(df: DataFrame, key: str, path: str, shards: list[str] | None = None, size: int = TABLE_SIZE, files_per_shard: int = 4) -> None:
-    """Write one folder per shard.  A shard's rows are dealt over ``files_per_shard`` tasks by
-    the key's hash together with the other columns, so that one hot key does not fill one task."""
-    out = assign_shards(df, key, shards, size)
-    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(files_per_shard))
-    n = len(shards or range(N_SHARDS)) * files_per_shard
-    out.repartition(n, F.col("shard"), salt).drop("slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(df: DataFrame, key: str, path: str, shards: list[str] | None = None, size: int = TABLE_SIZE, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write one folder per shard, in files of about ``rows_per_file`` rows.
+
+    Rows are counted by shard first (as many numbers as shards reach the driver), so that a shard with a hot key gets as many
+    tasks as it needs.  Its rows are dealt by the hash of all columns (but maps) and of the input partition, so that rows repeated without end are spread as well.
+    """
+    names = shards or [f"shard-{k:05d}" for k in range(N_SHARDS)]
+    slot, shard, salt = fresh(df.columns, "slot", "shard", "salt")
+    out = assign_shards(df, key, names, size, slot, shard)
+    files = {r[0]: -(-r[1] // rows_per_file) for r in out.groupBy(shard).agg(F.count("*")).collect()}
+    most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in files.items() for x in kv]), F.col(shard)), F.lit(1)) if files else F.lit(1)
+    mixed = F.xxhash64(*[column(c) for c, t in df.dtypes if "map<" not in t], F.spark_partition_id())
+    dealt = out.withColumn(salt, F.pmod(mixed, most)).repartition(max(1, sum(files.values())), shard, salt)
+    dealt.drop(slot, salt).write.partitionBy(shard).mode("overwrite").parquet(path)

@@ -9,17 +9,20 @@ blocks of exact cosine products, and scored by its nearest neighbours' labels, w
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import worker
+from .names import column, numbered
 
 #: Fixed values.  Bound of the labelled sample, dimensions of the latent space, voting neighbours, cut.
 SAMPLE_ROWS, DIMS, NEIGHBOURS, THRESHOLD = 4096, 48, 25, 0.3
@@ -89,10 +92,12 @@ class Model:
         scores = np.empty(len(texts))
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(texts), BLOCK):
-            cos = self.project(texts[a : a + BLOCK]) @ self.vectors.T
+            own = self.project(texts[a : a + BLOCK])
+            cos = own @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
             votes = np.exp(SHARPNESS * (np.take_along_axis(cos, near, axis=1).astype(np.float64) - 1))
-            scores[a : a + BLOCK] = (votes * self.labels[near]).sum(axis=1) / votes.sum(axis=1)
+            # A text without any term of a labelled one has no neighbours: it scores as labelled texts do on average.
+            scores[a : a + BLOCK] = np.where(own.any(axis=1), (votes * self.labels[near]).sum(axis=1) / votes.sum(axis=1), self.prior)
         return np.clip(scores, 0.0, 1.0)
 
 
@@ -133,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     ``labels(doc_id, quality)``; rows with crc32(doc_id) mod 5 = 0 are held out and never learnt.
     Only the sample's term counts reach the driver, never texts.  A label repeated for a document counts once,
-    its largest value; null ids and labels teach nothing; without any label every score is 1.
+    its largest value; of several texts with one doc_id that with the smallest digest is learnt; null ids and labels teach nothing; without any label every score is 1.
     """
     known = labels.where("doc_id is not null and quality is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
@@ -141,46 +146,65 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return fit([], [])
     spark = docs.sparkSession
     ids = spark.createDataFrame(chosen.astype({"doc_id": "int64", "quality": "int64"}))
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most sample_rows rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [term_counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "terms": [t.astype(np.int32).tobytes() for t, _ in found], "counts": [c.tobytes() for _, c in found]})
+            digest = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "digest": digest, "terms": [t.astype(np.int32).tobytes() for t, _ in found], "counts": [c.tobytes() for _, c in found]})
 
-    got = texts.mapInPandas(count, "doc_id long, quality long, terms binary, counts binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # Repetitions of an id are combined on the map side: at most sample_rows rows reach the driver.
+    counted = texts.mapInPandas(count, "doc_id long, quality long, digest binary, terms binary, counts binary")
+    got = counted.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.struct("digest", "terms", "counts")).alias("x")).select("doc_id", "quality", "x.terms", "x.counts").toPandas().sort_values("doc_id")
     if not len(got):
         return fit([], [])
     found = [(np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(c, np.float32)) for t, c in zip(got["terms"], got["counts"], strict=True)]
     return fit_terms(found, got["quality"].to_numpy().clip(0, 1).astype(np.float64))
 
 
-def held_out(column: str):
-    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+def held_out(name: str) -> Column:
+    return F.pmod(F.crc32(F.coalesce(column(name).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, keep_columns: bool = False) -> DataFrame:
+def _model(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, sample_rows: int) -> Broadcast:
+    named = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
+    return docs.sparkSession.sparkContext.broadcast(learn(named, labels, sample_rows))
+
+
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """Texts become Python objects a slice at a time."""
+    found = [model.score(texts.slice(a, SLICE).to_pylist()) for a in range(0, len(texts), SLICE)]
+    return np.concatenate(found) if found else np.empty(0)
+
+
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    With ``keep_columns`` all columns of ``docs`` are returned as they are, and ``_score`` (one of that name is replaced).  Null and empty texts get a score as
-    well, repeated rows the same one.  Only texts enter a score.  The model stays on the driver's broadcast; there is no shuffle.
+    Null and empty texts get a score as well, repeated rows the same one; an empty table gives no rows.  Only texts enter a score; other columns are
+    not read, whatever their names.  The model stays on the driver's broadcast; there is no shuffle of texts.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(learn(named, labels, sample_rows))
+    model = _model(docs, labels, doc_id, text, sample_rows)
+    named = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.forget()
-        for whole in batches:  # texts become Python objects a slice at a time
-            scores = [model.value.score(whole.column(at).slice(a, SLICE).to_pylist()) for a in range(0, whole.num_rows, SLICE)]
-            found = pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
-            kept = [whole.column(i) for i in passed]
-            yield pa.RecordBatch.from_arrays([*kept, found], names=[*(whole.schema.names[i] for i in passed), "_score"])
-
-    frame = docs.drop("_score") if keep_columns else named
-    at = frame.columns.index(text if keep_columns else "text")
-    passed = range(len(frame.columns)) if keep_columns else [0]
-    fields = [frame.schema.fields[i] for i in passed]
-    out = frame.mapInArrow(run, StructType([*fields, StructField("_score", DoubleType())]))
-    if keep_columns:
-        return out
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model.value, batch.column(1)), pa.float64())], names=["doc_id", "score"])
+
+    out = named.mapInArrow(run, StructType([named.schema.fields[0], StructField("score", DoubleType())]))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns as they are, whatever their names."""
+    model = _model(docs, labels, doc_id, text, sample_rows)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.forget()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model.value, batch.column(at)) >= threshold))
+
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

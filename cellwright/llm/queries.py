@@ -57,7 +57,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
     events = real.unionByName(extra).withColumn("op", F.lit("delta")).withColumn("seq", F.col("turn"))
-    out = chat_format.format_conversations(events)
+    out = chat_format.format_conversations(events, row_turns=True)
     turns = chat_format.read_back(out)
     spoken = F.concat(F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n"))
     listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", spoken.alias("t"), "loss_text", F.lit(0)))).alias("all"), F.sum(F.length("loss_text")).alias("loss_chars"))
@@ -155,8 +155,8 @@ _OP7 = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}'),
 x AS (SELECT *, replace(replace(text, '\\', '\\b'), '<|', '<\\p') AS esc, replace(replace(replace(role, '\\', '\\b'), '<|', '<\\p'), chr(10), '\\l') AS head FROM t)
-SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(esc) + length(head) + 24) AS BIGINT) AS formatted_chars
 FROM x GROUP BY conv_id
 """

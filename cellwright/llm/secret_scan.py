@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import with_maybe
+from .names import column, columns, fresh
 from .storage import Scratch
 
 #: Kind, pattern, group whose length counts, least length.  Kinds rank in this order.
@@ -56,7 +57,7 @@ def find_spans(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     table gives empty results; other columns are not read, whatever their names.  Whole texts are scanned.
     """
     body = F.coalesce(F.col("_text"), F.lit(""))
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    source = docs.select(column(doc_id).alias("doc_id"), column(text).alias("_text"))
     cuts = F.filter(F.array(*[_cuts(body, *p) for p in STRONG + WEAK]), lambda a: a.isNotNull())
     rows = scratch.put(source.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.md5(body.cast("binary")).alias("text_key"), F.flatten(cuts).alias("cuts")), "cuts")
     every = rows.where("size(cuts) > 0").select("uid", F.posexplode("cuts").alias("pos", "cut")).select("uid", "pos", "cut.*")
@@ -98,20 +99,20 @@ def redact(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     """``docs`` with every reported span of ``text`` replaced by ``MASK``; texts without one stay as they are.
 
     Overlapping spans are masked once.  Only documents with spans meet their spans, by doc_id and the
-    text's digest.
+    text's digest, so that repeated rows are all masked.  Other columns pass as they are, whatever their names.
     """
     rows, spans = find_spans(docs, scratch, doc_id, text, scope)
     order = Window.partitionBy("uid").orderBy("s", "e")
     earlier = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     runs = earlier.withColumn("run", F.sum(F.when(F.col("s") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("uid", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_spans"))
-    keyed = scratch.put(merged.join(rows, "uid").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans").dropDuplicates(["_id", "_key"]), "runs")
-    cols = docs.columns
-    flagged = with_maybe(docs, F.col(doc_id), keyed.select("_id"))
-    clean = flagged.where("not _maybe").select(*cols)
-    docs = flagged.where("_maybe").drop("_maybe")
-    held = docs.join(keyed, docs[doc_id].eqNullSafe(keyed["_id"]) & (F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == keyed["_key"]), "left")
-    t = docs[text]
-    parts = F.transform("_spans", lambda x, i: F.concat(F.substring(t, F.when(i == 0, 0).otherwise(F.get("_spans", i - 1)["e"]).cast("int") + 1, (x["s"] - F.when(i == 0, 0).otherwise(F.get("_spans", i - 1)["e"])).cast("int")), F.lit(MASK)))
-    masked = F.concat(F.array_join(parts, ""), F.substring(t, F.element_at("_spans", -1)["e"].cast("int") + 1, F.length(t)))
-    return clean.unionByName(held.select(*[F.when(F.col("_spans").isNull(), t).otherwise(masked).alias(text) if c == text else docs[c] for c in cols]))
+    maybe, id_, key, cuts = fresh(docs.columns, "_maybe", "_id", "_key", "_cuts")
+    merged = runs.groupBy("uid", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias(cuts))
+    keyed = scratch.put(merged.join(rows, "uid").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), cuts).dropDuplicates([id_, key]), "runs")
+    t = column(text)
+    flagged = with_maybe(docs, column(doc_id), keyed.select(id_), maybe)
+    clean = flagged.where(~F.col(maybe)).select(*columns(docs))
+    held = flagged.where(maybe).join(keyed, column(doc_id).eqNullSafe(F.col(id_)) & (F.md5(F.coalesce(t, F.lit("")).cast("binary")) == F.col(key)), "left")
+    at = F.col(cuts)
+    parts = F.transform(at, lambda x, i: F.concat(F.substring(t, F.when(i == 0, 0).otherwise(F.get(at, i - 1)["e"]).cast("int") + 1, (x["s"] - F.when(i == 0, 0).otherwise(F.get(at, i - 1)["e"])).cast("int")), F.lit(MASK)))
+    masked = F.concat(F.array_join(parts, ""), F.substring(t, F.element_at(at, -1)["e"].cast("int") + 1, F.length(t)))
+    return clean.union(held.select(*[F.when(at.isNull(), t).otherwise(masked).alias(text) if c == text else column(c) for c in docs.columns]))
