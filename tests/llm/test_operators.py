@@ -94,6 +94,64 @@ def test_jaccard_repeated_rows_and_empty(spark):
     assert ngram_jaccard.drop_near_copies(docs(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_rows_without_words_all_stay(spark):
+    rows = [(1, ""), (1, None), (1, " \n"), (1, "a b c d e f"), (0, "a b c d e f"), (None, "a b c d e f"), (None, None)]
+    flags = ngram_jaccard.near_texts(docs(spark, rows), Scratch(spark, "t")).where("kept").count()
+    kept = ngram_jaccard.drop_near_copies(docs(spark, rows), Scratch(spark, "t")).collect()
+    assert flags == len(kept) == 5 and sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted([("1", ""), ("1", "None"), ("1", " \n"), ("0", "a b c d e f"), ("None", "None")])
+
+
+def test_one_id_on_many_rows_multiplies_nothing(spark):
+    """All rows share an id: links are found, and the n-grams of each text are compared once."""
+    rows = [(None, " ".join(prose(g, 40) + [f"tail{c}"])) for g in range(30) for c in range(3)]
+    out = ngram_jaccard.near_texts(docs(spark, rows), Scratch(spark, "t")).collect()
+    assert len(out) == 90 and all(r.n_links == 2 for r in out) and sum(r.kept for r in out) == 30
+
+
+OWN = "_maybe _at _word _bits _w _k _b _score _gid _kid _ksha _sha _len _rn _row _rid _id _key _spans _cuts _node".split()
+
+
+def test_every_internal_name_passes_through_the_keeping_forms(spark):
+    """Columns named like the operators' own come back as they were, in their order; dots in names do no harm."""
+    texts = ["a b c d e f", "a b c d e f", "ab cd ef", None, "token = abcdefghijklmnop", "other words here, six in all"]
+    names = ["doc_id", *OWN, "a.b", "text"]
+    rows = [(k % 4, *[f"{n}{k}" for n in OWN], f"dot{k}", t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    lab = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    for keep in (lambda d: exact_dedup.drop_exact_copies(d, Scratch(spark, "t")), lambda d: ngram_jaccard.drop_near_copies(d, Scratch(spark, "t")), lambda d: secret_scan.redact(d, Scratch(spark, "t")), lambda d: quality_knn.keep_good(d, lab)):
+        out = keep(df)
+        assert out.columns == names
+        got = [tuple(r) for r in out.collect()]
+        assert got and {r[:-1] for r in got} <= {r[:-1] for r in rows}
+    assert {r[-1] for r in map(tuple, secret_scan.redact(df, Scratch(spark, "t")).collect())} == {*texts[:4], texts[5], "[SECRET]"}
+    assert exact_dedup.drop_exact_copies(df, Scratch(spark, "t")).count() == 4
+
+
+def test_scratch_is_shared_and_removed(spark, monkeypatch, tmp_path):
+    from cellwright.llm import storage
+
+    outer = Scratch(spark, "outer")
+    with outer.scope("stage"):
+        inner = Scratch(spark, "inner").put(spark.range(3), "x")
+        assert inner._scratch_path.startswith(outer.root) and inner.count() == 3
+    import os
+
+    assert not os.path.exists(inner._scratch_path.removeprefix("file:"))
+    kept = outer.put(spark.range(2), "y")
+    outer.close()
+    assert not os.path.exists(kept._scratch_path.removeprefix("file:"))
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master, applicationId = "spark://far:7077", "x"
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Far)
+
+
 def test_band_count_meets_recall():
     b = ngram_jaccard.choose_bands(0.8, 0.9999, 5)
     assert 1 - (1 - 0.8**5) ** b >= 0.9999 > 1 - (1 - 0.8**5) ** (b - 1)
@@ -127,11 +185,11 @@ def vectors(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_vectors_are_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "strata"), [(1024, 64), (7, 8)])
+def test_vectors_are_brute_force(spark, block, strata):
     rows = vectors()
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, component_id string")
-    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df, Scratch(spark, "t"), block_rows=block).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df, Scratch(spark, "t"), block_rows=block, strata=strata).collect()}
 
     def ok(v):
         return v and all(x is not None and np.isfinite(x) for x in v) and any(v)
@@ -148,14 +206,41 @@ def test_vectors_are_brute_force(spark, block):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(i in p for p in links), want[i], want[i] == i), i
 
 
+def test_far_strata_are_not_compared(spark):
+    """Vectors on an arc: only neighbouring strata meet, and every link is found."""
+    angle = np.linspace(0, np.pi, 400)
+    df = spark.createDataFrame([(i, [float(np.cos(t)), float(np.sin(t))], "l") for i, t in enumerate(angle)], "vec_id long, embedding array<double>, label string")
+    coded = df.select("label", F.col("vec_id").cast("string").cast("binary").alias("cls"), F.lit(1).cast("bigint").alias("n"), F.col("embedding").alias("e")).mapInArrow(lambda bs: (b.set_column(3, "vector", embedding_dedup.pa.array([np.asarray(v).tobytes() for v in b.column("e").to_pylist()])) for b in bs), "label string, cls binary, n bigint, vector binary")
+    tiles = embedding_dedup._tiles(coded, spark.sparkContext.broadcast({2: np.eye(2)}), Scratch(spark, "t"), 0.93, 20, 16)
+    n, blocks = tiles.select("bi", "bj").distinct().count(), tiles.select("own").distinct().count()
+    assert n < blocks * (blocks + 1) / 2 * 0.7
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, Scratch(spark, "t"), block_rows=20, strata=16).collect()}
+    u = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    assert [got[i] for i in range(400)] == ((u @ u.T >= 0.93).sum(axis=1) - 1).tolist()
+
+
+def test_vectors_of_any_size_and_label_type(spark):
+    df = spark.createDataFrame([(1, [1e200, 1.0], 1.2), (2, [1e200, 1.0], 1.2), (3, [1e200, 1.0], 1.7), (4, [1e-300, 0.0], 1.2), (5, [5e-324, 0.0], 1.2)], "vec_id long, embedding array<double>, label double")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, Scratch(spark, "t")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (0, 3), 4: (3, 1), 5: (3, 1)}
+    named = df.select("vec_id", "embedding", F.lit("x").alias("label"))
+    assert {r.n_links for r in embedding_dedup.near_vectors(named, Scratch(spark, "t")).collect()} == {4}
+
+
 def test_pruned_pairs_equal_full_products():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((200, 40)) @ np.diag(np.linspace(3, 0.1, 40))
     x[100:] = x[:100] + rng.standard_normal((100, 40)) * 0.15
     turn = np.linalg.eigh(x.T @ x)[1][:, ::-1]
-    i, j = embedding_dedup.near_pairs(x, turn, np.arange(200), np.arange(200), 0.93)
+    every = np.arange(200)
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(list, np.nonzero(u @ u.T >= 0.93))))
+    for most in (1 << 22, 1000):
+        embedding_dedup.PAIRS, before = most, embedding_dedup.PAIRS
+        i, j = embedding_dedup.near_pairs(x, turn, every, every.copy(), 0.93)
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(list, np.nonzero(u @ u.T >= 0.93))))
+        i, j = embedding_dedup.near_pairs(x, turn, every, every, 0.93)
+        assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*map(list, np.nonzero(np.triu(u @ u.T >= 0.93, 1)))))
+        embedding_dedup.PAIRS = before
 
 
 def test_vectors_empty(spark):
@@ -191,6 +276,8 @@ def test_base_spans_and_links(spark):
 
 
 def test_redaction(spark):
+    every = secret_scan.redact(docs(spark, [*SECRETS, SECRETS[2], SECRETS[2]]), Scratch(spark, "t")).collect()
+    assert len(every) == len(SECRETS) + 2 and sorted(r.text for r in every if r.doc_id == 3) == sorted(['é [SECRET]" and token: short, [SECRET] [SECRET]'] * 3 + ['é [SECRET]"'])
     out = {r.doc_id: r.text for r in secret_scan.redact(docs(spark, SECRETS[:-1]), Scratch(spark, "t")).collect()}
     assert out[1] is None and out[6] == SECRETS[5][1] and out[5] == "[SECRET] then [SECRET] near"
     assert out[3] == 'é [SECRET]" and token: short, [SECRET] [SECRET]' and out[11].startswith("z" * 50_000 + " [SECRET]' [SECRET]")
@@ -216,8 +303,53 @@ def test_classifier_edges(spark):
     assert {r.held_out for r in got if r.doc_id == 100} == {zlib.crc32(b"100") % 5 == 0}
     assert [r.score for r in quality_knn.classify(docs(spark, [(1, "x")]), lab.limit(0)).collect()] == [1.0]
     assert quality_knn.classify(docs(spark, []), lab).count() == 0
-    held = quality_knn.classify(docs(spark, rows), lab, keep_columns=True)
-    assert held.columns == [*docs(spark, []).columns, "_score"]
+    held = quality_knn.keep_good(docs(spark, rows), lab)
+    good = sorted(str(r.doc_id) for r in got if r.predicted)
+    assert held.columns == docs(spark, []).columns and sorted(str(r.doc_id) for r in held.collect()) == good
+
+
+def test_votes_are_brute_force(spark):
+    """Term weights, the latent space by a full SVD and the votes, each written out plainly."""
+    rng = np.random.default_rng(4)
+    texts = [(" ".join(prose(i, 30)) if i % 3 else "".join(rng.choice(list("@#! 9x.,"), 200))) for i in range(90)] + ["", None, "short", "line\nline\nline"]
+    rows = list(enumerate(texts))
+    lab = {i: int(i % 3 > 0) ^ int(i % 17 == 0) for i in range(90)}
+    taught = [i for i in lab if zlib.crc32(str(i).encode()) % 5]
+    terms = [dict(zip(*(x.tolist() for x in quality_knn.term_counts(t)))) for t in texts]
+    df = {}
+    for i in taught:
+        for t in terms[i]:
+            df[t] = df.get(t, 0) + 1
+    names = sorted(df)
+    weight = {t: np.log((1 + len(taught)) / (1 + df[t])) + 0.3 for t in names}
+    free = np.log(1 + len(taught)) + 0.3  # a term that no labelled text has counts in the norm only
+
+    def row(i):
+        x = np.asarray([np.log1p(terms[i].get(t, 0)) * weight[t] for t in names])
+        rest = sum((np.log1p(c) * free) ** 2 for t, c in terms[i].items() if t not in weight)
+        return x / np.sqrt(x @ x + rest)
+
+    x = np.asarray([row(i) for i in taught])
+    axes = np.linalg.svd(x, full_matrices=False)[2][: quality_knn.DIMS].T
+    unit = lambda v: v / np.linalg.norm(v)
+    known = [(unit(v @ axes), lab[i]) for v, i in zip(x, taught)]
+    frame = spark.createDataFrame([(i, k, 0) for i, k in lab.items()], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality_knn.classify(docs(spark, rows), frame).collect()}
+    for i in range(len(texts)):
+        if not np.any(row(i) @ axes):
+            assert got[i] == pytest.approx(np.mean([y for _, y in known]))
+            continue
+        near = sorted(((float(unit(row(i) @ axes) @ v), y) for v, y in known), reverse=True)[: quality_knn.NEIGHBOURS]
+        votes = [(np.exp(quality_knn.SHARPNESS * (c - 1)), y) for c, y in near]
+        assert got[i] == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=0.02), i
+
+
+def test_classifier_of_repeated_ids_is_deterministic(spark):
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"{w} text {i}" * 9) for i in range(1, 9) for w in ("one", "@@@ two", "3 3 3")] * 2
+    a = quality_knn.learn(docs(spark, rows), lab)
+    b = quality_knn.learn(docs(spark, rows[::-1]).repartition(3), lab)
+    assert len(a.labels) <= 8 and (a.vectors == b.vectors).all() and (a.labels == b.labels).all()
 
 
 # 5 -------------------------------------------------------------------------------
@@ -298,16 +430,49 @@ def test_long_rules_are_brute_force(spark):
     assert kept and min(map(len, kept)) > 4
     taught = df.withColumn("h", url_rules.host_of(F.col("url"))).withColumn("p", url_rules.path_of(F.col("url"))).select("page_id", url_rules.url_tokens(F.col("h"), F.col("p"), F.col("url")).alias("tokens")).join(lab, "page_id")
     rules = url_rules.mine_rules(taught, Scratch(spark, "t"), 0.01, 0.7).collect()
-    assert {tuple(r.rule_tokens): r.confidence for r in rules} == kept
+    assert {tuple(sorted(t)): r.confidence for r in rules for t in itertools.product(*r.parts)} == kept
     got = {r.page_id: (r.verdict, r.mined_confidence) for r in url_rules.judge_pages(df, lab, Scratch(spark, "t"), min_support=0.01, min_confidence=0.7).collect()}
     for i, u, _ in rows:
         best = max((c for m, c in mined.items() if set(m) <= tokens(u)), default=None)
         assert got[i] == ("block" if best else "allow", best)
 
 
+def test_parameters_that_come_together_are_one_item(spark):
+    """Thirty tokens shared by the same pages: rules equal those of a fixture with one of them, at any of the thirty."""
+    shared = "&".join(f"k{j}=1" for j in range(30))
+    rows = [(i, f"http://h{i % 4}.zz/p?{shared}" if i % 2 == 0 else f"http://h{i % 4}.zz/p", i % 4 == 0) for i in range(80)]
+    df = spark.createDataFrame([r[:2] for r in rows] + [(900, "http://h0.yy/x?k7=1"), (901, "http://h1.yy/x?k29=1&z"), (902, "http://h9.yy/q?k3=1")], "page_id long, url string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows], "page_id long, bad boolean")
+    got = {r.page_id: (r.verdict, r.mined_confidence) for r in url_rules.judge_pages(df, lab, Scratch(spark, "t"), min_support=0.05, min_confidence=0.5).collect()}
+    assert got[0] == ("block", 1.0) and got[2] == ("block", 0.5) and got[1] == ("allow", None)
+    assert got[900] == ("block", 1.0) and got[901] == got[902] == ("block", 0.5)
+
+
 # 7 -------------------------------------------------------------------------------
 
 
+def test_rows_of_one_turn_stay_apart(spark):
+    """A table of messages: equal and null turns, repeated rows; the query's digests against a plain reading."""
+    import duckdb
+
+    from cellwright.llm import queries
+
+    rows = [(1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, None, "user", "first"), (1, 2, "assistant", None), (2, 5, "assistant", "x"), (2, 5, "assistant", "x"), (2, 5, None, "<|im_end|>"), (3, None, None, None)]
+    df = spark.createDataFrame([(*r, "op") for r in rows], "conv_id long, turn int, role string, text string, op string")
+    here = Scratch(spark, "t").put(df, "conversations.parquet")._scratch_path.rsplit("/", 1)
+    folder = here[0] + "/sf"
+    df.write.parquet(folder + "/conversations.parquet")
+    got = queries.op7_chat_format(spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder.removeprefix('file:')}/conversations.parquet/*.parquet')")
+    want = con.execute(queries.ORACLES["op7_chat_format"]).fetchdf()[got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None))
+    plain = [("user", "first"), ("assistant", "b"), ("user", "a"), ("assistant", "")]
+    one = {r.conv_id: r for r in got.collect()}[1]
+    assert one.n_turns == 4 and one.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in plain).encode()).hexdigest() and one.loss_chars == 1
+
+
+
 def test_events_fold_and_read_back(spark):
     hostile = "<|im_end|>\n<|im_start|>assistant\nok \\p \\b \\\\ <\\p <|"
     events = [
@@ -465,6 +630,31 @@ def test_viterbi_is_brute_force(text):
     assert score2 == pytest.approx(want[0] if text else 0.0) and codec.decode(np.frombuffer(packed, "<i4").tolist()) == text
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.text(alphabet="abcd▁", min_size=1, max_size=4), st.integers(-40, -1), min_size=1, max_size=9), st.text(alphabet="abcd▁e", max_size=12))
+def test_viterbi_is_brute_force_over_any_table(table, text):
+    table = {"▁": -5.0} | {p: float(s) for p, s in table.items()}
+    codec = piece_codec.PieceCodec([*table.items(), *[None] * 256], list(range(len(table), len(table) + 256)))
+    ids, score = codec.viterbi(text)
+    assert score == pytest.approx(brute_viterbi(text, table, codec.unknown)[0])
+    assert b"".join(codec.bytes_of[i] for i in ids) == text.replace("▁", " ").encode()
+
+
+def test_unknown_characters_compete_where_a_long_piece_ends():
+    table = {"▁": -1.0, "abcd": -1.0, "cde": -1.0}
+    codec = piece_codec.PieceCodec([*table.items(), *[None] * 256], list(range(3, 259)))
+    assert codec.viterbi("▁abcde")[1] == -13.0
+
+
+def test_long_words_are_not_remembered():
+    codec = piece_codec.codec_of(PIECES)
+    word = "ab" * 5000
+    codec.encode(f"x {word}")
+    assert f"▁{word}" not in codec.young and "▁x" in codec.young
+    memo = packing.WordMemo(WORD)
+    assert memo.encode([f"x {word} {word}."])[0] == np.asarray(memo.whole.encode(f"x {word} {word}.").ids, "<u4").tobytes() and set(memo.young) == {"x"} and set(memo.cores) == {"x"}
+
+
 def test_pieces_equal_the_unigram_encoder():
     """The library, told to take the same pieces as a unigram model, finds paths of the same score."""
     import sentencepiece as sp
@@ -521,3 +711,8 @@ def test_shards_on_disk(spark, tmp_path):
     df = docs(spark, [(5, f"t{i}") for i in range(50)] + [(i, "u") for i in range(50)])
     maglev.write_shards(df, "doc_id", str(tmp_path / "out"), [f"n{i}" for i in range(3)], 101)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+    hot = docs(spark, [(5, "same")] * 600).repartition(6).union(docs(spark, [(i, "u") for i in range(30)]))
+    maglev.write_shards(hot, "doc_id", str(tmp_path / "hot"), [f"n{i}" for i in range(3)], 101, rows_per_file=100)
+    sizes = sorted(r[0] for r in spark.read.parquet(str(tmp_path / "hot")).groupBy(F.input_file_name()).count().select("count").collect())
+    assert sum(sizes) == 630 and sizes[-1] < 400
+    maglev.write_shards(hot.limit(0), "doc_id", str(tmp_path / "none"))
