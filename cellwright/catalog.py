@@ -693,8 +693,7 @@ _FLAG = "CASE WHEN sign = '<' AND num <= 10 THEN 'L' WHEN sign = '>' AND num >=
 
 
 def _flags(spark, sf_dir):
-    x = V.comparator_number("res")
-    return bounded(spark, sf_dir).withColumn("flag", laboratory.reference_flag(x, F.lit(10.0), F.lit(40.0), V.comparator_sign("res")))
+    return laboratory.flag_results(bounded(spark, sf_dir), F.col("res"), F.lit(10.0), F.lit(40.0), keep_parsed=True)
 
 
 @query(f"SELECT l_orderkey, res, {_FLAG} AS flag FROM {_CMP}")
@@ -711,7 +710,8 @@ def abnormal_rate(spark, sf_dir):
 @query(f"SELECT decision, reasons, count(*) AS n FROM (SELECT CASE WHEN num < 2 AND sign = '' OR num > 44 AND sign = '' THEN 'HOLD' WHEN sign <> '' OR num < 10 OR num > 40 THEN 'REVIEW' ELSE 'PASS' END AS decision, concat_ws(';', CASE WHEN sign <> '' THEN 'CENSORED_RESULT' END, CASE WHEN sign <> '' THEN 'RESULT_PARSE' END, CASE WHEN sign = '' AND num < 2 THEN 'CRITICAL_LOW' END, CASE WHEN sign = '' AND num > 44 THEN 'CRITICAL_HIGH' END, CASE WHEN {_FLAG} = 'L' THEN 'REF_LOW' END, CASE WHEN {_FLAG} = 'H' THEN 'REF_HIGH' END) AS reasons FROM {_CMP}) GROUP BY ALL")
 def autoverification(spark, sf_dir):
     none = F.lit(None).cast("double")
-    d, why = laboratory.autoverify(V.comparator_value("res"), V.comparator_sign("res"), F.col("flag"), none, none, 2.0, 44.0)
+    exact = F.when(F.col("_sign").isin("", "="), F.col("_number"))
+    d, why = laboratory.autoverify(exact, F.col("_sign"), F.col("flag"), none, none, 2.0, 44.0)
     return _flags(spark, sf_dir).select(d.alias("decision"), why.alias("reasons")).groupBy("decision", "reasons").agg(F.count("*").alias("n"))
 
 

@@ -181,16 +181,49 @@ def box_cox(x: np.ndarray, lam: float) -> np.ndarray:
     return np.log(x) if abs(lam) < 1e-12 else (x**lam - 1) / lam
 
 
-def box_cox_lambda(x: np.ndarray, lo: float = -5.0, hi: float = 5.0) -> float:
-    """Maximum-likelihood exponent by golden-section search."""
-    logs = np.log(x).sum()
+def box_cox_loss(x: np.ndarray, lam: float) -> float:
+    """Negative profile log-likelihood of an exponent, up to a constant."""
+    with np.errstate(all="ignore"):
+        var = float(box_cox(x, lam).var())
+    return len(x) / 2 * math.log(var) - (lam - 1) * float(np.log(x).sum()) if var > 0 and math.isfinite(var) else math.inf
 
-    def loss(lam: float) -> float:
-        return len(x) / 2 * math.log(box_cox(x, lam).var()) - (lam - 1) * logs
 
+def _least(loss, lo: float, hi: float, width: float = 1e-9) -> float:
+    """Golden-section search."""
     g = (math.sqrt(5) - 1) / 2
-    a, b = lo, hi
-    while b - a > 1e-9:
-        c, d = b - g * (b - a), a + g * (b - a)
-        a, b = (a, d) if loss(c) < loss(d) else (c, b)
-    return (a + b) / 2
+    while hi - lo > width:
+        c, d = hi - g * (hi - lo), lo + g * (hi - lo)
+        lo, hi = (lo, d) if loss(c) < loss(d) else (c, hi)
+    return (lo + hi) / 2
+
+
+def box_cox_lambda(x: np.ndarray, lo: float = -5.0, hi: float = 5.0) -> float:
+    """Maximum-likelihood exponent."""
+    return _least(lambda lam: box_cox_loss(x, lam), lo, hi)
+
+
+def box_cox_lambda_on(x: np.ndarray, grid: np.ndarray) -> float:
+    """The likeliest exponent of a grid."""
+    return float(min(grid, key=lambda lam: box_cox_loss(x, float(lam))))
+
+
+def shifted_box_cox(x: np.ndarray, gaps: tuple[float, float] = (0.01, 10.0), steps: int = 25) -> tuple[float, float, float]:
+    """(origin, exponent, unit) of the likeliest Box-Cox scale of (x - origin) / unit; unit is the range.
+
+    The origin lies between ``gaps`` ranges below the smallest value, as the likelihood has no bound at that value itself.  A grid of
+    gaps, equal on a log scale, finds the valley, a golden-section search its floor.
+    """
+    unit = float(np.ptp(x))
+    if not unit > 0:
+        raise ValueError("values must differ")
+    z = (np.asarray(x, dtype=float) - x.min()) / unit
+
+    def loss(log_gap: float) -> float:
+        y = z + math.exp(log_gap)
+        return box_cox_loss(y, _least(lambda lam: box_cox_loss(y, lam), -5.0, 5.0, 1e-7))
+
+    grid = np.linspace(math.log(gaps[0]), math.log(gaps[1]), steps)
+    at = int(np.argmin([loss(v) for v in grid]))
+    best = _least(loss, grid[max(0, at - 1)], grid[min(steps - 1, at + 1)], 1e-6)
+    gap = math.exp(min((best, float(grid[at])), key=loss))
+    return float(x.min()) - unit * gap, box_cox_lambda(z + gap), unit

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NULL_MARK = ""
@@ -69,23 +69,33 @@ def strict_number(c: str | Column) -> Column:
     return F.when(t.rlike(f"^{NUMBER}$") & (F.abs(v) < float("inf")), v)
 
 
+_BOUNDED = rf"^(<=|>=|<|>|=)?\s*({NUMBER})$"
+
+
 def comparator_sign(c: str | Column) -> Column:
     """One of <, <=, >, >=, = or '' for a plain number; NULL where the cell is neither."""
     t = strip(col(c).cast("string"))
-    return F.when(t.rlike(rf"^(?:<=|>=|<|>|=)?\s*{NUMBER}$"), F.regexp_extract(t, r"^(<=|>=|<|>|=)?", 1))
+    return F.when(t.rlike(_BOUNDED), F.regexp_extract(t, _BOUNDED, 1))
 
 
-def comparator_code(c: str | Column) -> Column:
-    sign = comparator_sign(c)
+def code_of(sign: Column) -> Column:
     out = F.when(sign == "", "EQ")
     for k, v in COMPARATORS.items():
         out = out.when(sign == k, v)
     return out
 
 
+def comparator_code(c: str | Column) -> Column:
+    return code_of(comparator_sign(c))
+
+
 def comparator_number(c: str | Column) -> Column:
-    t = strip(col(c).cast("string"))
-    return F.when(comparator_sign(c).isNotNull(), F.regexp_extract(t, rf"^(?:<=|>=|<|>|=)?\s*({NUMBER})$", 1).try_cast("double"))
+    return F.nullif(F.regexp_extract(strip(col(c).cast("string")), _BOUNDED, 2), F.lit("")).try_cast("double")
+
+
+def with_parsed(df: DataFrame, c: str | Column, sign: str = "_sign", number: str = "_number") -> DataFrame:
+    """``df`` with sign and number of a result in columns of their own, so that what reads them many times parses once."""
+    return df.withColumns({sign: comparator_sign(c), number: comparator_number(c)})
 
 
 def comparator_value(c: str | Column, policy: str = "DELETE") -> Column:

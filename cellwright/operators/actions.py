@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from ..dataset import ROW, Dataset, as_list, ci
 from ..functions import values as V
 from ..functions.conditions import combine, condition
 from ..functions.derive import compile_formula
+from .statistics import carry
 
 ACTIONS: dict[str, Callable[[Dataset, dict], Dataset]] = {}
 #: Other names of actions.
@@ -169,8 +171,8 @@ def impute(ds: Dataset, config: dict) -> Dataset:
         blank = c.isNull() if kind != "string" else (V.strip(V.text(c)) == "") | c.isNull()
         seen = F.when(~blank, c)
         if method in ("ffill", "bfill"):
-            w = Window.partitionBy(*by).orderBy(F.col(ROW) if method == "ffill" else F.col(ROW).desc()).rowsBetween(Window.unboundedPreceding, 0)
-            fill = F.last(seen, ignorenulls=True).over(w)
+            df = carry(df, seen, ROW, "__fill", by, method == "bfill")
+            fill = F.col("__fill")
         elif method == "constant":
             fill = F.lit(ci(config, "VALUE", default="")).cast(kind)
         else:
@@ -374,7 +376,32 @@ def pivot_wider(ds: Dataset, config: dict) -> Dataset:
     agg = {"first": F.min_by(v, order), "last": F.max_by(v, order), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "sum": F.sum(x)}[how]
     kept = ds.df.where(V.all_of([F.col(f"`{i}`").isNotNull() for i in ids]) & F.col(f"`{name}`").isNotNull())
     listed = as_list(ci(config, "NAMES")) or None
-    return ds.with_df(kept.groupBy(*[F.col(f"`{i}`") for i in ids]).pivot(name, listed).agg(agg))
+    out = ds.with_df(kept.groupBy(*[F.col(f"`{i}`") for i in ids]).pivot(name, listed).agg(agg))
+    return with_pivot_context(ds, out, name, ids) if _flag(ci(config, "CONTEXT")) else out
+
+
+#: Tags whose value a wide column keeps if all its rows agree on it.
+CONTEXT_TAGS = ("UNIT", "REF_LOW", "REF_HIGH")
+
+
+def pivot_context(ds: Dataset, name: str) -> DataFrame:
+    """name, tag, value for each value of the column ``name`` and each context column with one text in all its filled rows."""
+    found = {t: c for t in CONTEXT_TAGS for c in ds.find(any_of=[t])[:1]}
+    if not found:
+        return ds.df.select(F.col(f"`{name}`").cast("string").alias("name"), F.lit("").alias("tag"), F.lit("").alias("value")).limit(0)
+    cell = lambda c: F.nullif(V.text(F.col(f"`{c}`")), F.lit(""))
+    ends = ds.df.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").cast("string").alias("name")).agg(*[F.struct(F.min(cell(c)).alias("a"), F.max(cell(c)).alias("b")).alias(t) for t, c in found.items()])
+    rows = F.array_compact(F.array(*[F.when(F.col(t)["a"] == F.col(t)["b"], F.struct(F.lit(t).alias("tag"), F.col(t)["a"].alias("value"))) for t in found]))
+    return ends.select("name", F.explode(rows).alias("x")).select("name", "x.*")
+
+
+def with_pivot_context(ds: Dataset, wide: Dataset, name: str, ids: list[str]) -> Dataset:
+    """The context of each new column under PIVOT_CONTEXT of its controls: at most three values a column reach the driver."""
+    spec = {c: dict(v) for c, v in (ci(wide.meta, "COLUMN", default={}) or {}).items()}
+    for r in pivot_context(ds, name).collect():
+        if r.name in wide.columns and r.name not in ids:
+            spec.setdefault(r.name, {}).setdefault("PIVOT_CONTEXT", {})[r.tag] = r.value
+    return replace(wide, meta={**{k: v for k, v in wide.meta.items() if k.upper() != "COLUMN"}, "COLUMN": spec})
 
 
 @action("JOIN")

@@ -50,12 +50,33 @@ def column_rules(ds: Dataset, name: str) -> list[Rule]:
         if bound is not None:
             bad = x < float(bound) if sign == "below" else x > float(bound)
             out.append(Rule(keys[0], full & F.coalesce(bad, F.lit(False)), f"{sign} {bound}"))
+    levels = ci(spec, "LEVELS")
+    if levels and "ORDINAL" in have:
+        out.append(Rule("ORDINAL", full & ~V.strip(c).isin([str(w).strip() for w in levels]), "not a level"))
     words = ci(spec, "VALUES")
     if words and str(ci(spec, "STRICT", default=True)).lower() != "false":
         out.append(Rule("CATEGORY", full & ~F.lower(V.strip(c)).isin([str(w).strip().lower() for w in words]), "not in the vocabulary"))
     return out
 
 
+def measurement_conflicts(ds: Dataset) -> list[tuple[str, str]]:
+    """(column, message) of contradictions between tags and controls."""
+    out, specimens = [], {}
+    for c in ds.columns:
+        have, spec = ds.effective(c), ci(ci(ds.meta, "COLUMN", default={}), c, default={}) or {}
+        if {"NOMINAL", "ORDINAL"} <= set(have):
+            out.append((c, "both nominal and ordinal"))
+        if ci(spec, "LEVELS") and "ORDINAL" not in have:
+            out.append((c, "levels without an order"))
+        if "ORDINAL" in have and not ci(spec, "LEVELS"):
+            out.append((c, "an order without levels"))
+        if analyte := ci(spec, "ANALYTE"):
+            specimens.setdefault((str(analyte), ci(spec, "UNIT")), set()).add(str(ci(spec, "SPECIMEN", default="")))
+            if "" in specimens[(str(analyte), ci(spec, "UNIT"))] and len(specimens[(str(analyte), ci(spec, "UNIT"))]) > 1:
+                out.append((c, f"{analyte} with and without a specimen"))
+    return out
+
+
 def issue_column(ds: Dataset, name: str) -> Column:
     """Struct (column, tag, value, message) of the first failing rule, or null."""
     out = None

@@ -20,32 +20,32 @@ def profile(df: DataFrame, item: str, value: str) -> DataFrame:
 
 def policy_impact(df: DataFrame, value: str) -> DataFrame:
     """How many results each policy uses."""
-    code, t = V.comparator_code(value), V.strip(V.text(value))
+    p = V.with_parsed(df.select(F.col(f"`{value}`").alias("v")), "v")
+    code, t = V.code_of(F.col("_sign")), V.strip(V.text("v"))
     n = lambda c: F.sum(c.cast("bigint"))
     bounded = code.isin("LT", "LE", "GT", "GE")
-    got = df.agg(n(t != "").alias("filled"), n(V.strict_number(value).isNotNull()).alias("strict"), n(F.coalesce(code == "EQ", F.lit(False))).alias("exact"), n(F.coalesce(bounded, F.lit(False))).alias("bounded"), n((t != "") & code.isNull()).alias("invalid"))
-    used = lambda p: (F.col("exact") + (F.col("bounded") if p == "VALUE" else F.lit(0))).alias("used")
-    out = None
-    for p in ("DELETE", "KEEP", "HARMONIZE", "VALUE"):
-        part = got.select(F.lit(p).alias("policy"), "filled", "strict", "exact", "bounded", "invalid", used(p))
-        out = part if out is None else out.unionByName(part)
-    return out
+    got = p.agg(n(t != "").alias("filled"), n(V.strict_number("v").isNotNull()).alias("strict"), n(F.coalesce(code == "EQ", F.lit(False))).alias("exact"), n(F.coalesce(bounded, F.lit(False))).alias("bounded"), n((t != "") & code.isNull()).alias("invalid"))
+    policies = F.array(*[F.struct(F.lit(p).alias("policy"), (F.col("exact") + (F.col("bounded") if p == "VALUE" else F.lit(0))).alias("used")) for p in ("DELETE", "KEEP", "HARMONIZE", "VALUE")])
+    return got.select(F.explode(policies).alias("p"), "*").select("p.policy", "filled", "strict", "exact", "bounded", "invalid", "p.used")
+
+
+_LOW, _HIGH = F.col("_sign").isin("<", "<="), F.col("_sign").isin(">", ">=")
 
 
 def thresholds(df: DataFrame, item: str, value: str) -> DataFrame:
     """Per item: the largest lower detection bound and the smallest upper one."""
-    code, num = V.comparator_code(value), V.comparator_number(value)
-    return df.groupBy(F.col(f"`{item}`").alias("item")).agg(F.max(F.when(code.isin("LT", "LE"), num)).alias("lower"), F.min(F.when(code.isin("GT", "GE"), num)).alias("upper"), F.count_distinct(F.when(code.isin("LT", "LE"), num)).alias("lower_bounds"), F.count_distinct(F.when(code.isin("GT", "GE"), num)).alias("upper_bounds"))
+    p = V.with_parsed(df.select(F.col(f"`{item}`").alias("item"), F.col(f"`{value}`").alias("v")), "v")
+    low, high = F.when(_LOW, F.col("_number")), F.when(_HIGH, F.col("_number"))
+    return p.groupBy("item").agg(F.max(low).alias("lower"), F.min(high).alias("upper"), F.count_distinct(low).alias("lower_bounds"), F.count_distinct(high).alias("upper_bounds"))
 
 
 def harmonize_preview(df: DataFrame, item: str, value: str) -> DataFrame:
     """item, family, sorted thresholds, the unified one, and the exact results it would swallow."""
-    code, num = V.comparator_code(value), V.comparator_number(value)
-    x = df.select(F.col(f"`{item}`").alias("item"), code.alias("code"), num.alias("num"))
-    family = F.when(F.col("code").isin("LT", "LE"), "LT").when(F.col("code").isin("GT", "GE"), "GT")
-    t = x.withColumn("family", family).where("family is not null").groupBy("item", "family").agg(F.array_join(F.array_sort(F.collect_set("num")), ",").alias("thresholds"), F.max("num").alias("hi"), F.min("num").alias("lo"), F.count("*").alias("bounded"))
+    x = V.with_parsed(df.select(F.col(f"`{item}`").alias("item"), F.col(f"`{value}`").alias("v")), "v")
+    x = x.select("item", F.when(_LOW, "LT").when(_HIGH, "GT").when(F.col("_sign").isin("", "="), "EQ").alias("family"), F.col("_number").alias("num"))
+    t = x.where("family in ('LT', 'GT')").groupBy("item", "family").agg(F.array_join(F.array_sort(F.collect_set("num")), ",").alias("thresholds"), F.max("num").alias("hi"), F.min("num").alias("lo"), F.count("*").alias("bounded"))
     t = t.withColumn("unified", F.when(F.col("family") == "LT", F.col("hi")).otherwise(F.col("lo")))
-    exact = x.where("code = 'EQ'").join(t.select("item", "family", "unified"), "item").groupBy("item", "family").agg(F.sum((F.when(F.col("family") == "LT", F.col("num") < F.col("unified")).otherwise(F.col("num") > F.col("unified"))).cast("bigint")).alias("convertible"))
+    exact = x.where("family = 'EQ'").drop("family").join(t.select("item", "family", "unified"), "item").groupBy("item", "family").agg(F.sum((F.when(F.col("family") == "LT", F.col("num") < F.col("unified")).otherwise(F.col("num") > F.col("unified"))).cast("bigint")).alias("convertible"))
     return t.join(exact, ["item", "family"], "left").select("item", "family", "unified", "bounded", F.coalesce("convertible", F.lit(0)).cast("bigint").alias("convertible"))
 
 
@@ -54,14 +54,13 @@ def harmonize(df: DataFrame, item: str, value: str) -> DataFrame:
 
     An item without a name is an item of its own and never rewrites others.
     """
-    t = thresholds(df, item, value)
-    j = df.join(t, df[f"`{item}`"].eqNullSafe(t["item"]), "left").drop(t["item"])
-    code, num = V.comparator_code(value), V.comparator_number(value)
-    low = code.isin("LT", "LE") | ((code == "EQ") & (num < F.col("lower")))
-    high = code.isin("GT", "GE") | ((code == "EQ") & (num > F.col("upper")))
+    t = thresholds(df, item, value).select(F.col("item").alias("_item"), "lower", "upper")
+    j = V.with_parsed(df, F.col(f"`{value}`")).join(t, df[f"`{item}`"].eqNullSafe(F.col("_item")), "left")
+    exact = F.col("_sign").isin("", "=")
     spell = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
-    new = F.when(low & F.col("lower").isNotNull(), F.concat(F.lit("<"), spell(F.col("lower")))).when(high & F.col("upper").isNotNull(), F.concat(F.lit(">"), spell(F.col("upper")))).otherwise(F.col(f"`{value}`"))
-    return j.withColumn(value, new).select(*df.columns)
+    bound = F.when((_LOW | (exact & (F.col("_number") < F.col("lower")))) & F.col("lower").isNotNull(), F.concat(F.lit("<"), spell(F.col("lower"))))
+    bound = bound.when((_HIGH | (exact & (F.col("_number") > F.col("upper")))) & F.col("upper").isNotNull(), F.concat(F.lit(">"), spell(F.col("upper"))))
+    return j.withColumn(value, bound.otherwise(F.col(f"`{value}`"))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def fix_comparator(df: DataFrame, column: str, how: str = "DELETE") -> DataFrame:

@@ -94,9 +94,17 @@ def reference_flag(value: Column, low: Column, high: Column, sign: Column | None
     return flag.when(value < low, "L").when(value > high, "H").otherwise("N")
 
 
+def flag_results(df: DataFrame, value: Column, low: Column, high: Column, name: str = "flag", keep_parsed: bool = False) -> DataFrame:
+    """``df`` with the flag of a result that may carry a comparator; the result is parsed once."""
+    out = V.with_parsed(df, value).withColumn(name, reference_flag(F.col("_number"), low, high, F.col("_sign")))
+    return out if keep_parsed else out.drop("_sign", "_number")
+
+
 def abnormal_rate(df: DataFrame, by: dict[str, Column], flag: Column) -> DataFrame:
-    n = lambda *f: F.sum(flag.isin(*f).cast("bigint"))
-    out = df.groupBy(*[c.alias(k) for k, c in by.items()]).agg(F.count("*").alias("total"), n("N", "H", "L").alias("evaluated"), *[n(f).alias(f.lower()) for f in ("NE", "IND", "H", "L")])
+    # Counted by flag first: six conditions would each work the flag out again.
+    some = df.groupBy(*[c.alias(k) for k, c in by.items()], flag.alias("_flag")).agg(F.count("*").alias("_n"))
+    n = lambda *f: F.coalesce(F.sum(F.when(F.col("_flag").isin(*f), F.col("_n"))), F.lit(0))
+    out = some.groupBy(*by).agg(F.sum("_n").alias("total"), n("N", "H", "L").alias("evaluated"), *[n(f).alias(f.lower()) for f in ("NE", "IND", "H", "L")])
     share = lambda c: F.round(F.when(F.col("evaluated") > 0, 100 * c / F.col("evaluated")), 6)
     return out.select("*", share(F.col("h")).alias("h_pct"), share(F.col("l")).alias("l_pct"), share(F.col("h") + F.col("l")).alias("abnormal_pct"))
 

@@ -1,107 +1,277 @@
 """Control rules over runs: N_ks, MofN_ks, R_ks, Nx, with scopes and what a rejected run does to later counts.
 
-With CONTINUE the rules on one material are windows; RESTART and SKIP need the decisions of earlier
-runs, so one group (an analyte on an instrument) is judged in order by one Python call per group.
+RESTART and SKIP make a decision depend on the decisions before it, so one group (an analyte on an instrument) is judged in order
+by one Python call per group.  What a group must remember is small: for each material the last few values that
+still count, and the last few complete runs; a stream carries exactly that (see ``streaming.streams.stateful_multirule``).
 """
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass
+from collections import deque
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: Fixed values.
+#: Default rules, words of the options, the limit of the classic trigger, severities in rising order.
 WARN, REJECT = ["1_2s"], ["1_3s", "2_2s", "R_4s", "4_1s", "10x"]
-RANDOM = {"1_ks", "R_ks"}
+SCOPES, TRIGGERS, AFTER, FORMS, ACTIONS = ("BOTH", "WITHIN_MATERIAL", "ACROSS_MATERIAL"), ("ALWAYS", "1_2S"), ("RESTART", "SKIP", "CONTINUE"), ("COUNT", "RANGE"), ("REJECT", "WARNING", "OFF")
+TRIGGER_SD = 2.0
+SEVERITY = ["IN_CONTROL", "NOT_EVALUATED", "WARNING", "REJECT"]
+ADDED = ["violation", "warning", "rule_scope", "error_type", "decision", "run_decision"]
+
+_NAME = re.compile(r"(?:(?P<need>\d+)of)?(?P<of>\d+|R)(?:_(?P<limit>\d+(?:\.\d+)?)s|(?P<mean>x))", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``need`` of the last ``of`` values beyond ``limit`` SD on one side; kinds: point, sequence, count, range."""
+
     name: str
-    kind: str  # point, count, range, mean
+    kind: str
     need: int
     of: int
     limit: float
 
+    @property
+    def error(self) -> str:
+        return "random" if self.kind in ("point", "range") else "systematic"
+
+    @property
+    def counts_runs(self) -> bool:
+        return self.kind in ("sequence", "count")
+
 
 def parse_rule(name: str) -> Rule:
-    if m := re.fullmatch(r"(\d+)of(\d+)_(\d+(?:\.\d+)?)s", name):
-        return Rule(name, "count", int(m[1]), int(m[2]), float(m[3]))
-    if m := re.fullmatch(r"R_(\d+(?:\.\d+)?)s", name):
-        return Rule(name, "range", 2, 2, float(m[1]))
-    if m := re.fullmatch(r"(\d+)_(\d+(?:\.\d+)?)s", name):
-        n = int(m[1])
-        return Rule(name, "point" if n == 1 else "count", n, n, float(m[2]))
-    if m := re.fullmatch(r"(\d+)x", name):
-        return Rule(name, "mean", int(m[1]), int(m[1]), 0.0)
-    raise ValueError(f"unknown control rule {name!r}")
-
-
-def judge(points: pd.DataFrame, reject: list[str] = REJECT, warn: list[str] = WARN, after_reject: str = "RESTART", scope: str = "BOTH", form: str = "COUNT") -> pd.DataFrame:
-    """Adds violation, warning, decision, run_decision to one group's points (run, order, material, z)."""
-    rules, warnings = [parse_rule(r) for r in reject], [parse_rule(r) for r in warn]
-    out = points.sort_values(["order", "run", "material"], kind="stable").reset_index(drop=True)
-    history: dict[str, list[float]] = {}
-    across: list[tuple[str, float]] = []
-    hits, warned, decisions, run_decisions = ([None] * len(out) for _ in range(4))
-    for _, run in out.groupby(["order", "run"], sort=True):
-        z = run["z"].to_numpy(dtype=float)
-        mats = run["material"].tolist()
-        found = [[r.name for r in rules if _hit(r, k, z, mats, history, across, scope, form)] for k in range(len(run))]
-        soft = [[r.name for r in warnings if _hit(r, k, z, mats, history, across, scope, form)] for k in range(len(run))]
-        bad, odd = any(found), any(soft)
-        for k, i in enumerate(run.index):
-            hits[i], warned[i] = ", ".join(found[k]) or "NONE", ", ".join(soft[k]) or "NONE"
-            decisions[i] = "NOT_EVALUATED" if np.isnan(z[k]) else "REJECT" if found[k] else "WARNING" if soft[k] else "IN_CONTROL"
-            run_decisions[i] = "REJECT" if bad else "WARNING" if odd else "IN_CONTROL"
-        if bad and after_reject == "RESTART":
-            history, across = {}, []
-        elif not (bad and after_reject == "SKIP"):
-            for m, v in zip(mats, z, strict=True):
-                if np.isnan(v):
-                    history[m] = []
-                    across = []
-                else:
-                    history.setdefault(m, []).append(v)
-                    across.append((m, v))
-    return out.assign(violation=hits, warning=warned, decision=decisions, run_decision=run_decisions)
-
-
-def _hit(r: Rule, k: int, z: np.ndarray, mats: list[str], history: dict, across: list, scope: str, form: str) -> bool:
-    v = z[k]
-    if np.isnan(v):
-        return False
-    if r.kind == "point":
-        return abs(v) > r.limit
-    if r.kind == "range":
-        known = z[~np.isnan(z)]
-        if form == "RANGE":
-            return len(known) > 1 and known.max() - known.min() >= r.limit and v in (known.max(), known.min())
-        half = r.limit / 2
-        return bool((known > half).any() and (known < -half).any() and abs(v) > half)
-    beyond = (lambda x, s: s * x > r.limit)
-    side = 1 if v > 0 else -1
-    if not beyond(v, side):
-        return False
-    sequences = []
-    if scope in ("BOTH", "WITHIN_MATERIAL"):
-        sequences.append([*history.get(mats[k], []), v])
-    if scope in ("BOTH", "ACROSS_MATERIAL"):
-        now = [x for x in z if not np.isnan(x)]
-        sequences.append([*(x for _, x in across), *now] if not np.isnan(z).any() else [])
-    return any(len(s) >= r.of and sum(beyond(x, side) for x in s[-r.of :]) >= r.need for s in sequences)
-
-
-def multirule(points: DataFrame, group: str, **options) -> DataFrame:
-    """``points(group, run, order, material, z)``; one group's runs are in sequence by definition."""
+    """``1_3s``, ``2_2s``, ``2of3_2s``, ``R_4s``, ``10x``, in any case and with their usual spelling as ``name``."""
+    m = _NAME.fullmatch(str(name).strip())
+    if not m:
+        raise ValueError(f"unknown control rule {name!r}; examples: 1_3s, 2_2s, 2of3_2s, R_4s, 10x")
+    limit, spread = float(m["limit"] or 0), m["of"].upper() == "R"
+    of = 2 if spread else int(m["of"])
+    need = int(m["need"]) if m["need"] else of
+    sound = (m["mean"] and not m["need"] and not spread and of > 1) or (limit > 0 and not (spread and m["need"]) and 1 <= need and (need < of if m["need"] else of > 0))
+    if not sound:
+        raise ValueError(f"control rule {name!r} can't be met or means nothing")
+    if m["mean"]:
+        return Rule(f"{of}x", "sequence", of, of, 0.0)
+    tail = f"_{limit:g}s"
+    if spread:
+        return Rule("R" + tail, "range", 2, 2, limit)
+    if m["need"]:
+        return Rule(f"{need}of{of}{tail}", "count", need, of, limit)
+    return Rule(f"{of}{tail}", "point" if of == 1 else "sequence", of, of, limit)
+
+
+def _word(value: object, allowed: tuple[str, ...], what: str) -> str:
+    word = str(value).strip().upper()
+    if word not in allowed:
+        raise ValueError(f"{what} must be one of {', '.join(allowed)}")
+    return word
+
+
+def _names(given: object) -> list[str]:
+    items = given.split(",") if isinstance(given, str) else given
+    if not isinstance(items, (list, tuple)):
+        raise ValueError("rules are a list of names")
+    out = [parse_rule(x).name for x in items]
+    if len(set(out)) < len(out):
+        raise ValueError("rules must be distinct")
+    return out
+
+
+@dataclass
+class Plan:
+    """Rules in force: name -> REJECT or WARNING in order of evaluation, with each rule's own scope or form."""
+
+    actions: dict[str, str] = field(default_factory=lambda: dict.fromkeys(WARN, "WARNING") | dict.fromkeys(REJECT, "REJECT"))
+    scope: str = "BOTH"
+    trigger: str = "ALWAYS"
+    after_reject: str = "RESTART"
+    scopes: dict[str, str] = field(default_factory=dict)
+    forms: dict[str, str] = field(default_factory=dict)
+
+    def named(self, action: str) -> list[str]:
+        return [n for n, a in self.actions.items() if a == action]
+
+    def _list(self, action: str, names: list[str]) -> None:
+        """``names`` become the rules of this action; the others of it go."""
+        rest = {n: a for n, a in self.actions.items() if a != action and n not in names}
+        self.actions = rest | dict.fromkeys(names, action)
+
+    def layer(self, settings: Mapping) -> Plan:
+        """One level of settings on top: lists first, then single rules."""
+        given = {str(k).upper(): v for k, v in settings.items() if v is not None}
+        if odd := set(given) - {"RULES", "WARNING_RULES", "SCOPE", "TRIGGER", "AFTER_REJECT", "RULE_SETTINGS"}:
+            raise ValueError(f"unknown control rule option: {', '.join(sorted(odd))}")
+        lists = {a: _names(given[k]) for k, a in (("WARNING_RULES", "WARNING"), ("RULES", "REJECT")) if k in given}
+        if len(lists) == 2 and (both := set(lists["WARNING"]) & set(lists["REJECT"])):
+            raise ValueError(f"both a warning and a rejection rule: {', '.join(sorted(both))}")
+        for action, names in lists.items():
+            self._list(action, names)
+        self.scope = _word(given.get("SCOPE", self.scope), SCOPES, "SCOPE")
+        self.trigger = _word(given.get("TRIGGER", self.trigger), TRIGGERS, "TRIGGER")
+        self.after_reject = _word(given.get("AFTER_REJECT", self.after_reject), AFTER, "AFTER_REJECT")
+        for spelled, options in given.get("RULE_SETTINGS", {}).items():
+            self._single(parse_rule(spelled), {str(k).upper(): v for k, v in options.items() if v is not None})
+        return self
+
+    def _single(self, rule: Rule, options: dict) -> None:
+        if odd := set(options) - {"ACTION", "SCOPE", "FORM"}:
+            raise ValueError(f"unknown option of {rule.name}: {', '.join(sorted(odd))}")
+        if "ACTION" in options:
+            action = _word(options["ACTION"], ACTIONS, "ACTION")
+            self.actions.pop(rule.name, None)
+            if action != "OFF":
+                self.actions[rule.name] = action
+        for key, fits, allowed, held in (("SCOPE", rule.counts_runs, SCOPES, self.scopes), ("FORM", rule.kind == "range", FORMS, self.forms)):
+            if key in options:
+                word = _word(options[key], allowed, key)
+                if not fits:
+                    raise ValueError(f"{rule.name} has no {key}")
+                held[rule.name] = word
+
+
+def rule_plan(settings: Mapping | None = None, result_id: str | None = None) -> Plan:
+    """Settings for all results, then those under BY_RESULT for one of them."""
+    top = {str(k).upper(): v for k, v in (settings or {}).items()}
+    own = (top.pop("BY_RESULT", None) or {}).get(result_id, {})
+    return Plan().layer(top).layer(own)
+
+
+def plan_of(reject: Iterable[str] | None = None, warn: Iterable[str] | None = None, after_reject: str = "RESTART", scope: str = "BOTH", form: str | None = None, trigger: str = "ALWAYS", scopes: Mapping[str, str] | None = None) -> Plan:
+    """A plan from plain arguments; ``form`` holds for every range rule."""
+    lists = {k: list(v) for k, v in (("RULES", reject), ("WARNING_RULES", warn)) if v is not None}
+    plan = Plan().layer({**lists, "AFTER_REJECT": after_reject, "SCOPE": scope, "TRIGGER": trigger})
+    for name, value in (scopes or {}).items():
+        plan._single(parse_rule(name), {"SCOPE": value})
+    for name in plan.actions:
+        if form and parse_rule(name).kind == "range":
+            plan._single(parse_rule(name), {"FORM": form})
+    return plan
+
+
+class Chart:
+    """What one group remembers between runs, and the judgement of the next run.
+
+    ``tails``: material -> its last values that still count; ``runs``: the last complete runs as (materials, values).
+    """
+
+    def __init__(self, plan: Plan, tails: Mapping[str, list[float]] | None = None, runs: Iterable[tuple[list[str], list[float]]] = ()):
+        self.plan = plan
+        self.rules = [(parse_rule(n), a, plan.scopes.get(n, plan.scope), plan.forms.get(n, "COUNT")) for n, a in plan.actions.items()]
+        self.depth = max((r.of for r, *_ in self.rules if r.counts_runs), default=1) - 1
+        self.tails = {m: deque(v, self.depth) for m, v in (tails or {}).items()}
+        self.runs = deque(((frozenset(m), list(v)) for m, v in runs), (self.depth + 2) // 2)
+
+    def judge(self, materials: list[str], z: list[float]) -> list[list[str]]:
+        """The columns ADDED for each point of one run."""
+        if len(set(materials)) < len(materials):
+            raise ValueError("one material has two points in one run")
+        known = [k for k, v in enumerate(z) if not math.isnan(v)]
+        hits: list[dict[str, set[str]]] = [{} for _ in z]
+        if self.plan.trigger == "ALWAYS" or any(abs(z[k]) > TRIGGER_SD for k in known):
+            for rule, _, scope, form in self.rules:
+                for k, place in self._places(rule, scope, form, materials, z, known):
+                    hits[k].setdefault(rule.name, set()).add(place)
+        rows = [self._row(hit) if k in known else ["NE", "NE", "NE", "NE", "NOT_EVALUATED"] for k, hit in enumerate(hits)]
+        worst = max((r[4] for r in rows), key=SEVERITY.index)
+        self._remember(materials, z, len(known) == len(z), worst == "REJECT")
+        return [[*r, worst] for r in rows]
+
+    def _places(self, rule: Rule, scope: str, form: str, materials: list[str], z: list[float], known: list[int]) -> Iterable[tuple[int, str]]:
+        if rule.kind == "point":
+            yield from ((k, "point") for k in known if abs(z[k]) > rule.limit)
+        elif rule.kind == "range":
+            top, low = max((z[k] for k in known), default=0.0), min((z[k] for k in known), default=0.0)
+            half = rule.limit / 2
+            if form == "RANGE" and len(known) > 1 and top - low >= rule.limit:
+                yield from ((k, "within_run") for k in known if z[k] in (top, low))
+            elif form == "COUNT" and top > half and low < -half:
+                yield from ((k, "within_run") for k in known if abs(z[k]) > half)
+        else:
+            beyond = lambda v: (v > rule.limit) - (v < -rule.limit)
+            sides = {k: beyond(z[k]) for k in known}
+            if not any(sides.values()):
+                return
+            if scope != "ACROSS_MATERIAL":
+                # Enough values on this value's side also means that there are enough values.
+                for k, side in sides.items():
+                    tail = self.tails.get(materials[k], ())
+                    before = sum(beyond(v) == side for v in list(tail)[len(tail) - min(len(tail), rule.of - 1) :])
+                    if side and before + 1 >= rule.need:
+                        yield k, "across_run"
+            if scope != "WITHIN_MATERIAL" and len(known) > 1:
+                yield from self._together(rule, sides, materials, len(known) == len(z), beyond)
+
+    def _together(self, rule: Rule, sides: dict[int, int], materials: list[str], whole: bool, beyond) -> Iterable[tuple[int, str]]:
+        """All materials as one sequence: within the run if it has enough points, else over whole runs of the same materials."""
+        if rule.need <= len(sides):
+            for side in (1, -1):
+                same = [k for k, s in sides.items() if s == side]
+                if len(same) >= rule.need:
+                    yield from ((k, "within_run") for k in same)
+        elif rule.kind == "sequence" and whole:
+            before = math.ceil(rule.of / len(sides)) - 1
+            earlier = list(self.runs)[-before:]
+            if len(earlier) == before and all(m == frozenset(materials) for m, _ in earlier):
+                if len({*sides.values(), *(beyond(v) for _, run in earlier for v in run)}) == 1:
+                    yield from ((k, "across_run_material") for k in sides)
+
+    def _row(self, hit: dict[str, set[str]]) -> list[str]:
+        bad, odd = ([r for r, a, *_ in self.rules if a == action and r.name in hit] for action in ("REJECT", "WARNING"))
+        spelled = "; ".join(f"{r.name}:{'+'.join(sorted(hit[r.name]))}" for r in [*odd, *bad])
+        errors = "+".join(sorted({r.error for r in bad}))
+        return [", ".join(r.name for r in bad) or "NONE", ", ".join(r.name for r in odd) or "NONE", spelled or "NONE", errors or "NONE", "REJECT" if bad else "WARNING" if odd else "IN_CONTROL"]
+
+    def _remember(self, materials: list[str], z: list[float], whole: bool, rejected: bool) -> None:
+        if rejected and self.plan.after_reject == "RESTART":
+            self.tails.clear(), self.runs.clear()
+            return
+        counts = not (rejected and self.plan.after_reject == "SKIP")
+        for m, v in zip(materials, z, strict=True):
+            if math.isnan(v):  # a missing result ends its material's sequence
+                self.tails.pop(m, None)
+            elif counts:
+                self.tails.setdefault(m, deque(maxlen=self.depth)).append(v)
+        if not whole:
+            self.runs.clear()
+        elif counts:
+            self.runs.append((frozenset(materials), list(z)))
+
+
+def judge(points: pd.DataFrame, plan: Plan | None = None, chart: Chart | None = None, **options) -> pd.DataFrame:
+    """One group's points (run, order, material, z), run by run, with the columns ADDED.
+
+    Runs follow each other by their smallest order, then by name.  A run with two points of a material is refused.  A point without z is
+    NOT_EVALUATED.  A decision depends on its own and earlier runs alone.  ``chart`` goes on from earlier runs.
+    """
+    chart = chart or Chart(plan or plan_of(**options))
+    first = points.groupby("run", sort=False)["order"].transform("min")
+    out = points.assign(_first=first, _run=points["run"].astype(str), _material=points["material"].astype(str)).sort_values(["_first", "_run", "_material"], kind="stable").reset_index(drop=True)
+    run, materials, z = out["_run"].tolist(), out["_material"].tolist(), out["z"].astype(float).tolist()
+    rows: list[list[str]] = []
+    start = 0
+    for end in range(1, len(out) + 1):
+        if end == len(out) or run[end] != run[start]:
+            rows += chart.judge(materials[start:end], z[start:end])
+            start = end
+    return out.drop(columns=["_first", "_run", "_material"]).assign(**dict(zip(ADDED, map(list, zip(*rows, strict=True)) if rows else [[]] * len(ADDED), strict=True)))
+
+
+def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings: Mapping | None = None, **options) -> DataFrame:
+    """``points(group, run, order, material, z)`` with the columns ADDED; one group's runs are in sequence by definition.
+
+    ``settings`` may hold BY_RESULT entries keyed by the group's text.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return judge(pdf, **options)
+        return judge(pdf, rule_plan(settings, str(pdf[group].iloc[0])) if settings is not None else plan, **options)
 
-    added = [StructField(c, StringType()) for c in ("violation", "warning", "decision", "run_decision")]
-    schema = StructType([*points.schema.fields, *added])
+    rule_plan(settings)  # a wrong setting fails here, not in a task
+    schema = StructType([*points.schema.fields, *[StructField(c, StringType()) for c in ADDED]])
     return points.groupBy(group).applyInPandas(one, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -100,16 +101,27 @@ def passing_bablok_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """One row per pair.  Spearman is Pearson on average ranks of the rows in which both are known."""
-    out = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            p = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x is not null and y is not null")
-            if method == "spearman":
-                p = average_rank(average_rank(p, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
-            row = p.agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """One row per pair.  Spearman is Pearson on average ranks of the rows in which both are known.
+
+    Where no column has a missing value all pairs share the ranks: each column is ranked once.
+    """
+    x = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    both = lambda i, j: F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
+    if method == "spearman":
+        if not x.where(" or ".join(f"v{i} is null" for i in range(len(columns)))).isEmpty():
+            parts = []
+            for i, j in pairs:
+                p = average_rank(average_rank(x.where(both(i, j)).select(f"v{i}", f"v{j}"), f"v{i}", "x"), f"v{j}", "y")
+                parts.append(p.agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("r")).select(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), "n", "r"))
+            return reduce(DataFrame.unionByName, parts)
+        for i in range(len(columns)):
+            x = average_rank(x, f"v{i}", f"r{i}")
+        x = x.select(*[F.col(f"r{i}").alias(f"v{i}") for i in range(len(columns))])
+    known = {(i, j): both(i, j) for i, j in pairs}
+    one = x.agg(*[F.struct(F.count(F.when(k, 1)).alias("n"), F.round(F.corr(F.when(k, F.col(f"v{i}")), F.when(k, F.col(f"v{j}"))), 6).alias("r")).alias(f"p{i}_{j}") for (i, j), k in known.items()])
+    rows = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"p{i}_{j}.n").alias("n"), F.col(f"p{i}_{j}.r").alias("r")) for i, j in pairs])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: list[str] = (), descending: bool = False, buckets: int = 128) -> DataFrame:
@@ -133,6 +145,44 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: list[str]
     return out.drop("_b", *[f"_a{i}" for i in range(len(sums))])
 
 
+def rank_by_count(df: DataFrame, value: str, count: str, name: str, buckets: int = 128) -> DataFrame:
+    """Place of each text by falling count, then by the text, without sorting all rows in one task.
+
+    Texts are cut into buckets by their first bytes as a number, which keeps their order; places run within (count, bucket), after
+    all rows of larger counts and earlier buckets.
+    """
+    head = F.conv(F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
+    x = df.withColumn("_head", head)
+    cuts = x.agg(F.percentile_approx("_head", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    x = x.crossJoin(F.broadcast(cuts)).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda v: v < F.col("_head"))), F.lit(0))).drop("_cuts", "_head")  # one row
+    x = x.withColumn("_k", (F.col("_b") - F.col(count) * buckets).cast("double"))
+    ahead = running_sums(x.groupBy("_k").agg(F.count("*").alias("_n")), "_k", {"_n": "_upto"})
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(value)) + F.col("_upto") - F.col("_n")
+    return x.join(ahead, "_k").withColumn(name, place.cast("bigint")).drop("_k", "_b", "_n", "_upto")
+
+
+def carry(df: DataFrame, seen: Column, order: str, name: str, by: list[str] = (), backward: bool = False, buckets: int = 128) -> DataFrame:
+    """The last known value of ``seen`` (null where unknown) up to each row in the order of a numeric column, or the next one.
+
+    Without groups the order is cut into buckets by approximate quantiles: each bucket carries its own values, and starts with what
+    the buckets before it end with (a table of at most ``buckets`` rows).
+    """
+    step = F.col(order).desc() if backward else F.col(order).asc()
+    if by:
+        w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.last(seen, ignorenulls=True).over(w))
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    at = F.coalesce(F.size(F.filter("_cuts", lambda v: v < F.col(order))), F.lit(0))
+    cut = df.withColumn("_seen", seen).crossJoin(F.broadcast(cuts)).withColumn("_b", -at if backward else at).drop("_cuts")  # one row
+    key = F.when(F.col("_seen").isNotNull(), -F.col(order) if backward else F.col(order))
+    ends = cut.groupBy("_b").agg(F.max_by("_seen", key).alias("_end"))
+    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    starts = ends.select("_b", F.last("_end", ignorenulls=True).over(ahead).alias("_start"))
+    w = Window.partitionBy("_b").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(F.broadcast(starts), "_b").withColumn(name, F.coalesce(F.last("_seen", ignorenulls=True).over(w), F.col("_start")))
+    return out.drop("_b", "_seen", "_start")
+
+
 def average_rank(df: DataFrame, column: str, name: str, by: list[str] = ()) -> DataFrame:
     """Ranks over distinct values, so that only one row per value is sorted, joined back to the rows."""
     d = running_sums(df.groupBy(*by, column).agg(F.count("*").alias("_n")), column, {"_n": "_upto"}, by)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from .statistics import rank_by_count
 
 #: Fixed values.
 PERCENTILES = [0, 1, 2.5, 5, 10, 25, 50, 75, 90, 95, 97.5, 99, 100]
@@ -56,9 +57,10 @@ def category_distribution(df: DataFrame, column: str) -> DataFrame:
     """value, count, % of non-missing and of all rows, rank by falling count then value."""
     c = F.nullif(V.text(F.col(f"`{column}`")), F.lit(""))
     counts = df.groupBy(c.alias("value")).agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("count"))).alias("known"))
+    total = counts.agg(F.sum("count").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("count"))).alias("known"))  # one row
+    ranked = rank_by_count(counts.where("value is not null"), "value", "count", "rank")
     share = lambda n: F.round(100 * F.col("count") / F.col(n), 6)
-    return counts.where("value is not null").crossJoin(F.broadcast(total)).select("value", "count", share("known").alias("pct_known"), share("rows").alias("pct_rows"), F.row_number().over(Window.orderBy(F.desc("count"), "value")).cast("bigint").alias("rank"))  # one row per category
+    return ranked.crossJoin(F.broadcast(total)).select("value", "count", share("known").alias("pct_known"), share("rows").alias("pct_rows"), "rank")
 
 
 def percentile_table(df: DataFrame, columns: list[str]) -> DataFrame:
