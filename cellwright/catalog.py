@@ -452,14 +452,6 @@ def anonymize(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", multi.pseudonym(F.col("c_name"), "pepper", "P").alias("c_name"))
 
 
-@query()
-def sample_hash_n(spark, sf_dir):
-    return multi.sample(events(spark, sf_dir).df, F.col("event_id"), n=5, by=["event_type"], seed=7).select("event_type", "event_id")
-
-
-@query()
-def content_hash(spark, sf_dir):
-    return multi.content_hash(table(spark, sf_dir, "orders"))
 
 
 # Results with comparators -------------------------------------------------------------------
@@ -914,10 +906,6 @@ def ri_bootstrap(spark, sf_dir):
     return intervals.reference_intervals(_ev(spark, sf_dir), ["event_type"], F.col("value"), method="NONPARAMETRIC", repetitions=200)
 
 
-@query()
-def ri_latent_exclusion(spark, sf_dir):
-    return intervals.latent_exclusion(_ev(spark, sf_dir), F.col("event_type"), F.col("user_id"), F.col("value")).groupBy("item").agg(F.count("*").alias("n"))
-
 
 # Windows over time ----------------------------------------------------------------------------------
 
@@ -1066,12 +1054,6 @@ def ri_normality(spark, sf_dir):
     return normality(_ev(spark, sf_dir), ["event_type"], F.col("value"))
 
 
-@query()
-def ri_shape(spark, sf_dir):
-    from .operators.study import shape
-
-    return shape(_ev(spark, sf_dir), ["event_type"], F.col("value"))
-
 
 @query()
 def least_squares(spark, sf_dir):
@@ -1121,3 +1103,6 @@ def ri_levels(spark, sf_dir):
     from .plans.analyses import reference_levels
 
     return reference_levels(orders(spark, sf_dir).df, F.col("o_orderstatus"), V.sex(F.expr(SEX)), F.expr(_AGE), F.col("o_totalprice"))
+
+
+from . import catalog_studies  # noqa: E402, F401  (registers its queries)

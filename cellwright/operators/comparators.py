@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -29,20 +29,25 @@ def policy_impact(df: DataFrame, value: str) -> DataFrame:
     return got.select(F.explode(policies).alias("p"), "*").select("p.policy", "filled", "strict", "exact", "bounded", "invalid", "p.used")
 
 
-_LOW, _HIGH = F.col("_sign").isin("<", "<="), F.col("_sign").isin(">", ">=")
+def _low() -> Column:
+    return F.col("_sign").isin("<", "<=")
+
+
+def _high() -> Column:
+    return F.col("_sign").isin(">", ">=")
 
 
 def thresholds(df: DataFrame, item: str, value: str) -> DataFrame:
     """Per item: the largest lower detection bound and the smallest upper one."""
     p = V.with_parsed(df.select(F.col(f"`{item}`").alias("item"), F.col(f"`{value}`").alias("v")), "v")
-    low, high = F.when(_LOW, F.col("_number")), F.when(_HIGH, F.col("_number"))
+    low, high = F.when(_low(), F.col("_number")), F.when(_high(), F.col("_number"))
     return p.groupBy("item").agg(F.max(low).alias("lower"), F.min(high).alias("upper"), F.count_distinct(low).alias("lower_bounds"), F.count_distinct(high).alias("upper_bounds"))
 
 
 def harmonize_preview(df: DataFrame, item: str, value: str) -> DataFrame:
     """item, family, sorted thresholds, the unified one, and the exact results it would swallow."""
     x = V.with_parsed(df.select(F.col(f"`{item}`").alias("item"), F.col(f"`{value}`").alias("v")), "v")
-    x = x.select("item", F.when(_LOW, "LT").when(_HIGH, "GT").when(F.col("_sign").isin("", "="), "EQ").alias("family"), F.col("_number").alias("num"))
+    x = x.select("item", F.when(_low(), "LT").when(_high(), "GT").when(F.col("_sign").isin("", "="), "EQ").alias("family"), F.col("_number").alias("num"))
     t = x.where("family in ('LT', 'GT')").groupBy("item", "family").agg(F.array_join(F.array_sort(F.collect_set("num")), ",").alias("thresholds"), F.max("num").alias("hi"), F.min("num").alias("lo"), F.count("*").alias("bounded"))
     t = t.withColumn("unified", F.when(F.col("family") == "LT", F.col("hi")).otherwise(F.col("lo")))
     exact = x.where("family = 'EQ'").drop("family").join(t.select("item", "family", "unified"), "item").groupBy("item", "family").agg(F.sum((F.when(F.col("family") == "LT", F.col("num") < F.col("unified")).otherwise(F.col("num") > F.col("unified"))).cast("bigint")).alias("convertible"))
@@ -58,8 +63,8 @@ def harmonize(df: DataFrame, item: str, value: str) -> DataFrame:
     j = V.with_parsed(df, F.col(f"`{value}`")).join(t, df[f"`{item}`"].eqNullSafe(F.col("_item")), "left")
     exact = F.col("_sign").isin("", "=")
     spell = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
-    bound = F.when((_LOW | (exact & (F.col("_number") < F.col("lower")))) & F.col("lower").isNotNull(), F.concat(F.lit("<"), spell(F.col("lower"))))
-    bound = bound.when((_HIGH | (exact & (F.col("_number") > F.col("upper")))) & F.col("upper").isNotNull(), F.concat(F.lit(">"), spell(F.col("upper"))))
+    bound = F.when((_low() | (exact & (F.col("_number") < F.col("lower")))) & F.col("lower").isNotNull(), F.concat(F.lit("<"), spell(F.col("lower"))))
+    bound = bound.when((_high() | (exact & (F.col("_number") > F.col("upper")))) & F.col("upper").isNotNull(), F.concat(F.lit(">"), spell(F.col("upper"))))
     return j.withColumn(value, bound.otherwise(F.col(f"`{value}`"))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
