@@ -279,3 +279,24 @@ def ri_status(spark, sf_dir):
     x = x.withColumn("adequacy", intervals.ci_adequacy(F.col("low"), F.col("high"), ci("low"), ci("high")))
     yes = F.lit(True)
     return x.select("kind", "n", "adequacy", intervals.interval_status(F.col("n"), F.col("low"), F.col("high"), order_resolved=yes, confirmed=yes, subjects_known=yes, censored=F.lit(0), adequacy=F.col("adequacy"), fits=yes, least=F.lit(0.0)).alias("status"))
+
+
+_MOMENTS = "m AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1), c AS (SELECT event_type, count(*)::DOUBLE AS n, avg((value - m) ** 3) / avg((value - m) ** 2) ** 1.5 AS g1, avg((value - m) ** 4) / avg((value - m) ** 2) ** 2 AS b2 FROM events JOIN m USING (event_type) GROUP BY 1)"
+
+
+@query(f"WITH {_MOMENTS}, d AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w, (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS s FROM c), e AS (SELECT *, 6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s))) AS a FROM d), k AS (SELECT event_type, n, (asinh(y / sqrt(2 / (w - 1))) / sqrt(0.5 * ln(w))) ** 2 + ((1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))) ** 2 AS k2 FROM e) SELECT event_type, CAST(n AS BIGINT) AS n, round(k2, 4) AS k2, round(exp(-k2 / 2), 8) AS p FROM k")
+def ri_dagostino(spark, sf_dir):
+    return study.dagostino(_ev(spark, sf_dir), ["event_type"], F.col("value")).withColumn("k2", F.round("k2", 4))
+
+
+@query("WITH c AS (SELECT event_type AS g, user_id % 7 AS h, count(*)::DOUBLE AS n, sum(value) AS s, sum(value * value) AS ss FROM events GROUP BY 1, 2), g AS (SELECT g, count(*) AS cells, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(s * s / n) AS sc, sum(n * n) AS n2 FROM c GROUP BY 1), t AS (SELECT count(*) AS a, sum(cells) AS b, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(s * s / n) AS sg, sum(sc) AS sc, sum(n * n) AS g2, sum(n2 / n) AS c1, sum(n2) AS c2 FROM g), r AS (SELECT *, (ss - sc) / (n - b) AS e FROM t), w AS (SELECT *, ((sc - sg) / (b - a) - e) / ((n - c1) / (b - a)) AS w FROM r), o AS (SELECT *, ((sg - s * s / n) / (a - 1) - e - (c1 - c2 / n) / (a - 1) * w) / ((n - g2 / n) / (a - 1)) AS o FROM w) SELECT a AS groups, CAST(b AS BIGINT) AS cells, CAST(n AS BIGINT) AS n, round(e, 4) AS residual, round(sqrt(greatest(o, 0) / e), 6) AS sdr, round(sqrt(greatest(w, 0) / e), 6) AS nested_sdr, o < 0 OR w < 0 AS negative FROM o")
+def sdr_nested(spark, sf_dir):
+    return intervals.nested_deviation_ratios(_ev(spark, sf_dir), F.col("event_type"), F.col("user_id") % 7, F.col("value")).withColumn("residual", F.round("residual", 4))
+
+
+@query("WITH b AS (SELECT p_size AS x, p_retailprice AS y, CAST(p_partkey % 5 + 1 AS DOUBLE) AS w, p_partkey % 6 AS h, p_partkey // 6 % 8 AS i FROM part), s AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * y) AS sy, sum(w * x * y) AS sxy, count(*) AS n FROM b), f AS (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS k, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) AS c FROM s), u AS (SELECT h, i, sum(w * (y - c - k * x)) AS u0, sum(w * (y - c - k * x) * x) AS u1 FROM b, f GROUP BY h, i), m AS (SELECT sum(v00) AS m00, sum(v01) AS m01, sum(v11) AS m11, CAST(sum(psus) - count(*) AS BIGINT) AS df FROM (SELECT h, count(*) AS psus, var_samp(u0) * count(*) AS v00, covar_samp(u0, u1) * count(*) AS v01, var_samp(u1) * count(*) AS v11 FROM u GROUP BY h)) SELECT unnest(['intercept', 'p_size']) AS term, round(unnest([c, k]), 4) AS estimate, round(sqrt(unnest([(sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11), (sx * sx * m00 - 2 * sx * sw * m01 + sw * sw * m11)])) / (sw * sxx - sx * sx), 4) AS se, df, n FROM f, m")
+def survey_regression(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select("p_size", "p_retailprice", (k % 5 + 1).cast("double").alias("w"), (k % 6).alias("h"), (F.floor(k / 6) % 8).alias("i"))
+    fit = statistics.survey_regression(p, "p_retailprice", ["p_size"], "w", "h", "i")
+    return spark.createDataFrame(fit[["term", "estimate", "se", "df", "n"]].round(4))

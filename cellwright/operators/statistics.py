@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as S
+from ..functions import values as V
 
 
 def pair_methods(df: DataFrame, keys: list[str], method: str, value: Column, a: str, b: str) -> DataFrame:
@@ -297,3 +298,30 @@ def least_squares(df: DataFrame, y: str, xs: list[str], cluster: str | None = No
     se = np.sqrt(np.diag(inv @ meat @ inv) * scale)
     q = S.t_quantile(0.975, dof)
     return pd.DataFrame({"term": ["intercept", *xs], "estimate": beta, "se": se, "low": beta - q * se, "high": beta + q * se, "p": [2 * (1 - S.t_cdf(abs(b / s), dof)) for b, s in zip(beta, se, strict=True)], "n": one.n})
+
+
+def survey_regression(df: DataFrame, y: str, xs: list[str], weight: str, stratum: str, psu: str, domain: Column | None = None) -> pd.DataFrame:
+    """Weighted least squares with linearised errors: with-replacement PSUs within strata, degrees of freedom PSUs - strata.
+
+    Rows outside the domain, or with anything missing, weigh nothing but keep their PSU in the design.  Cross products and one
+    score per PSU are aggregated; only sums of fixed size reach the driver.
+    """
+    k = len(xs) + 1
+    cols = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+    whole = V.all_of([F.col(c).isNotNull() for c in (y, *xs, weight)]) & (F.coalesce(domain, F.lit(False)) if domain is not None else F.lit(True))
+    base = df.select(F.when(whole, F.col(weight).cast("double")).otherwise(0.0).alias("w"), F.when(whole, F.col(y).cast("double")).otherwise(0.0).alias("y"), *[F.when(whole, c).otherwise(0.0).alias(f"x{i}") for i, c in enumerate(cols)], F.col(stratum).alias("h"), F.col(psu).alias("i"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    s = base.agg(F.sum((F.col("w") > 0).cast("bigint")).alias("n"), *[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs], *[F.sum(F.col("w") * F.col(f"x{i}") * F.col("y")).alias(f"t{i}") for i in range(k)]).first()
+    square = lambda row, name: np.asarray([[row[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
+    inv = np.linalg.inv(square(s, "s"))
+    beta = inv @ np.asarray([s[f"t{i}"] for i in range(k)], dtype=float)
+    e = F.col("y") - reduce(lambda a, b: a + b, [F.col(f"x{i}") * float(b) for i, b in enumerate(beta)])
+    scores = base.groupBy("h", "i").agg(*[F.sum(F.col("w") * e * F.col(f"x{i}")).alias(f"u{i}") for i in range(k)], F.sum((F.col("w") > 0).cast("bigint")).alias("n"))
+    strata = scores.groupBy("h").agg(F.count("*").alias("m"), F.sum((F.col("n") > 0).cast("int")).alias("used"), *[(F.covar_pop(f"u{i}", f"u{j}") * F.count("*")).alias(f"c{i}_{j}") for i, j in pairs])
+    scale = F.when(F.col("m") > 1, F.col("m") / (F.col("m") - 1)).otherwise(0.0)
+    m = strata.agg(F.sum("used").alias("psus"), F.sum((F.col("used") > 0).cast("int")).alias("strata"), *[F.sum(scale * F.col(f"c{i}_{j}")).alias(f"m{i}_{j}") for i, j in pairs]).first()
+    dof = m.psus - m.strata
+    se = np.sqrt(np.diag(inv @ square(m, "m") @ inv))
+    q = S.t_quantile(0.975, dof) if dof > 0 else math.nan
+    p = [2 * (1 - S.t_cdf(abs(b / v), dof)) if dof > 0 and v > 0 else math.nan for b, v in zip(beta, se, strict=True)]
+    return pd.DataFrame({"term": ["intercept", *xs], "estimate": beta, "se": se, "low": beta - q * se, "high": beta + q * se, "p": p, "df": dof, "n": s.n})

@@ -10,7 +10,7 @@ import csv
 import io
 import re
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from pathlib import Path
 
@@ -161,30 +161,109 @@ def export_frame(ds: Dataset, sexes: bool = True) -> DataFrame:
     return df.select(*cols)
 
 
-def to_text(ds: Dataset, max_rows: int = INLINE_ROWS) -> str:
-    """Container text of a table that fits a file on the driver; larger tables are written by :func:`write_table`."""
-    rows = export_frame(ds).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write the table with write_table")
-    out = io.StringIO()
-    w = csv.writer(out, delimiter="\t", quotechar='"', lineterminator="\n")
-    w.writerow([T.build_header(c, ds.tags.get(c, ())) for c in ds.columns])
-    w.writerows([list(r) for r in rows])
-    bodies = {"SCHEMA": toml_text(ds.schema), "JOB": toml_text(ds.job), "META": toml_text(ds.meta), "DATA": out.getvalue().rstrip("\n")}
-    text = "".join(f"<{s}>\n{b}\n</{s}>\n" for s, b in bodies.items() if b or s == "DATA")
-    again = split_sections(text)
-    if any(again.get(s, "") != b.strip("\n" if s == "DATA" else None) for s, b in bodies.items() if b):
-        raise ValueError("the content holds section markers and would not read back")
+def _sections(ds: Dataset) -> dict[str, str]:
+    return {"SCHEMA": toml_text(ds.schema), "JOB": toml_text(ds.job), "META": toml_text(ds.meta)}
+
+
+def _guard(text: str, where: str) -> str:
+    """Nothing that would read back as a section mark may be written inside one."""
+    if _MARK.search(text):
+        raise ValueError(f"{where} holds section markers and would not read back")
     return text
 
 
+def _pieces(ds: Dataset, controls: bool = True, data: bool = True) -> Iterator[str]:
+    """The file's text, a row at a time."""
+    for name, body in _sections(ds).items() if controls else ():
+        if body:
+            yield f"<{name}>\n{_guard(body, name)}\n</{name}>\n"
+    if data:
+        line = io.StringIO()
+        w = csv.writer(line, delimiter="\t", quotechar='"', lineterminator="\n")
+
+        def spelled(cells: list) -> str:
+            line.seek(0), line.truncate()
+            w.writerow(cells)
+            return _guard(line.getvalue(), "the content")
+
+        yield "<DATA>\n" + spelled([T.build_header(c, ds.tags.get(c, ())) for c in ds.columns])
+        for r in export_frame(ds).toLocalIterator():
+            yield spelled(list(r))
+        yield "</DATA>\n"
+
+
+def to_text(ds: Dataset, max_rows: int = INLINE_ROWS) -> str:
+    """Container text in memory, of at most ``max_rows`` rows; :func:`write_container` streams any number to a file."""
+    out = []
+    for piece in _pieces(ds):
+        out.append(piece)
+        if len(out) > max_rows + 5:
+            raise ValueError(f"more than {max_rows} rows: use write_container or write_table")
+    return "".join(out)
+
+
 def write_container(ds: Dataset, path: str) -> None:
-    Path(path).write_text(to_text(ds), encoding="utf-8")
+    """One file; rows pass the driver one partition at a time.  A file that can't be read back is not left behind."""
+    _write(path, _pieces(ds))
+
+
+def write_controls(ds: Dataset, path: str) -> None:
+    """The controls alone, with the tags that are in force."""
+    spec = {c: dict(v) for c, v in (ci(ds.meta, "COLUMN", default={}) or {}).items()}
+    for c in ds.columns:
+        if ds.tags.get(c):
+            spec.setdefault(c, {})["TAGS"] = list(ds.tags[c])
+    meta = {**{k: v for k, v in ds.meta.items() if k.upper() != "COLUMN"}, **({"COLUMN": spec} if spec else {})}
+    _write(path, _pieces(Dataset(ds.df, {}, meta, ds.schema, ds.job), data=False))
+
+
+def write_data(ds: Dataset, path: str) -> None:
+    """The rows alone, under plain names: to be read with the controls as sidecar."""
+    _write(path, _pieces(Dataset(ds.df), controls=False))
+
+
+def _write(path: str, pieces: Iterator[str]) -> None:
+    part = Path(path + ".part")
+    try:
+        with part.open("w", encoding="utf-8") as f:
+            f.writelines(pieces)
+        part.replace(path)
+    finally:
+        part.unlink(missing_ok=True)
+
+
+def import_rows(template: Dataset, table: Dataset) -> Dataset:
+    """A table's rows under a template's names, tags and controls.
+
+    Columns are matched by name, or by place if no name fits; every template column must be there and no other, and a column's own tags may not go beyond the template's.
+    """
+    want, have = template.columns, table.columns
+    names = {c.lower(): c for c in have}
+    if len(want) != len(have) or not (by_name := all(c.lower() in names for c in want)) and any(c.lower() in names for c in want):
+        raise ValueError(f"columns {have} don't fit the template's {want}")
+    source = {c: names[c.lower()] if by_name else have[i] for i, c in enumerate(want)}
+    if wrong := [c for c, s in source.items() if not set(table.tags.get(s, ())) <= set(template.tags.get(c, ()))]:
+        raise ValueError(f"tags of {wrong} go beyond the template's")
+    hidden = [ROW] if ROW in table.df.columns else []
+    return template.with_df(table.df.select(*[F.col(f"`{s}`").alias(c) for c, s in source.items()], *hidden))
+
+
+#: Formats of one's own: name -> writer of (dataset, path); see :func:`register_exporter`.
+EXPORTERS: dict[str, Callable[[Dataset, str], None]] = {}
+
+
+def register_exporter(name: str, writer: Callable[[Dataset, str], None], suffixes: Iterable[str] = ()) -> None:
+    """``writer`` serves the format's name and its file suffixes."""
+    for key in (name, *suffixes):
+        EXPORTERS[key.lower().lstrip(".")] = writer
 
 
 def write_table(ds: Dataset, path: str, fmt: str | None = None) -> None:
     """csv, tsv, jsonl, parquet, orc: distributed writers over the export frame; feather, sql and xlsx are one file, streamed by the driver."""
-    fmt = fmt or Path(path).suffix.lstrip(".").lower()
+    fmt = (fmt or Path(path).suffix.lstrip(".")).lower()
+    if fmt in EXPORTERS:
+        EXPORTERS[fmt](ds, path)
+        return
     df = export_frame(ds)
     if fmt in ("csv", "tsv"):
         df.write.mode("overwrite").option("header", True).option("sep", "," if fmt == "csv" else "\t").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)

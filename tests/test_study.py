@@ -168,21 +168,56 @@ def test_interval_study_trims_once(spark):
 
     values = [10.0 + i % 5 for i in range(60)] + [30.0, 1000.0]
     ds = Dataset(spark.createDataFrame([(v,) for v in values], "x double"), {"x": ("RESULT", "NUM")})
-    row = runner.run_step(ds, "RI_EP28", {"TRIM": 3}).tables["x:limits"].first()
-    assert row.n == 61
-
-
-def test_missing_rows_are_named():
-    """What the inventory has and the code lacks stands under 'Not included', and its rows are not claimed."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with open(f"{root}/README.md", encoding="utf-8") as f:
-        lacking = f.read().split("## Not included")[1]
-    for name in ("D'Agostino", "R_BOOT", "r_boot_quantile", "nested", "bias ratio", "status ladder", "replacement", "Latent exclusion"):
-        assert name in lacking
-    with open(f"{root}/COVERAGE.md", encoding="utf-8") as f:
-        line = next(x for x in f if "interval studies" in x)
-    claimed = set()
-    for part in line.split("|")[1].split(" interval")[0].split(","):
-        a, _, b = part.strip().partition("–")
-        claimed |= set(range(int(a), int(b or a) + 1))
-    assert 220 in claimed and not claimed & {219, 221, 230, 231, 236}
+    row = runner.run_step(ds, "RI_EP28", {"TRIM": 3, "METHOD": "PARAMETRIC"}).tables["x:limits"].first()
+    assert (row.n, row.trimmed) == (61, 1)
+    assert runner.run_step(ds, "RI_EP28", {"TRIM": 3}).tables["x:limits"].first().n == 62  # ranks need no trimming
+
+
+def test_interval_study_with_exclusion(spark):
+    """Two analytes of 200 people, some with wild values in another test: they leave, and the tables say so."""
+    from cellwright.plans import runner
+
+    rng = np.random.default_rng(7)
+    a, b, c = rng.normal(100, 5, 200), rng.normal(50, 3, 200), rng.normal(7, 1, 200)
+    b[:4], c[:4], a[:4] = 500, 900, 60
+    rows = [(i, float(x), float(y), float(z), "m" if i % 2 else "f") for i, (x, y, z) in enumerate(zip(a, b, c))]
+    ds = Dataset(spark.createDataFrame(rows, "pid int, a double, b double, c double, sex string"), {"pid": ("ID",), "a": ("RESULT", "NUM"), "b": ("RESULT", "NUM"), "c": ("RESULT", "NUM")})
+    out = runner.run_step(ds, "RI_EP28", {"RESULT": ["a"], "SUBJECT": "pid", "LAVE": {"REFERENCE": ["a", "b", "c"], "MAX_ABNORMAL": 1}, "CONFIRMED": True, "METHOD": ["NONPARAMETRIC", "ROBUST"], "BOOTSTRAP_N": 60, "DECIMALS": 2, "CI_WIDTH": 0.5})
+    limits = {r.method: r for r in out.tables["a:limits"].collect()}
+    gone = {r.subject for r in out.tables["lave:members"].where("target = 'a' and not included").collect()}
+    assert limits["NONPARAMETRIC"].n == 200 - len(gone) and limits["NONPARAMETRIC"].status == "candidate_requires_verification" and limits["ROBUST"].low_from is not None
+    assert set(range(4)) <= gone and len(gone) < 8 and out.tables["a:sensitivity"].first().low_shift > 0
+    assert runner.run_step(ds, "RI_EP28", {"RESULT": ["a"], "SUBJECT": "pid"}).tables["a:limits"].first().status == "exploratory_only"
+    with pytest.raises(ValueError, match="SUBJECT"):
+        runner.run_step(ds, "RI_EP28", {"RESULT": ["a"], "LAVE": {"MAX_ABNORMAL": 0}})
+    by = runner.run_step(ds, "RI_EP28", {"RESULT": ["a"], "PARTITION": ["sex"], "METHOD": ["LOG_PARAMETRIC"]}).tables
+    assert by["a:bias"].first().br_low is not None and by["a:sdr"].first().sdr >= 0 and by["a:limits"].count() == 2
+    bad = Dataset(spark.createDataFrame([(-1.0,), (2.0,), (3.0,), (4.0,)], "x double"), {"x": ("RESULT", "NUM")})
+    row = runner.run_step(bad, "RI_EP28", {"METHOD": "LOG_PARAMETRIC"}).tables["x:limits"].first()
+    assert row.low is None and "positive" in row.note and row.status == "insufficient_n"
+
+
+def test_plans_are_checked_before_they_run(spark):
+    from cellwright.plans import runner
+    from cellwright.plans.analyses import plan_problems
+
+    rng = np.random.default_rng(3)
+    rows = [(float(v), float(x), i % 2, float(i % 3 + 1), i % 4, i % 9) for i, (v, x) in enumerate(rng.normal(5, 1, (120, 2)))]
+    ds = Dataset(spark.createDataFrame(rows, "v double, x double, g int, w double, h int, i int"), {"v": ("RESULT", "NUM")}, {"COLUMN": {c: {"ID": c.upper()} for c in "vxgwhi"}})
+    wrong = {"GROUPS": {"A": [{"COLUMN_ID": "NONE", "MIN": 1}, {"COLUMN_ID": "G"}]}, "MORE": 1, "ANALYSES": [
+        {"TYPE": "GUESS"}, {"TYPE": "HISTOGRAM", "LOW": 1}, {"TYPE": "ROC", "LABEL_ID": "Q"}, {"TYPE": "SUMMARY", "NAME": "s", "BINS": 4}, {"TYPE": "SUMMARY", "NAME": "s"},
+        {"TYPE": "SURVEY_CONTRAST", "WEIGHT_ID": "W", "STRATUM_ID": "H", "PSU_ID": "I", "GROUP_A": "A", "GROUP_B": "B"}, {"TYPE": "MODEL", "COVARIATE_IDS": ["X"], "COVARIANCE": "SURVEY", "CLUSTER_ID": "G"}, {"TYPE": "MODEL", "COVARIATE_IDS": ["X"], "COVARIANCE": "OTHER"},
+    ]}
+    found = "; ".join(plan_problems(ds, wrong))
+    for text in ("MORE", "'NONE'", "a test needs", "'GUESS'", "lacks HIGH", "'Q'", "unknown option BINS", "the name repeats", "unknown group 'B'", "lacks PSU_ID", "CLUSTER_ID has no meaning", "COVARIANCE must be"):
+        assert text in found, text
+    with pytest.raises(ValueError):
+        runner.run_step(ds, "ANALYZE", wrong)
+    good = {"GROUPS": {"ONE": [{"COLUMN_ID": "G", "IN_NUMBERS": [1]}], "ZERO": [{"COLUMN_ID": "G", "MAX": 0}]}, "ANALYSES": [
+        {"TYPE": "MODEL", "NAME": "m", "COVARIATE_IDS": ["X"], "COVARIANCE": k, **more} for k, more in (("HC3", {}),)] + [
+        {"TYPE": "MODEL", "NAME": "ms", "COVARIATE_IDS": ["X"], "COVARIANCE": "SURVEY", "WEIGHT_ID": "W", "STRATUM_ID": "H", "PSU_ID": "I", "GROUP": "ONE"}, {"TYPE": "MODEL", "NAME": "mc", "COVARIATE_IDS": ["X"], "COVARIANCE": "CLUSTER", "CLUSTER_ID": "I"},
+        {"TYPE": "SURVEY_CONTRAST", "NAME": "c", "WEIGHT_ID": "W", "STRATUM_ID": "H", "PSU_ID": "I", "GROUP_A": "ONE", "GROUP_B": "ZERO"}, {"TYPE": "GROUP_TEST", "NAME": "t", "BY_ID": "G"}, {"TYPE": "CORRELATION", "NAME": "r", "WITH_IDS": ["X", "W"]}, {"TYPE": "INTERVALS", "NAME": "i"},
+    ]}
+    tables = runner.run_step(ds, "ANALYZE", good).tables
+    assert set(tables) == {"m:v", "ms:v", "mc:v", "c:v", "t:v", "r:v", "i:v"} and all(t.count() for t in tables.values())
+    assert tables["ms:v"].first().n == 60 and tables["r:v"].count() == 3
