@@ -131,14 +131,27 @@ def _signed(words: int, bands: int, rows: int):
     return run
 
 
+#: Digests a task remembers so that repeated texts are not sent again.
+SENT = 100_000
+
+
 def _shingled(words: int):
-    """Digest and n-grams of each text with words."""
+    """Digest and n-grams of each text with words, most repeated texts once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                joined = {words_of(t) for t in whole.column("text").slice(a, 512).to_pylist()} - {b""}
-                yield pa.record_batch([pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in joined], pa.binary()), pa.array([shingles(w, words).tobytes() for w in joined], pa.binary())], names=["node", "grams"])
+            for a in range(0, whole.num_rows, 256):
+                nodes, grams = [], []
+                for joined in {words_of(t) for t in whole.column("text").slice(a, 256).to_pylist()} - {b""}:
+                    node = hashlib.blake2b(joined, digest_size=16).digest()
+                    if node not in sent:
+                        sent.add(node)
+                        nodes.append(node)
+                        grams.append(shingles(joined, words).tobytes())
+                if len(sent) > SENT:
+                    sent.clear()
+                yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(grams, pa.binary())], names=["node", "grams"])
 
     return run
 
@@ -165,10 +178,10 @@ def near_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     # Written, so that the join below has two plain exchanges, whose large partitions adaptive execution can split.
     sizes = scratch.put(clusters.join(classes.select("node", "n_grams"), "node").groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("size")), "sizes")
     members = scratch.put(clusters.join(sizes, "cluster").join(classes, "node").select("node", "cluster", "size", "n", "bands", F.col("first.doc_id").alias("rid")), "members")
-    # Only ids of members are read again.  N-grams meet their class by digest, and rows of one text are combined on
-    # the map side, so that an id on many rows multiplies nothing.
+    # Only ids of members are read again.  N-grams meet their class by digest, and a text is sent about once a task, so that an id on
+    # many rows multiplies nothing; what several tasks send is reduced where it meets, on the partitioning of the join.
     likely = with_maybe(source, F.col("doc_id"), members.select("rid")).where("_maybe").select("text")
-    grams = likely.mapInArrow(_shingled(words), "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+    grams = likely.mapInArrow(_shingled(words), "node binary, grams binary").repartition("node").groupBy("node").agg(F.first("grams").alias("grams"))
     tiled = with_tiles(members.select("node", "cluster", "size", "n", "bands").join(grams, "node"), F.col("size"), F.col("node"), block_rows).select("cluster", "bi", "bj", "own", "node", "n", "bands", "grams")
 
     def compare(unit: list[dict]) -> list[tuple]:
