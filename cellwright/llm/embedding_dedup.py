@@ -127,14 +127,15 @@ def _tiles(classes: DataFrame, turn: Broadcast, scratch: Scratch, threshold: flo
     bounds = ordered.groupBy("label", "dim").agg(F.count("*").alias("size"), F.percentile_approx("lead", cuts, 1000).alias("cuts"))
     # As many strata as blocks: every q-th bound, and none where one block does.
     q = F.ceil(F.lit(strata) / F.ceil(F.col("size") / full)).cast("int")
-    bounds = bounds.select("label", "dim", F.filter("cuts", lambda c, i: (i + 1) % q == 0).alias("cuts"))
+    # Written, so that their size is known when the join is planned: no shuffle by label where they can be broadcast.
+    bounds = scratch.put(bounds.select("label", "dim", F.filter("cuts", lambda c, i: (i + 1) % q == 0).alias("cuts")), "bounds")
     cut = scratch.put(ordered.join(bounds, ["label", "dim"]).withColumn("stratum", F.size(F.filter("cuts", lambda c: c <= F.col("lead")))).drop("cuts"), "cut")
     # A quarter more than a full block is let be, so that strata near to one block are not cut in two.
     counted = cut.groupBy("label", "dim", "stratum").agg(F.ceil(F.count("*") / (full * 1.25)).cast("int").alias("blocks"), F.min("lead").alias("lo"), F.max("lead").alias("hi"))
     lists = counted.groupBy("label", "dim").agg(F.array_sort(F.collect_list(F.struct("stratum", "blocks", "lo", "hi"))).alias("strata"))
     # The first block of each stratum; a row's block by the hash of its class.
     first = F.aggregate("strata", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["blocks"])))
-    lists = lists.withColumn("ends", first)
+    lists = scratch.put(lists.withColumn("ends", first), "strata")
     joined = cut.join(lists, ["label", "dim"])
     mine = F.filter("strata", lambda x: x["stratum"] == F.col("stratum"))[0]
     reach = F.sqrt(F.lit(2 - 2 * threshold)) + SLACK
