@@ -126,3 +126,37 @@ def qc_workflow(df: DataFrame, by: list[str], run: str, order: str, value: str)
     chart = L.levey_jennings(df, [*by, "material"], [order], v, [run])
     judged = L.westgard_basic(chart, by, run, order)
     return {"precision": L.qc_precision(df, [*by, "material"], v), "chart": chart, "rules": judged, "review": L.run_review(judged, by, run), "invalid": df.where(v.isNull()).groupBy(*as_list(by)).agg(F.count("*").alias("n"))}
+
+
+def fix(ds: Dataset, comparators: str | None = None, options: dict | None = None) -> Dataset:
+    """Canonical sexes and ages in place; in plain number columns, rows with a comparator go (DELETE) or keep the bound (VALUE)."""
+    from .comparators import fix_comparator
+
+    out = apply_options(ds, {"SEX": True, "AGE": "years", **(options or {})})
+    df = out.df.drop(*[f"{c}_raw" for c in ds.columns if f"{c}_raw" not in ds.columns])
+    for c in ds.find(any_of=["NUM"]) if comparators else []:
+        df = fix_comparator(df, c, comparators)
+    return ds.with_df(df)
+
+
+def normalise_dates(ds: Dataset, formats: list[str] | None = None) -> Dataset:
+    """DATE and DATETIME columns as ISO text; what no format reads stays as it is.  Spreadsheet day numbers are read as well."""
+    df = ds.df
+    for c in ds.find(any_of=["DATE", "DATETIME"]):
+        cell = F.col(f"`{c}`")
+        df = df.withColumn(c, F.coalesce(V.iso(V.temporal(cell, formats, excel_serial=True)), cell.cast("string")))
+    return ds.with_df(df)
+
+
+def normalise_categories(ds: Dataset) -> Dataset:
+    """Synonyms of each column's controls (VALUES as a table of words) to canonical words; BY_SOURCE codes only inside their source."""
+    from .integration import normalise_words
+
+    df = ds.df
+    for c in ds.columns:
+        spec = ci(ci(ds.meta, "COLUMN", default={}), c, default={}) or {}
+        words, codes = ci(spec, "VALUES"), ci(spec, "BY_SOURCE")
+        if isinstance(words, dict) or codes:
+            table = {str(k): [str(x) for x in as_list(v)] for k, v in words.items()} if isinstance(words, dict) else {}
+            df = normalise_words(df, c, table, codes, ds.resolve(str(ci(spec, "SOURCE"))) if codes else None)
+    return ds.with_df(df)

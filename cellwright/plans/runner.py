@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from .. import tags as T
 from ..dataset import Dataset, as_list, ci
 from ..operators import checks, comparators, multi, summaries
 from ..operators.actions import run_action
@@ -115,6 +116,13 @@ def register_plugin(name: str, handler: Callable[[Dataset, dict], Output | Datas
     STEPS[name.upper()] = run
 
 
+def steps() -> list[str]:
+    """Names of all steps, one's own included."""
+    from . import analyses  # noqa: F401  (registers its steps)
+
+    return list(STEPS)
+
+
 def run_step(ds: Dataset, name: str, options: dict | None = None) -> Output:
     from . import analyses  # noqa: F401  (registers its steps)
 
@@ -209,3 +217,26 @@ def verify_log(ds: Dataset) -> bool:
 def reproducible(run: Callable[[], DataFrame], times: int = 2) -> bool:
     """Equal content digests of repeated runs."""
     return len({tuple(multi.content_hash(run()).first()) for _ in range(times)}) == 1
+
+
+def stamp(ds: Dataset) -> Dataset:
+    """The content's digest under INTEGRITY of the controls."""
+    rows, digest = _content(ds)
+    return replace(ds, meta={**{k: v for k, v in ds.meta.items() if k.upper() != "INTEGRITY"}, "INTEGRITY": {"ROWS": rows, "DIGEST": digest}})
+
+
+def check_integrity(ds: Dataset) -> str:
+    """OK, CHANGED or UNSTAMPED."""
+    was = ci(ds.meta, "INTEGRITY")
+    if not was:
+        return "UNSTAMPED"
+    return "OK" if _content(ds) == (ci(was, "ROWS"), ci(was, "DIGEST")) else "CHANGED"
+
+
+def _content(ds: Dataset) -> tuple[int, str]:
+    """Headers with tags, and cells as a file stores them, sexes in canonical words."""
+    from ..sources.container import export_frame
+
+    headers = hashlib.sha256("\t".join(T.build_header(c, ds.tags.get(c, ())) for c in ds.columns).encode()).hexdigest()
+    row = multi.content_hash(export_frame(ds)).first()
+    return row.rows, f"{headers[:16]}-{row.digest}"

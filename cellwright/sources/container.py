@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import tomllib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 from itertools import islice
 from pathlib import Path
 
@@ -109,7 +111,8 @@ def from_text(spark: SparkSession, text: str, sidecar: str | None = None, defaul
     fields = StructType([StructField(f"c{i}", StringType()) for i in range(len(headers))] + [StructField(ROW, StringType())])
     df = spark.createDataFrame([[*r, str(i)] for i, r in enumerate(rows)], fields)
     cells = [V.decode_cell(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(headers))]
-    return _tagged(df.select(*cells, F.col(ROW).cast("bigint").alias(ROW)), headers, controls["META"], controls["SCHEMA"], controls["JOB"])
+    log = tuple(json.loads(e) for e in controls["JOB"].pop("LOG", []))
+    return replace(_tagged(df.select(*cells, F.col(ROW).cast("bigint").alias(ROW)), headers, controls["META"], controls["SCHEMA"], controls["JOB"]), log=log)
 
 
 def scan_table(spark: SparkSession, path: str, sep: str = "\t", decode: bool = True, meta: dict | None = None) -> Dataset:
@@ -162,7 +165,9 @@ def export_frame(ds: Dataset, sexes: bool = True) -> DataFrame:
 
 
 def _sections(ds: Dataset) -> dict[str, str]:
-    return {"SCHEMA": toml_text(ds.schema), "JOB": toml_text(ds.job), "META": toml_text(ds.meta)}
+    """The log travels with the job, an entry a line."""
+    job = {**ds.job, "LOG": [json.dumps(e, sort_keys=True, ensure_ascii=False) for e in ds.log]} if ds.log else ds.job
+    return {"SCHEMA": toml_text(ds.schema), "JOB": toml_text(job), "META": toml_text(ds.meta)}
 
 
 def _guard(text: str, where: str) -> str:
@@ -309,7 +314,6 @@ def sql_script(ds: Dataset, table: str = "data") -> str:
 def write_bundle(ds: Dataset, folder: str) -> None:
     """A folder for R: data, column tags, controls, a loader and a manifest."""
     import hashlib
-    import json
 
     root = Path(folder)
     root.mkdir(parents=True, exist_ok=False)

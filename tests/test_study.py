@@ -59,6 +59,78 @@ def test_command_line(spark, tmp_path, capsys):
     assert "GLU" in capsys.readouterr().out and spark.read.csv(str(tmp_path / "o.csv"), header=True).count() == 2
 
 
+def test_every_command(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import json
+
+    from cellwright.sources import container as C
+
+    f, t = str(tmp_path / "x.dat"), lambda n: str(tmp_path / n)
+    (tmp_path / "x.dat").write_text(TEXT, encoding="utf-8")
+    run = lambda *a: cli.main([str(x) for x in a])
+
+    def said(*a):
+        capsys.readouterr()
+        assert run(*a) == 0, a
+        return capsys.readouterr().out
+
+    assert json.loads(said("tags", f)) and "CHEMISTRY_ANALYSIS" in said("plugins") and "patient" in said("presets") and "SORT" in said("actions", f)
+    assert run("check", f) in (0, 1) and run("review", f) == 0 and run("check-excel", f) == 0 and run("logs", f) == 0 and run("verify", f) == 0
+    columns = C.read_container(spark, f).columns
+    for name in ("tags-to-meta", "tags-to-header", "fix", "normalize-datetimes", "normalize-categories", "apply-preset", "split-comparator"):
+        assert run(name, f, "--out", t(f"{name}.dat")) == 0
+        assert set(columns) <= set(C.read_container(spark, t(f"{name}.dat")).columns)
+    assert C.read_container(spark, t("tags-to-meta.dat")).tags == C.read_container(spark, f).tags
+    assert "UNSTAMPED" in said("check-integrity", f) and run("stamp", f, t("s.dat")) == 0 and "OK" in said("check-integrity", t("s.dat"))
+    text = (tmp_path / "s.dat").read_text()
+    (tmp_path / "s2.dat").write_text(text.replace("GLU", "GLX"))
+    assert run("check-integrity", t("s2.dat")) == 1
+    assert run("sample", f, "--n", "2", "--out", t("n.csv")) == 0 and spark.read.csv(t("n.csv"), header=True).count() == 2
+    assert run("merge", f, f, "--out", t("m.dat")) == 0
+    assert run("split-file", f, t("half")) == 0 and run("attach-meta", t("half.data.txt"), t("half.meta.txt"), t("whole.dat")) == 0
+    assert C.read_container(spark, t("whole.dat")).tags == C.read_container(spark, f).tags
+    assert run("export", f, t("e.xlsx")) == 0 and run("import-xlsx", f, t("e.xlsx"), t("i.dat")) == 0 and C.read_container(spark, t("i.dat")).df.count() == 4
+    (tmp_path / "raw.csv").write_text("pid,sex,value\n1,M,5\n2,F,<3\n", encoding="utf-8")
+    assert run("init", t("raw.csv"), t("start.dat"), "--review", t("why")) == 0 and C.read_container(spark, t("start.dat")).tags["value"] == ("<NUM>",)
+    assert run("sync", t("raw.csv"), t("project"), "--key", "pid") == 0
+    (tmp_path / "raw.csv").write_text("pid,sex,value\n1,M,6\n2,F,<3\n", encoding="utf-8")
+    assert run("sync", t("raw.csv"), t("project"), "--key", "pid") == 1 and run("sync", t("raw.csv"), t("project"), "--key", "pid", "--accept") == 0
+    assert run("run-plugin", f, "DESCRIBE") == 0 and run("run", f, "--out", t("done.dat"), "--report", t("rep")) == 0
+    assert len(json.loads(said("logs", t("done.dat")))) > 0 and run("verify", t("done.dat")) == 0 and run("clear-log", t("done.dat"), t("clear.dat")) == 0 and said("logs", t("clear.dat")).strip() == "[]"
+    monkeypatch.setattr("sys.stdin", io.StringIO(TEXT))
+    assert "column" in said("describe", "-")
+    (tmp_path / "p.toml").write_text(f'KEYS = ["pid"]\n[SOURCES]\na = "{t("raw.csv")}"\n[TARGETS.v]\nUNIT = "mg/L"\n[TARGETS.v.SOURCES.a]\nCOLUMN = "value"\nUNIT = "mg/dL"\n')
+    assert run("integrate", t("p.toml"), t("int.csv")) == 0 and {r.v for r in spark.read.csv(t("int.csv"), header=True).collect()} == {"60.0", None}
+    C.register_exporter("count", lambda ds, path: (tmp_path / "c.count").write_text(str(ds.df.count())), [".count"])
+    assert run("export", f, t("c.count")) == 0 and (tmp_path / "c.count").read_text() == "4"
+    cli.register_command("rows", lambda a, ds: {"rows": ds.df.count()})
+    assert json.loads(said("rows", f)) == {"rows": 4}
+    assert len(cli.COMMANDS) > 45
+
+
+def test_containers_stream_and_refuse(spark, tmp_path):
+    from cellwright.sources import container as C
+
+    n = 25_000
+    ds = Dataset(spark.range(n).select(F.col("id").cast("string").alias("a")), {"a": ("ID",)})
+    C.write_container(ds, str(tmp_path / "big.dat"))
+    assert C.read_container(spark, str(tmp_path / "big.dat")).df.count() == n
+    with pytest.raises(ValueError):
+        C.to_text(ds)
+    with pytest.raises(ValueError):
+        C.write_container(Dataset(spark.createDataFrame([("x </DATA> y",)], "a string")), str(tmp_path / "bad.dat"))
+    assert not list(tmp_path.glob("bad*"))
+    template = Dataset(spark.createDataFrame([("1", "2")], "A string, b string"), {"A": ("ID",)})
+    assert C.import_rows(template, Dataset(spark.createDataFrame([("x", "y")], "B string, a string"))).df.first() == ("y", "x")
+    assert C.import_rows(template, Dataset(spark.createDataFrame([("x", "y")], "q string, r string"))).df.first() == ("x", "y")
+    for wrong in (spark.createDataFrame([("x",)], "a string"), spark.createDataFrame([("x", "y")], "a string, z string")):
+        with pytest.raises(ValueError):
+            C.import_rows(template, Dataset(wrong))
+    with pytest.raises(ValueError):
+        C.import_rows(template, Dataset(spark.createDataFrame([("x", "y")], "a string, b string"), {"b": ("NAME",)}))
+
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
