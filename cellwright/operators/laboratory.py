@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from .summaries import number_stats
+from .summaries import number_stats, quantile, quantiles
 
 #: Stage, start, end.
 STAGES = [
@@ -33,22 +33,28 @@ def item_counts(df: DataFrame, item: Column, top: int | None = None) -> DataFram
     return out.orderBy(F.desc("n"), "item").limit(top) if top else out
 
 
-def result_summary(df: DataFrame, item: Column, value: Column) -> DataFrame:
-    return df.select(item.alias("item"), value.cast("double").alias("x")).groupBy("item").agg(*number_stats(F.col("x"), sd_of_one=0.0))
+def result_summary(df: DataFrame, item: Column, value: Column, accuracy: int | None = None) -> DataFrame:
+    return df.select(item.alias("item"), value.cast("double").alias("x")).groupBy("item").agg(*number_stats(F.col("x"), sd_of_one=0.0, accuracy=accuracy))
 
 
-def instrument_bias(df: DataFrame, item: Column, instrument: Column, value: Column) -> DataFrame:
+def instrument_bias(df: DataFrame, item: Column, instrument: Column, value: Column, accuracy: int | None = None) -> DataFrame:
     """Median of each instrument against the item's median over all instruments."""
     x = df.select(item.alias("item"), instrument.alias("instrument"), value.cast("double").alias("x"))
-    by = x.groupBy("item", "instrument").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"))
-    whole = x.groupBy("item").agg(F.percentile("x", 0.5).alias("m"))
+    by = x.groupBy("item", "instrument").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), quantile(F.col("x"), 0.5, accuracy).alias("median"))
+    whole = x.groupBy("item").agg(quantile(F.col("x"), 0.5, accuracy).alias("m"))
     diff = F.col("median") - F.col("m")
     return by.join(whole, "item").select("item", "instrument", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("m", 6).alias("item_median"), F.round(diff, 6).alias("bias"), F.round(F.when(F.col("m") != 0, 100 * diff / F.col("m")), 6).alias("bias_pct"))
 
 
-def turnaround(df: DataFrame, by: dict[str, Column], start: Column, end: Column) -> DataFrame:
+def _upper(x: Column, accuracy: int | None) -> list[Column]:
+    """Median, P90 and P95 from one aggregate."""
+    q = quantiles(x, [0.5, 0.9, 0.95], accuracy)
+    return [F.round(q[i], 6).alias(a) for i, a in enumerate(("median", "p90", "p95"))]
+
+
+def turnaround(df: DataFrame, by: dict[str, Column], start: Column, end: Column, accuracy: int | None = None) -> DataFrame:
     x = df.select(*[c.alias(k) for k, c in by.items()], minutes(start, end).alias("x")).where("x >= 0")
-    return x.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), *[F.round(F.percentile("x", p), 6).alias(a) for p, a in ((0.5, "median"), (0.9, "p90"), (0.95, "p95"))], F.round(F.min("x"), 6).alias("min"), F.round(F.max("x"), 6).alias("max"))
+    return x.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), *_upper(F.col("x"), accuracy), F.round(F.min("x"), 6).alias("min"), F.round(F.max("x"), 6).alias("max"))
 
 
 def workload(df: DataFrame, at: Column, item: Column, unit: str = "day") -> DataFrame:
@@ -56,14 +62,14 @@ def workload(df: DataFrame, at: Column, item: Column, unit: str = "day") -> Data
     return df.groupBy(slot, item.alias("item")).agg(F.count("*").alias("n"))
 
 
-def age_sex_summary(df: DataFrame, item: Column, sex: Column, age: Column, value: Column) -> DataFrame:
+def age_sex_summary(df: DataFrame, item: Column, sex: Column, age: Column, value: Column, accuracy: int | None = None) -> DataFrame:
     x = df.select(item.alias("item"), sex.alias("sex"), V.age_band(age).alias("age_band"), value.cast("double").alias("x"))
-    return x.groupBy("item", "sex", "age_band").agg(*number_stats(F.col("x"), (50,), sd_of_one=0.0))
+    return x.groupBy("item", "sex", "age_band").agg(*number_stats(F.col("x"), (50,), sd_of_one=0.0, accuracy=accuracy))
 
 
-def tukey_outliers(df: DataFrame, item: Column, value: Column, k: float = 1.5) -> DataFrame:
+def tukey_outliers(df: DataFrame, item: Column, value: Column, k: float = 1.5, accuracy: int | None = None) -> DataFrame:
     x = df.select(item.alias("item"), value.cast("double").alias("x")).where("x is not null")
-    q = x.groupBy("item").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = x.groupBy("item").agg(quantiles(F.col("x"), [0.25, 0.75], accuracy).alias("q"))
     q = q.select("item", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).withColumn("low", F.col("q1") - k * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + k * (F.col("q3") - F.col("q1")))
     n = lambda c: F.sum(c.cast("bigint"))
     return x.join(q, "item").groupBy("item", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")).agg(F.count("*").alias("n"), n(F.col("x") < F.col("low")).alias("below"), n(F.col("x") > F.col("high")).alias("above"))
@@ -132,20 +138,20 @@ def stage_rows(df: DataFrame, points: dict[str, Column], keep: list[str], target
     return df.select(*keep, F.explode(listed).alias("s")).select(*keep, "s.*")
 
 
-def stage_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+def stage_summary(rows: DataFrame, by: list[str], accuracy: int | None = None) -> DataFrame:
     ok = F.when(F.col("status") == "ok", F.col("minutes"))
     n = lambda c: F.sum(c.cast("bigint"))
-    return rows.groupBy(*by, "stage").agg(F.count("*").alias("rows"), F.count(ok).alias("valid"), n(F.col("status").startswith("missing")).alias("missing"), n(F.col("status") == "negative").alias("negative"), n(F.col("breach")).alias("breaches"), F.round(F.avg(ok), 6).alias("mean"), *[F.round(F.percentile(ok, p), 6).alias(a) for p, a in ((0.5, "median"), (0.9, "p90"), (0.95, "p95"))], F.min(ok).alias("min"), F.max(ok).alias("max"))
+    return rows.groupBy(*by, "stage").agg(F.count("*").alias("rows"), F.count(ok).alias("valid"), n(F.col("status").startswith("missing")).alias("missing"), n(F.col("status") == "negative").alias("negative"), n(F.col("breach")).alias("breaches"), F.round(F.avg(ok), 6).alias("mean"), *_upper(ok, accuracy), F.min(ok).alias("min"), F.max(ok).alias("max"))
 
 
 def bottlenecks(summary: DataFrame, k: int = 10) -> DataFrame:
     return summary.orderBy(F.desc_nulls_last("p95"), F.desc_nulls_last("median"), "stage").limit(k)
 
 
-def trend(df: DataFrame, item: Column, at: Column, value: Column, unit: str = "day", window: int = 7) -> DataFrame:
+def trend(df: DataFrame, item: Column, at: Column, value: Column, unit: str = "day", window: int = 7, accuracy: int | None = None) -> DataFrame:
     """Per period with results: n, mean, median, and the mean of the last ``window`` periods' means."""
     x = df.select(item.alias("item"), F.date_trunc(unit, at).alias("period"), value.cast("double").alias("x")).where("x is not null")
-    p = x.groupBy("item", "period").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"))
+    p = x.groupBy("item", "period").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), quantile(F.col("x"), 0.5, accuracy).alias("median"))
     w = Window.partitionBy("item").orderBy("period").rowsBetween(-(window - 1), 0)
     return p.select("item", "period", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round(F.avg("mean").over(w), 6).alias("moving_mean"))
 

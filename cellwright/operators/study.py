@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import special as S
 from ..functions import values as V
 from .statistics import average_rank, running_sums
+from .summaries import quantile, quantiles
 
 
-def sample_summary(df: DataFrame, groups: dict[str, Column], value: str, policy: str = "DELETE", lower: str | None = None, upper: str | None = None) -> DataFrame:
+def sample_summary(df: DataFrame, groups: dict[str, Column], value: str, policy: str = "DELETE", lower: str | None = None, upper: str | None = None, accuracy: int | None = None) -> DataFrame:
     """Overlapping groups (boolean columns): n, missing, censored, mean, SD, quantiles, CV%, geometric mean and SD.
 
     Each row goes to the groups it is in; a row in none goes nowhere.
@@ -25,7 +26,7 @@ def sample_summary(df: DataFrame, groups: dict[str, Column], value: str, policy:
     long = df.select(x.alias("x"), (V.strip(V.text(c)) == "").alias("blank"), F.coalesce(V.comparator_sign(c).isin("<", "<=", ">", ">="), F.lit(False)).alias("cens"), F.explode(member).alias("group"))
     ln = F.when(F.col("x") > 0, F.log("x"))
     r = lambda e, a: F.round(e, 6).alias(a)
-    g = long.groupBy("group").agg(F.count("*").alias("rows"), F.count("x").alias("n"), F.sum(F.col("blank").cast("bigint")).alias("missing"), F.sum(F.col("cens").cast("bigint")).alias("censored"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg(ln).alias("lm"), F.stddev_samp(ln).alias("ls"), F.min(F.when(F.col("x").isNotNull(), (F.col("x") > 0).cast("int"))).alias("pos"))
+    g = long.groupBy("group").agg(F.count("*").alias("rows"), F.count("x").alias("n"), F.sum(F.col("blank").cast("bigint")).alias("missing"), F.sum(F.col("cens").cast("bigint")).alias("censored"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), quantiles(F.col("x"), [0.25, 0.5, 0.75], accuracy).alias("q"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg(ln).alias("lm"), F.stddev_samp(ln).alias("ls"), F.min(F.when(F.col("x").isNotNull(), (F.col("x") > 0).cast("int"))).alias("pos"))
     return g.select("group", "rows", "n", "missing", "censored", r(F.col("m"), "mean"), r(F.col("s"), "sd"), r(F.col("q")[0], "q1"), r(F.col("q")[1], "median"), r(F.col("q")[2], "q3"), "min", "max", r(F.when(F.col("m") != 0, 100 * F.col("s") / F.abs("m")), "cv_pct"), r(F.when(F.col("pos") == 1, F.exp("lm")), "geo_mean"), r(F.when(F.col("pos") == 1, F.exp("ls")), "geo_sd"))
 
 
@@ -57,9 +58,9 @@ def share_outside(df: DataFrame, limits: DataFrame, by: list[str], value: Column
     return g.select(*by, "n", "outside", F.round(share, 6).alias("share"), F.when(share <= allowed, "ACCEPT").otherwise("REVIEW").alias("verdict"))
 
 
-def interval_overlap(df: DataFrame, by: list[str], group: Column, value: Column) -> DataFrame:
+def interval_overlap(df: DataFrame, by: list[str], group: Column, value: Column, accuracy: int | None = None) -> DataFrame:
     """Share of the joint range that the central 95 % of two groups have in common."""
-    q = df.select(*by, group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null").groupBy(*by, "g").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    q = df.select(*by, group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null").groupBy(*by, "g").agg(quantiles(F.col("x"), [0.025, 0.975], accuracy).alias("q"))
     a, b = q.alias("a"), q.alias("b")
     on = F.col("a.g") < F.col("b.g")
     for k in by:
@@ -169,7 +170,7 @@ def input_audit(df: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
     return df.groupBy((reason.otherwise("INCLUDED") if reason is not None else F.lit("INCLUDED")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def partition_sets(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+def partition_sets(df: DataFrame, keys: list[str], value: Column, accuracy: int | None = None) -> DataFrame:
     """All levels of partitioning at once: none, each key, all keys."""
     x = df.select(*keys, value.cast("double").alias("x")).where("x is not null")
-    return x.rollup(*keys).agg(F.count("*").alias("n"), F.round(F.percentile("x", 0.025), 6).alias("low"), F.round(F.percentile("x", 0.975), 6).alias("high"))
+    return x.rollup(*keys).agg(F.count("*").alias("n"), F.round(quantile(F.col("x"), 0.025, accuracy), 6).alias("low"), F.round(quantile(F.col("x"), 0.975, accuracy), 6).alias("high"))

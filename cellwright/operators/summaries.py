@@ -18,6 +18,11 @@ def quantile(x: Column, p: float, accuracy: int | None = None) -> Column:
     return F.percentile(x, p) if accuracy is None else F.percentile_approx(x, p, accuracy).cast("double")
 
 
+def quantiles(x: Column, ps: list[float], accuracy: int | None = None) -> Column:
+    """An array of quantiles, exact or from one sketch."""
+    return F.percentile(x, F.array(*[F.lit(p) for p in ps])) if accuracy is None else F.percentile_approx(x, list(ps), accuracy).cast("array<double>")
+
+
 def label(p: float) -> str:
     return "p" + f"{p:g}".replace(".", "_")
 
@@ -25,7 +30,9 @@ def label(p: float) -> str:
 def number_stats(x: Column, percentiles: list[float] = (25, 50, 75, 2.5, 97.5), digits: int = 6, sd_of_one: float | None = None, accuracy: int | None = None) -> list[Column]:
     sd = F.stddev_samp(x) if sd_of_one is None else F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(sd_of_one)))
     rounded = lambda c, a: F.round(c, digits).alias(a)
-    return [F.count(x).alias("n"), rounded(F.avg(x), "mean"), rounded(sd, "sd"), F.min(x).alias("min"), *[rounded(quantile(x, p / 100, accuracy), label(p)) for p in percentiles], F.max(x).alias("max")]
+    # One aggregate for all quantiles: each by itself would hold the group's distinct values again.
+    q = quantiles(x, [p / 100 for p in percentiles], accuracy) if percentiles else None
+    return [F.count(x).alias("n"), rounded(F.avg(x), "mean"), rounded(sd, "sd"), F.min(x).alias("min"), *[rounded(q[i], label(p)) for i, p in enumerate(percentiles)], F.max(x).alias("max")]
 
 
 def state_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,10 +70,10 @@ def category_distribution(df: DataFrame, column: str) -> DataFrame:
     return ranked.crossJoin(F.broadcast(total)).select("value", "count", share("known").alias("pct_known"), share("rows").alias("pct_rows"), "rank")
 
 
-def percentile_table(df: DataFrame, columns: list[str]) -> DataFrame:
+def percentile_table(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Long form: column, percentile, value, n."""
-    ps = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    wide = df.agg(*[F.struct(F.percentile(F.col(f"`{c}`").cast("double"), ps).alias("q"), F.count(f"`{c}`").alias("n")).alias(f"c{i}") for i, c in enumerate(columns)])
+    ps = [p / 100 for p in PERCENTILES]
+    wide = df.agg(*[F.struct(quantiles(F.col(f"`{c}`").cast("double"), ps, accuracy).alias("q"), F.count(f"`{c}`").alias("n")).alias(f"c{i}") for i, c in enumerate(columns)])
     def long(i: int, c: str) -> Column:
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in PERCENTILES]).alias("p"), F.col(f"c{i}")["q"].alias("v"))
         return F.transform(pairs, lambda z: F.struct(F.lit(c).alias("column"), z["p"].alias("percentile"), F.round(z["v"], 6).alias("value"), F.col(f"c{i}")["n"].alias("n")))
@@ -74,10 +81,10 @@ def percentile_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(F.flatten(F.array(*[long(i, c) for i, c in enumerate(columns)]))).alias("r")).select("r.*")
 
 
-def percentile_bands(df: DataFrame, column: str, percentiles: list[float] = PERCENTILES[1:-1]) -> DataFrame:
+def percentile_bands(df: DataFrame, column: str, percentiles: list[float] = PERCENTILES[1:-1], accuracy: int | None = None) -> DataFrame:
     """Counts in (low, high] between neighbouring percentiles; the first band has no lower bound."""
     x = F.col(f"`{column}`").cast("double")
-    cuts = df.agg(F.percentile(x, F.array(*[F.lit(p / 100) for p in percentiles])).alias("q"))
+    cuts = df.agg(quantiles(x, [p / 100 for p in percentiles], accuracy).alias("q"))
     held = df.select(x.alias("x")).where("x is not null").crossJoin(F.broadcast(cuts))
     band = F.coalesce(F.array_min(F.filter(F.transform("q", lambda v, i: F.when(F.col("x") <= v, i)), lambda i: i.isNotNull())), F.lit(len(percentiles)))
     names = F.array(*[F.lit(s) for s in [f"<=p{percentiles[0]:g}", *[f"p{a:g}-p{b:g}" for a, b in zip(percentiles, percentiles[1:], strict=False)], f">p{percentiles[-1]:g}"]])
@@ -104,5 +111,5 @@ def histogram(df: DataFrame, group: list[str], value: Column) -> DataFrame:
     return every.join(counts, [*group, "bin"], "left").select(*group, "bin", edge(F.col("bin") - 1).alias("low"), edge(F.col("bin")).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def grouping_sets(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    return df.cube(*keys).agg(F.grouping_id().cast("bigint").alias("level"), *number_stats(value, (50,)))
+def grouping_sets(df: DataFrame, keys: list[str], value: Column, accuracy: int | None = None) -> DataFrame:
+    return df.cube(*keys).agg(F.grouping_id().cast("bigint").alias("level"), *number_stats(value, (50,), accuracy=accuracy))

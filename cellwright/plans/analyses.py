@@ -100,7 +100,7 @@ def lab_tat(ds: Dataset, options: dict) -> Output:
     return Output("LAB_TAT_ANALYSIS", ds, {"stages": rows, "summary": summary, "invalid": rows.where("status <> 'ok'"), "bottlenecks": laboratory.bottlenecks(summary)})
 
 
-def reference_levels(df: DataFrame, item: Column, sex: Column, age: Column, value: Column, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def reference_levels(df: DataFrame, item: Column, sex: Column, age: Column, value: Column, low: float = 0.025, high: float = 0.975, accuracy: int | None = None) -> DataFrame:
     """Intervals at four levels: item; with sex; with age band; with both.  Rows are exploded to levels, then aggregated once.
 
     Fewer than 40 values give no interval, fewer than 120 the median +- 1.96 scaled MAD, else quantiles.
@@ -109,8 +109,8 @@ def reference_levels(df: DataFrame, item: Column, sex: Column, age: Column, valu
     lv = lambda name, s, a: F.struct(F.lit(name).alias("level"), (F.col("sex") if s else F.lit("ALL")).alias("sex"), (F.col("age_band") if a else F.lit("ALL")).alias("age_band"))
     long = x.select("item", "x", F.explode(F.array(lv("ITEM", 0, 0), lv("ITEM_SEX", 1, 0), lv("ITEM_AGE", 0, 1), lv("ITEM_SEX_AGE", 1, 1))).alias("g")).select("item", "g.*", "x").where("sex is not null and age_band is not null")
     keys = ["item", "level", "sex", "age_band"]
-    q = long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("x", F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("q"))
-    mad = long.join(q.select(*keys, F.col("q")[1].alias("med")), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("x") - F.col("med")), 0.5).alias("mad"))
+    q = long.groupBy(*keys).agg(F.count("*").alias("n"), summaries.quantiles(F.col("x"), [low, 0.5, high], accuracy).alias("q"))
+    mad = long.join(q.select(*keys, F.col("q")[1].alias("med")), keys).groupBy(*keys).agg(summaries.quantile(F.abs(F.col("x") - F.col("med")), 0.5, accuracy).alias("mad"))
     grade = intervals.reliability(F.col("n"))
     half = 1.96 * 1.4826 * F.col("mad")
     pick = lambda i, s: F.round(F.when(grade == "robust", F.col("q")[1] + s * half).when(grade == "nonparametric", F.col("q")[i]), 6)
