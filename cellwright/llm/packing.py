@@ -65,7 +65,6 @@ class WordMemo:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -77,34 +76,42 @@ class WordMemo:
         return not any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.special))
 
     def _learn(self, words: set[str]) -> None:
-        parts, fresh = [], set()
+        """Ids of new words: those of letters alone many at once, then those with marks around letters from their parts."""
+        young = self.young
+        plain, marked, fresh = [], [], set()
         for w in words:
-            core = w.strip(MARKS)
-            at = w.find(core)
-            if core.isalpha() and len(w) <= MEMO_CHARS and "'" not in w[:at]:
-                parts.append((w, w[:at], core, w[at + len(core) :]))
-                if core not in self.cores:
-                    fresh.add(core)
+            if w.isalpha():
+                plain.append(w)
             else:
-                self.young[w] = self._ids(w)
-        if len(self.cores) > self.limit:
-            self.cores = {}
-            fresh = {core for _, _, core, _ in parts}
-        new = list(fresh)
-        for a in range(0, len(new), 256):
-            some = new[a : a + 256]
+                core = w.strip(MARKS)
+                if core.isalpha() and len(w) <= MEMO_CHARS:
+                    marked.append((w, core))
+                    if core not in young:
+                        fresh.add(core)
+                else:
+                    young[w] = self._ids(w)
+        if self.old:
+            for core in [c for c in fresh if c in self.old]:
+                young[core] = self.old[core]
+        new = [w for w in fresh.difference(young).union(plain) if len(w) <= MEMO_CHARS]
+        for w in plain:
+            if len(w) > MEMO_CHARS:
+                young[w] = self._ids(w)
+        for a in range(0, len(new), 512):
+            some = new[a : a + 512]
             flat = np.asarray(self.bare.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[flat]) + 1
             if len(cut) != len(some):
                 raise ValueError("the tokenizer does not mark word ends")
             raw, ends = flat.tobytes(), (cut * 4).tolist()
-            for w, x, y in zip(some, [0, *ends[:-1]], ends, strict=True):
-                self.cores[w] = raw[x:y]
-        for w, before, core, after in parts:
-            ids = self.cores[core]
-            if before or after:
-                ids = self._mark(before) + ids + self._mark(after)
-            self.young[w] = ids
+            young.update(zip(some, [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        marks = self.marks
+        for w, core in marked:
+            before, _, after = w.partition(core)
+            if "'" in before:  # an apostrophe can start a pre-token with letters
+                young[w] = self._ids(w)
+            else:
+                young[w] = (marks.get(before) or self._mark(before)) + young[core] + (marks.get(after) or self._mark(after))
 
     def _mark(self, marks: str) -> bytes:
         if marks and marks not in self.marks:
@@ -119,8 +126,8 @@ class WordMemo:
         plain = [self._plain(t) for t in texts]
         split = [t.lower().split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
         out = []
-        for a in range(0, len(texts), 64):
-            missing = set().union(*split[a : a + 64]).difference(self.young)
+        for a in range(0, len(texts), 256):
+            missing = set().union(*split[a : a + 256]).difference(self.young)
             if missing and self.old:
                 for w in [w for w in missing if w in self.old]:
                     self.young[w] = self.old[w]
@@ -128,7 +135,7 @@ class WordMemo:
             if missing:
                 self._learn(missing)
             get = self.young.__getitem__
-            out += [b"".join(map(get, words)) if ok else self._ids(t) for t, ok, words in zip(texts[a : a + 64], plain[a : a + 64], split[a : a + 64], strict=True)]
+            out += [b"".join(map(get, words)) if ok else self._ids(t) for t, ok, words in zip(texts[a : a + 256], plain[a : a + 256], split[a : a + 256], strict=True)]
             for w in [w for w in missing if len(w) > MEMO_CHARS]:
                 del self.young[w]
             if len(self.young) > self.limit:
