@@ -263,14 +263,14 @@ def judge(points: pd.DataFrame, plan: Plan | None = None, chart: Chart | None =
     return out.drop(columns=["_first", "_run", "_material"]).assign(**dict(zip(ADDED, map(list, zip(*rows, strict=True)) if rows else [[]] * len(ADDED), strict=True)))
 
 
-def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings: Mapping | None = None, **options) -> DataFrame:
+def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings: Mapping | None = None, result: str | None = None, **options) -> DataFrame:
     """``points(group, run, order, material, z)`` with the columns ADDED; one group's runs are in sequence by definition.
 
-    ``settings`` may hold BY_RESULT entries keyed by the group's text.
+    ``settings`` may hold BY_RESULT entries keyed by the text of the column ``result``, or of the group.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return judge(pdf, rule_plan(settings, str(pdf[group].iloc[0])) if settings is not None else plan, **options)
+        return judge(pdf, rule_plan(settings, str(pdf[result or group].iloc[0])) if settings is not None else plan, **options)
 
     rule_plan(settings)  # a wrong setting fails here, not in a task
     schema = StructType([*points.schema.fields, *[StructField(c, StringType()) for c in ADDED]])

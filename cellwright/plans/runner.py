@@ -118,13 +118,13 @@ def register_plugin(name: str, handler: Callable[[Dataset, dict], Output | Datas
 
 def steps() -> list[str]:
     """Names of all steps, one's own included."""
-    from . import analyses  # noqa: F401  (registers its steps)
+    from . import analyses, plugins  # noqa: F401  (register their steps)
 
     return list(STEPS)
 
 
 def run_step(ds: Dataset, name: str, options: dict | None = None) -> Output:
-    from . import analyses  # noqa: F401  (registers its steps)
+    from . import analyses, plugins  # noqa: F401  (register their steps)
 
     key = name.upper()
     if key not in STEPS:
