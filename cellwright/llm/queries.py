@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, maglev, ngram_jaccard, packing, piece_codec, quality_knn, secret_scan, url_rules
+from . import chat_format, embedding_dedup, exact_dedup, maglev, ngram_jaccard, packing, piece_codec, quality_knn, repeats, secret_scan, url_rules
 from .storage import Scratch
 
 
@@ -82,13 +82,20 @@ def op10_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.cut_repeats(docs, Scratch(spark, "op13"))
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept_bytes")).alias("n_removed"), F.size("removed_spans").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_dedup, op3_secret_scan, op4_quality_knn, op5_exact_dedup, op6_url_rules, op7_chat_format, op8_packing, op9_piece_codec, op10_maglev, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_dedup, op3_secret_scan, op4_quality_knn, op5_exact_dedup, op6_url_rules, op7_chat_format, op8_packing, op9_piece_codec, op10_maglev, op13_repeats, pipeline)}
 
 _OP1 = r"""
 WITH RECURSIVE t AS (
@@ -161,4 +168,16 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
 FROM x GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": _OP1, "op2_embedding_dedup": _OP2, "op3_secret_scan": _op3_sql(), "op5_exact_dedup": _OP5, "op7_chat_format": _OP7}
+_OP13 = """
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS MATERIALIZED (SELECT uid, s, hash(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT uid, h, unnest(range(0, n - 199)) AS s FROM t)),
+r AS (SELECT uid, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT uid, s, sum(head) OVER (PARTITION BY uid ORDER BY s) AS run FROM (SELECT uid, s, CASE WHEN s - lag(s) OVER (PARTITION BY uid ORDER BY s) <= 200 THEN 0 ELSE 1 END AS head FROM r)),
+p AS (SELECT uid, min(s) AS f, max(s) + 200 AS e FROM i GROUP BY uid, run),
+q AS (SELECT uid, coalesce(lag(e) OVER o, 0) AS a, f AS b, e - f AS gone, 1 AS span FROM p WINDOW o AS (PARTITION BY uid ORDER BY f)
+  UNION ALL SELECT t.uid, coalesce(max(e), 0), any_value(n), 0, 0 FROM t LEFT JOIN p ON p.uid = t.uid GROUP BY t.uid)
+SELECT doc_id, any_value(n) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(span) AS BIGINT) AS n_spans, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b))) AS kept_sha256
+FROM t JOIN q ON q.uid = t.uid GROUP BY t.uid, doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": _OP1, "op2_embedding_dedup": _OP2, "op3_secret_scan": _op3_sql(), "op5_exact_dedup": _OP5, "op7_chat_format": _OP7, "op13_repeats": _OP13}
