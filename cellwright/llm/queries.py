@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, maglev, ngram_jaccard, packing, piece_codec, quality_knn, repeats, secret_scan, url_rules
+from . import chat_format, embedding_dedup, exact_dedup, maglev, ngram_jaccard, packing, piece_codec, quality_knn, repeats, secret_scan, turn_repair, url_rules, whitening
 from .storage import Scratch
 
 
@@ -82,6 +82,31 @@ def op10_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = out.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, without sentence ends, repeated or given to the user, by the checksum of ``conv_id:turn``; nulls are one space."""
+    spelt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", spelt("role").alias("role"), spelt("text").alias("text"), (F.crc32(F.concat(spelt("conv_id"), F.lit(":"), spelt("turn")).cast("binary")) % 20).alias("k"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.when(F.col("k") == 3, 2).otherwise(1).alias("times"), "k").where("k <> 0")
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    fixed = turn_repair.Repair(damaged(turns), Scratch(spark, "op12"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = turns.select(F.col("conv_id").alias("conv")).distinct().unionByName(fixed.conversations(), allowMissingColumns=True).unionByName(fixed.audits(), allowMissingColumns=True)
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    found = [F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in counts]
+    return every.groupBy(F.col("conv").alias("conv_id")).agg(*found, F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("repaired_sha256"), nothing).alias("repaired_sha256"))
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = repeats.cut_repeats(docs, Scratch(spark, "op13"))
@@ -95,7 +120,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_dedup, op3_secret_scan, op4_quality_knn, op5_exact_dedup, op6_url_rules, op7_chat_format, op8_packing, op9_piece_codec, op10_maglev, op13_repeats, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_dedup, op3_secret_scan, op4_quality_knn, op5_exact_dedup, op6_url_rules, op7_chat_format, op8_packing, op9_piece_codec, op10_maglev, op11_whitening, op12_turn_repair, op13_repeats, pipeline)}
 
 _OP1 = r"""
 WITH RECURSIVE t AS (
@@ -168,6 +193,39 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
 FROM x GROUP BY conv_id
 """
 
+_OP12 = r"""
+WITH RECURSIVE c AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: [CAST(ascii(x) AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256]))),
+      lambda a, x: CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare FROM d),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, i, left(role, 1) AS r, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    i > 1 AND lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM o),
+m AS MATERIALIZED (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM f GROUP BY conv_id),
+g(conv_id, i, v0, v1, v2, v3) AS (SELECT conv_id, n + 1, 0, 6, 3, 0 FROM m UNION ALL
+  SELECT conv_id, i, least(b0, 3 + b2, 6 + b3), least(b1, 3 + b2, 6 + b3), least(b2, 3 + b3), least(b3, 3 + b2) FROM (
+    SELECT f.conv_id, f.i,
+      least(4 + v0, CASE WHEN del THEN 9e9 ELSE e + 3 + v2 END, CASE WHEN del THEN 9e9 WHEN r = 's' THEN e + v1 WHEN r = 'u' THEN e + v2 ELSE 9e9 END) AS b0,
+      least(4 + v1, CASE WHEN del THEN 9e9 ELSE e + 3 + v2 END, CASE WHEN NOT del AND r = 'u' THEN e + v2 ELSE 9e9 END) AS b1,
+      least(4 + v2, CASE WHEN del THEN 9e9 ELSE e + 3 + v3 END, CASE WHEN NOT del AND r = 'a' THEN e + v3 ELSE 9e9 END) AS b2,
+      least(4 + v3, CASE WHEN del THEN 9e9 ELSE e + 3 + v2 END, CASE WHEN NOT del AND r = 'u' THEN e + v2 ELSE 9e9 END) AS b3
+    FROM g JOIN (SELECT *, fault IN ('blank', 'duplicate') AS del, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS e FROM f) f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i - 1)),
+v AS MATERIALIZED (SELECT g.conv_id, g.i, [g.v0, g.v1, g.v2, g.v3] AS v, [h.v0, h.v1, h.v2, h.v3] AS w, role, text, r, fault IN ('blank', 'duplicate') AS del, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS e
+  FROM g LEFT JOIN g h ON h.conv_id IS NOT DISTINCT FROM g.conv_id AND h.i = g.i + 1 LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i),
+t(conv_id, i, q, audit, lines) AS (SELECT conv_id, CAST(1 AS BIGINT), 1, '', CAST([] AS VARCHAR[]) FROM m UNION ALL
+  SELECT conv_id, CASE WHEN op = 'I' THEN i ELSE i + 1 END, CASE op WHEN 'D' THEN q WHEN 'K' THEN CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE nxt END, audit || op,
+    CASE op WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) WHEN 'R' THEN list_append(lines, new || ':' || text) ELSE list_append(lines, new || ':') END FROM (
+    SELECT t.conv_id, t.i, q, audit, lines, role, text, r, CASE q WHEN 3 THEN 4 ELSE 3 END AS nxt, CASE q WHEN 3 THEN 'assistant' ELSE 'user' END AS new,
+      CASE WHEN w IS NULL OR w[1] IS NULL THEN CASE WHEN q IN (2, 3) THEN 'I' END WHEN v[q] = 4 + w[q] THEN 'D' WHEN v[q] = 3 + v[CASE q WHEN 3 THEN 4 ELSE 3 END] THEN 'I'
+        WHEN NOT del AND ((r = 's' AND q = 1 AND v[q] = e + w[2]) OR (r = 'u' AND q <> 3 AND v[q] = e + w[3]) OR (r = 'a' AND q = 3 AND v[q] = e + w[4])) THEN 'K' ELSE 'R' END AS op
+    FROM t JOIN v ON v.conv_id IS NOT DISTINCT FROM t.conv_id AND v.i = t.i) WHERE op IS NOT NULL),
+e AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM t GROUP BY conv_id),
+z AS (SELECT conv_id, v0 AS cost FROM g WHERE i = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 _OP13 = """
 WITH t AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 w AS MATERIALIZED (SELECT uid, s, hash(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT uid, h, unnest(range(0, n - 199)) AS s FROM t)),
@@ -180,4 +238,4 @@ SELECT doc_id, any_value(n) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed,
 FROM t JOIN q ON q.uid = t.uid GROUP BY t.uid, doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": _OP1, "op2_embedding_dedup": _OP2, "op3_secret_scan": _op3_sql(), "op5_exact_dedup": _OP5, "op7_chat_format": _OP7, "op13_repeats": _OP13}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": _OP1, "op2_embedding_dedup": _OP2, "op3_secret_scan": _op3_sql(), "op5_exact_dedup": _OP5, "op7_chat_format": _OP7, "op12_turn_repair": _OP12, "op13_repeats": _OP13}
