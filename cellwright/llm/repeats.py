@@ -3,9 +3,9 @@
 1. One pass cuts each text into runs of neighbouring starts whose 200-byte windows have the same smallest hash of a
    64-byte gram.  Equal windows have equal smallest hashes, so that they lie in runs of one key.  Keys with a single
    occurrence in all texts are settled.
-2. The bytes of the other runs, pieces of at most 455 bytes, go to a task by key.  Equal pieces travel once a task and
+2. The bytes of the other runs, pieces of at most 339 bytes, go to a task by key.  Equal pieces travel once a task and
    carry their number; a key with many different pieces is dealt in blocks.
-3. A unit of some thousand pieces becomes one collection.  A piece gives eight documents, one for each phase of its 8-byte
+3. A unit of some hundred pieces becomes one collection.  A piece gives eight documents, one for each phase of its 8-byte
    symbols, so that every start is a suffix.  Each round inserts one more symbol of every document, last symbols first:
    the new suffix's place follows from the rank of its symbol in the collection's Burrows-Wheeler transform, and its
    common prefixes with its neighbours from a range minimum over those of the round before.
@@ -39,8 +39,8 @@ from .storage import Scratch, partitions
 
 #: Bytes of a repeated string, of a hashed gram, of a symbol.
 LENGTH, GRAM, SYMBOL = 200, 64, 8
-#: Most starts of a run, pieces of a key in a block and in a unit, digests a task remembers.
-STARTS, BLOCK_PIECES, SENT = 256, 1024, 100_000
+#: Most starts of a run, pieces of a key in a block, of a unit before it is closed, digests a task remembers.
+STARTS, BLOCK_PIECES, UNIT_PIECES, SENT = 140, 1024, 256, 100_000
 _VALUES = _mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
 _BASE = 0x9E3779B97F4A7C15
 
@@ -225,21 +225,36 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated spans of the pieces of each unit, and the windows that other blocks of the key have to see."""
     worker.forget()
     unit: dict[bytes, list] = {}
+    group: dict[bytes, list] = {}
+    whole: list[tuple[bytes, int]] = []
     at = None
-    rows = (row for batch in batches for a in range(0, batch.num_rows, 512) for row in batch.slice(a, 512).to_pylist())
-    for row in rows:
-        group = (row["key"], row["block"])
-        if group != at and len(unit) >= BLOCK_PIECES:
-            yield _judged(unit)
-            unit = {}
-        at = group
-        held = unit.setdefault(row["sid"], [None, 0, row["blocks"] > 1])
-        held[0] = held[0] if row["piece"] is None else row["piece"]
-        held[1] += row["times"]
-    yield _judged(unit)
-
-
-def _judged(unit: dict[bytes, list]) -> pa.RecordBatch:
+
+    def close() -> None:
+        """Pieces that occur twice are repeated from end to end: without a single piece beside them, nothing is left to find."""
+        if all(n > 1 and not split for _, n, split in group.values()):
+            whole.extend((sid, len(piece)) for sid, (piece, _, _) in group.items())
+        else:
+            unit.update(group)
+        group.clear()
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            for key, block, blocks, sid, piece, times in zip(*[part.column(c).to_pylist() for c in ("key", "block", "blocks", "sid", "piece", "times")], strict=True):
+                if (key, block) != at:
+                    close()
+                    at = (key, block)
+                    if len(unit) >= UNIT_PIECES or len(whole) >= SENT:
+                        yield _judged(unit, whole)
+                        unit, whole = {}, []
+                held = group.setdefault(sid, [None, 0, blocks > 1])
+                held[0] = held[0] if piece is None else piece
+                held[1] += times
+    close()
+    yield _judged(unit, whole)
+
+
+def _judged(unit: dict[bytes, list], whole: list[tuple[bytes, int]]) -> pa.RecordBatch:
     sids, pieces = list(unit), [p for p, _, _ in unit.values()]
     times, split = np.array([n for _, n, _ in unit.values()], np.int64), np.array([s for _, _, s in unit.values()], bool)
     piece, start, run = collection_runs(pieces)
@@ -251,7 +266,8 @@ def _judged(unit: dict[bytes, list]) -> pa.RecordBatch:
     p, s = p[by], s[by]
     head = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] > s[:-1] + LENGTH)])) if len(p) else np.zeros(0, np.int64)
     tail = np.append(head[1:], len(p)) - 1 if len(p) else head
-    out = [[sids[i] for i in p[head]], s[head].tolist(), (s[tail] + LENGTH).tolist(), [None] * len(head), [0] * len(head)]
+    n = len(head) + len(whole)
+    out = [[*[sids[i] for i in p[head]], *[sid for sid, _ in whole]], [*s[head].tolist(), *[0] * len(whole)], [*(s[tail] + LENGTH).tolist(), *[size for _, size in whole]], [None] * n, [0] * n]
     for k in np.flatnonzero(split[piece]) if split.any() else ():
         i, a = int(piece[k]), int(start[k])
         if not again[k] or k == 0 or run[k - 1] != run[k]:
@@ -271,11 +287,8 @@ def _blocks(pieces: DataFrame, scratch: Scratch, block_pieces: int) -> DataFrame
     """Key, block and number of blocks for each piece's row; keys with few pieces are one block."""
     sizes = pieces.select("key", "sid").distinct().groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block_pieces)
     large = scratch.put(sizes.select("key", F.ceil(F.col("size") / block_pieces).cast("int").alias("n")), "large")
-    flagged = with_maybe(pieces, F.col("key"), large.select("key"))
-    few = flagged.where("not _maybe").withColumns({"blocks": F.lit(1), "block": F.lit(0)})
-    many = flagged.where("_maybe").join(large, "key", "left").withColumn("blocks", F.coalesce("n", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    names = ["key", "block", "blocks", "sid", "piece", "times"]
-    return few.select(*names).unionByName(many.select(*names))
+    many = pieces.join(large, "key", "left").withColumn("blocks", F.coalesce("n", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    return many.select("key", "block", "blocks", "sid", "piece", "times")
 
 
 def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", block_pieces: int = BLOCK_PIECES) -> DataFrame:
