@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import io
 import json
 import sys
 import tomllib
@@ -49,7 +50,8 @@ def show(name: str, df: DataFrame, limit: int) -> None:
 
 def load(spark: SparkSession, path: str, sidecar: str | None = None) -> Dataset:
     if path == "-":
-        return C.from_text(spark, sys.stdin.read(), C.read_text(spark, sidecar) if sidecar else None)
+        stream = sys.stdin.buffer if hasattr(sys.stdin, "buffer") else io.BytesIO(sys.stdin.read().encode())
+        return C.read_container(spark, C.spool(spark, stream), sidecar)
     return C.read_container(spark, path, sidecar) if sidecar else tables.read_any(spark, path)
 
 

@@ -1,7 +1,8 @@
 """Sectioned text files: controls in TOML beside a tab-separated table.
 
 ``<SCHEMA>``, ``<JOB>``, ``<META>`` and ``<DATA>`` occur at most once each, do not nest, and nothing stands outside them.  Controls are small
-and read on the driver; the table is a Spark scan of the same file.
+and read on the driver; the table is read by ranges of the same file on many tasks (see ``records``).  Text in memory passes the
+driver, standard input a piece at a time; so do the formats that are one file when they are written.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ import csv
 import io
 import json
 import re
+import tempfile
 import tomllib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from itertools import islice
 from pathlib import Path
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +27,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .. import tags as T
 from ..dataset import ROW, Dataset, ci
 from ..functions import values as V
+from . import records
 
 SECTIONS = ("SCHEMA", "JOB", "META", "DATA")
 _MARK = re.compile(r"<\s*(/?)\s*(SCHEMA|JOB|META|DATA)\s*>", re.I)
 #: Rows of a container text; :func:`to_text` refuses more.
 INLINE_ROWS = 20_000
+#: Lines with section marks, and lines of controls, that a container may have.
+MAX_MARKS, MAX_CONTROL_LINES = 64, 1_000_000
 #: Rows of an Arrow batch on the way to a feather file.
 BATCH_ROWS = 10_000
 
@@ -87,9 +94,16 @@ def _tagged(df: DataFrame, headers: list[str], meta: dict, schema: dict, job: di
 
 
 def read_container(spark: SparkSession, path: str, sidecar: str | None = None) -> Dataset:
-    text = read_text(spark, path)
-    default = "META" if path.lower().endswith((".meta", ".meta.txt")) else "DATA"
-    return from_text(spark, text, read_text(spark, sidecar) if sidecar else None, default)
+    """Controls by the driver, the table by ranges: no task and no driver holds more than a range of it."""
+    found = records.split_file(spark, path, _MARK.pattern, lambda m: (not _MARK.match(m)[1]) if _MARK.match(m)[2].upper() == "DATA" else None, MAX_MARKS, MAX_CONTROL_LINES)
+    if found.rest is None and path.lower().endswith((".meta", ".meta.txt")):
+        raise ValueError("no DATA section")
+    parts = split_sections(found.rest) if found.rest is not None else {"DATA": ""}
+    if "DATA" not in parts:
+        raise ValueError("no DATA section")
+    controls = _controls(parts, read_text(spark, sidecar) if sidecar else None)
+    headers, df = records.read_records(spark, path, "\t", _header_rows(controls), ROW, found.bounds, drop_cr=True)
+    return _decoded(df, headers, controls)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -100,28 +114,56 @@ def read_text(spark: SparkSession, path: str) -> str:
     return bytes(raw.content).decode("utf-8")
 
 
+def _controls(parts: dict[str, str], sidecar: str | None) -> dict[str, dict]:
+    side = split_sections(sidecar, "META") if sidecar else {}
+    return {s: deep_merge(tomllib.loads(side.get(s, "")), tomllib.loads(parts.get(s, ""))) for s in ("META", "SCHEMA", "JOB")}
+
+
+def _header_rows(controls: dict[str, dict]) -> int:
+    return int(ci(ci(controls["META"], "DATA", default={}), "HEADERS", default=1))
+
+
+def _decoded(df: DataFrame, headers: list[str], controls: dict[str, dict]) -> Dataset:
+    cells = [V.decode_cell(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(headers))]
+    log = tuple(json.loads(e) for e in controls["JOB"].pop("LOG", []))
+    return replace(_tagged(df.select(*cells, F.col(ROW).cast("bigint").alias(ROW)), headers, controls["META"], controls["SCHEMA"], controls["JOB"]), log=log)
+
+
+def spool(spark: SparkSession, stream: BinaryIO) -> str:
+    """Standard input as a file that all tasks can read, copied a piece at a time: in ``spark.checkpoint.dir``, or beside local tasks."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="cellwright-")
+    jvm = spark.sparkContext._jvm
+    path = f"{folder.rstrip('/')}/stdin-{uuid.uuid4().hex}.dat"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        while piece := stream.read(1 << 20):
+            out.write(bytearray(piece))
+    finally:
+        out.close()
+    return path
+
+
 def from_text(spark: SparkSession, text: str, sidecar: str | None = None, default: str | None = None) -> Dataset:
+    """A container's text in memory."""
     parts = split_sections(text, default)
     if "DATA" not in parts:
         raise ValueError("no DATA section")
-    side = split_sections(sidecar, "META") if sidecar else {}
-    controls = {s: deep_merge(tomllib.loads(side.get(s, "")), tomllib.loads(parts.get(s, ""))) for s in ("META", "SCHEMA", "JOB")}
-    header_rows = int(ci(ci(controls["META"], "DATA", default={}), "HEADERS", default=1))
-    headers, rows = parse_rows(parts["DATA"], header_rows)
+    controls = _controls(parts, sidecar)
+    headers, rows = parse_rows(parts["DATA"], _header_rows(controls))
     fields = StructType([StructField(f"c{i}", StringType()) for i in range(len(headers))] + [StructField(ROW, StringType())])
-    df = spark.createDataFrame([[*r, str(i)] for i, r in enumerate(rows)], fields)
-    cells = [V.decode_cell(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(headers))]
-    log = tuple(json.loads(e) for e in controls["JOB"].pop("LOG", []))
-    return replace(_tagged(df.select(*cells, F.col(ROW).cast("bigint").alias(ROW)), headers, controls["META"], controls["SCHEMA"], controls["JOB"]), log=log)
+    return _decoded(spark.createDataFrame([[*r, str(i)] for i, r in enumerate(rows)], fields), headers, controls)
 
 
 def scan_table(spark: SparkSession, path: str, sep: str = "\t", decode: bool = True, meta: dict | None = None) -> Dataset:
-    """A delimited file of any size: one distributed scan of strings, no inference pass."""
-    df = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", False).option("mode", "PERMISSIVE").option("emptyValue", "").csv(path)
-    headers = df.columns
-    df = df.toDF(*[f"c{i}" for i in range(len(headers))])
-    cells = [(V.decode_cell(F.col(c)) if decode else F.coalesce(F.col(c), F.lit(""))).alias(c) for c in df.columns]
-    return _tagged(df.select(*cells), headers, meta or {}, {}, {})
+    """Delimited files of any size, line breaks inside quotes included: strings, with the record's number in ``__row_id``."""
+    headers, df = records.read_records(spark, path, sep, 1, ROW)
+    cells = [(V.decode_cell(F.col(f"c{i}")) if decode else F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(f"c{i}") for i in range(len(headers))]
+    return _tagged(df.select(*cells, ROW), headers, meta or {}, {}, {})
 
 
 # Writing -------------------------------------------------------------------------
@@ -271,7 +313,7 @@ def write_table(ds: Dataset, path: str, fmt: str | None = None) -> None:
         return
     df = export_frame(ds)
     if fmt in ("csv", "tsv"):
-        df.write.mode("overwrite").option("header", True).option("sep", "," if fmt == "csv" else "\t").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+        df.write.mode("overwrite").option("header", True).option("sep", "," if fmt == "csv" else "\t").option("quote", '"').option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt in ("jsonl", "json"):
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     elif fmt in ("parquet", "orc"):
