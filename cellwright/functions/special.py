@@ -154,11 +154,6 @@ def ks_two_sample(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return d, min(1.0, max(0.0, p))
 
 
-def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    a, b = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
-    return float((a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum()))
-
-
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
     """Royston's approximation for 12 <= n <= 5000."""
     x = np.sort(np.asarray(x, dtype=float))

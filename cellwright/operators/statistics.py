@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as S
 from ..functions import values as V
+from .ordering import kendall, passing_bablok, select_slope
 
 
 def pair_methods(df: DataFrame, keys: list[str], method: str, value: Column, a: str, b: str) -> DataFrame:
@@ -72,43 +73,24 @@ def method_comparison(df: DataFrame, keys: list[str], by: list[str], method: str
     return out | {f"{k}_predicted": predicted_bias(t, list(points)) for k, t in lines.items() if points}
 
 
-def passing_bablok(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Shifted median of all pairwise slopes, and the median intercept.
-
-    The slopes are quadratic in a group's pairs by definition.  They are formed in numpy, one group a task,
-    and are not written anywhere; a method comparison has a few hundred pairs.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        slope, intercept = passing_bablok_fit(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        return pd.DataFrame([[*pdf[by].iloc[0], len(pdf), round(slope, 6), round(intercept, 6)]], columns=[*by, "n", "slope", "intercept"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*by).schema)
-    return pairs.groupBy(*by).applyInPandas(one, f"{fields}, n bigint, slope double, intercept double")
-
-
 def passing_bablok_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    i, j = np.triu_indices(len(x), 1)
-    dx, dy = x[j] - x[i], y[j] - y[i]
-    use = (dx != 0) | (dy != 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        s = np.sort((dy / dx)[use])
-    s = s[s != -1]
-    k, n = int((s < -1).sum()), len(s)
-    if not n:
-        return math.nan, math.nan
-    slope = s[min(n - 1, (n - 1) // 2 + k)] if n % 2 else (s[min(n - 1, n // 2 - 1 + k)] + s[min(n - 1, n // 2 + k)]) / 2
-    return float(slope), float(np.median(y - slope * x))
+    """Shifted median of the slopes, and the median intercept, of points in memory."""
+    slope = select_slope(x, y)
+    return slope, float(np.median(y - slope * x))
 
 
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """One row per pair.  Spearman is Pearson on average ranks of the rows in which both are known.
+    """One row per pair.  Spearman is Pearson on average ranks of the rows in which both are known; Kendall is tau-b from counts of falling pairs.
 
     Where no column has a missing value all pairs share the ranks: each column is ranked once.
     """
     x = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     both = lambda i, j: F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
+    if method not in ("pearson", "spearman", "kendall"):
+        raise ValueError(f"unknown method {method}")
+    if method == "kendall":
+        return reduce(DataFrame.unionByName, [kendall(x, [], f"v{i}", f"v{j}").select(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), "n", F.col("tau").alias("r")) for i, j in pairs])
     if method == "spearman":
         if not x.where(" or ".join(f"v{i} is null" for i in range(len(columns)))).isEmpty():
             parts = []
@@ -190,14 +172,6 @@ def average_rank(df: DataFrame, column: str, name: str, by: list[str] = ()) -> D
     return df.join(d.select(*by, column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), [*by, column])
 
 
-def kendall(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*pdf[by].iloc[0], len(pdf), round(S.kendall_tau_b(pdf[a].to_numpy(), pdf[b].to_numpy()), 6)]], columns=[*by, "n", "tau"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    return df.groupBy(*by).applyInPandas(one, f"{fields}, n bigint, tau double")
-
-
 def roc_curve(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """One row per distinct score: sensitivity and specificity of score >= threshold, and Youden's index."""
     g = df.select(score.cast("double").alias("t"), positive.cast("int").alias("p")).where("t is not null and p is not null").groupBy("t").agg(F.sum("p").alias("pos"), F.sum(1 - F.col("p")).alias("neg"))

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from .ordering import exact_quantiles, meet
 from .statistics import rank_by_count
 
+#: An accuracy: exact, by rounds (see ``ordering.exact_quantiles``).
+ROUNDS = 0
 #: Fixed values.
 PERCENTILES = [0, 1, 2.5, 5, 10, 25, 50, 75, 90, 95, 97.5, 99, 100]
 
 
 def quantile(x: Column, p: float, accuracy: int | None = None) -> Column:
     """Exact by default, from counts of distinct values in memory; with an accuracy, a mergeable sketch of bounded
-    size for groups with too many distinct values to hold (accuracy 10,000: rank error below 0.01 %)."""
+    size for groups with too many distinct values to hold (accuracy 10,000: rank error below 0.01 %).  The tables of percentiles,
+    bands and results take ``accuracy=ROUNDS`` as well: exact for groups of any size, in a few rounds of counts by range."""
     return F.percentile(x, p) if accuracy is None else F.percentile_approx(x, p, accuracy).cast("double")
 
 
@@ -73,7 +79,12 @@ def category_distribution(df: DataFrame, column: str) -> DataFrame:
 def percentile_table(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Long form: column, percentile, value, n."""
     ps = [p / 100 for p in PERCENTILES]
-    wide = df.agg(*[F.struct(quantiles(F.col(f"`{c}`").cast("double"), ps, accuracy).alias("q"), F.count(f"`{c}`").alias("n")).alias(f"c{i}") for i, c in enumerate(columns)])
+    if accuracy == ROUNDS:
+        each = [exact_quantiles(df, [], F.col(f"`{c}`"), ps).select(F.struct("q", "n").alias(f"c{i}")) for i, c in enumerate(columns)]
+        wide = reduce(DataFrame.crossJoin, each)  # a row each
+    else:
+        wide = df.agg(*[F.struct(quantiles(F.col(f"`{c}`").cast("double"), ps, accuracy).alias("q"), F.count(f"`{c}`").alias("n")).alias(f"c{i}") for i, c in enumerate(columns)])
+
     def long(i: int, c: str) -> Column:
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in PERCENTILES]).alias("p"), F.col(f"c{i}")["q"].alias("v"))
         return F.transform(pairs, lambda z: F.struct(F.lit(c).alias("column"), z["p"].alias("percentile"), F.round(z["v"], 6).alias("value"), F.col(f"c{i}")["n"].alias("n")))
@@ -84,7 +95,8 @@ def percentile_table(df: DataFrame, columns: list[str], accuracy: int | None = N
 def percentile_bands(df: DataFrame, column: str, percentiles: list[float] = PERCENTILES[1:-1], accuracy: int | None = None) -> DataFrame:
     """Counts in (low, high] between neighbouring percentiles; the first band has no lower bound."""
     x = F.col(f"`{column}`").cast("double")
-    cuts = df.agg(quantiles(x, [p / 100 for p in percentiles], accuracy).alias("q"))
+    ps = [p / 100 for p in percentiles]
+    cuts = exact_quantiles(df, [], x, ps).select("q") if accuracy == ROUNDS else df.agg(quantiles(x, ps, accuracy).alias("q"))
     held = df.select(x.alias("x")).where("x is not null").crossJoin(F.broadcast(cuts))
     band = F.coalesce(F.array_min(F.filter(F.transform("q", lambda v, i: F.when(F.col("x") <= v, i)), lambda i: i.isNotNull())), F.lit(len(percentiles)))
     names = F.array(*[F.lit(s) for s in [f"<=p{percentiles[0]:g}", *[f"p{a:g}-p{b:g}" for a, b in zip(percentiles, percentiles[1:], strict=False)], f">p{percentiles[-1]:g}"]])
@@ -94,7 +106,13 @@ def percentile_bands(df: DataFrame, column: str, percentiles: list[float] = PERC
 def result_by(df: DataFrame, value: Column, by: dict[str, Column], item: Column, percentiles=(2.5, 50, 97.5), accuracy: int | None = None) -> DataFrame:
     """Summary for each item by each level of each column, and over all levels."""
     base = df.select(value.cast("double").alias("x"), item.alias("item"), F.explode(F.array(F.struct(F.lit("all").alias("by"), F.lit("all").alias("level")), *[F.struct(F.lit(k).alias("by"), c.cast("string").alias("level")) for k, c in by.items()])).alias("g"))
-    return base.groupBy("item", "g.by", "g.level").agg(*number_stats(F.col("x"), percentiles, accuracy=accuracy))
+    if accuracy != ROUNDS:
+        return base.groupBy("item", "g.by", "g.level").agg(*number_stats(F.col("x"), percentiles, accuracy=accuracy))
+    keys = ["item", "by", "level"]
+    base = base.select("x", "item", "g.*")
+    plain = base.groupBy(*keys).agg(*number_stats(F.col("x"), ()))
+    met = meet(plain, exact_quantiles(base, keys, F.col("x"), [p / 100 for p in percentiles]).drop("n"), keys, "left")
+    return met.select(*keys, "n", "mean", "sd", "min", *[F.round(F.col("q")[i], 6).alias(label(p)) for i, p in enumerate(percentiles)], "max")
 
 
 def histogram(df: DataFrame, group: list[str], value: Column) -> DataFrame:
