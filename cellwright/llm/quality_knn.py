@@ -4,7 +4,8 @@ Terms are runs of three character classes (letters in each case, digits, single
 coarse terms for how much of a text repeats.  A bounded sample of labelled documents gives term
 weights and the latent space (SVD).  Its vectors, labels and weights are broadcast: their size depends on the
 parameters below only.  Every document is projected, compared with all labelled vectors in
-blocks of exact cosine products, and scored by its nearest neighbours' labels, weighted by similarity.
+blocks of exact cosine products, and scored by its nearest neighbours' labels, weighted by similarity.  Neighbours as near as the last of
+them (copies, say) vote as well, and a text's score doesn't depend on the rows it is scored with.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SAMPLE_ROWS, DIMS, NEIGHBOURS, THRESHOLD = 4096, 48, 25, 0.3
 SHARPNESS = 20.0
 #: Documents compared with the labelled vectors at once.
 BLOCK = 1024
+#: Digits of a cosine, so that equally near neighbours tie whatever else is in their block, and of a score.
+DIGITS, SCORE_DIGITS = 6, 9
 #: Texts held as Python objects at once.
 SLICE = 512
 #: Marks that are a class of their own; other ASCII marks share one.
@@ -91,14 +94,17 @@ class Model:
             return np.full(len(texts), self.prior)
         scores = np.empty(len(texts))
         k = min(NEIGHBOURS, len(self.labels))
+        vectors = self.vectors.astype(np.float64)
         for a in range(0, len(texts), BLOCK):
             own = self.project(texts[a : a + BLOCK])
-            cos = own @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            votes = np.exp(SHARPNESS * (np.take_along_axis(cos, near, axis=1).astype(np.float64) - 1))
+            # Rounded products of doubles are the same in any block; all neighbours as near as the last one vote with it.
+            cos = np.round(own.astype(np.float64) @ vectors.T, DIGITS)
+            row, near = np.nonzero(cos >= np.partition(cos, -k, axis=1)[:, -k, None])
+            votes = np.exp(SHARPNESS * (cos[row, near] - 1))
+            good, every = (np.bincount(row, weights=v, minlength=len(own)) for v in (votes * self.labels[near], votes))
             # A text without any term of a labelled one has no neighbours: it scores as labelled texts do on average.
-            scores[a : a + BLOCK] = np.where(own.any(axis=1), (votes * self.labels[near]).sum(axis=1) / votes.sum(axis=1), self.prior)
-        return np.clip(scores, 0.0, 1.0)
+            scores[a : a + BLOCK] = np.where(own.any(axis=1), good / every, self.prior)
+        return np.round(np.clip(scores, 0.0, 1.0), SCORE_DIGITS)
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:

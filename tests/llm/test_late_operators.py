@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from cellwright.llm import queries, repeats, turn_repair, whitening
+from cellwright.llm import quality_knn, queries, repeats, turn_repair, whitening
 from cellwright.llm.storage import Scratch
 
 # Repeated strings -----------------------------------------------------------------
@@ -272,3 +272,24 @@ def test_damage_keeps_every_conversation(spark, tmp_path):
         r = out[c]
         assert (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) == repaired_plainly(turns)[:8], c
     assert any(r.audit == "" for r in out.values())
+
+
+# Quality: ties and blocks ------------------------------------------------------------
+
+
+def test_equally_near_neighbours_all_vote():
+    copies = ["The same text, over and over; 12 times."] * 100
+    model = quality_knn.fit([*copies, "Other words!", "$$$ 99"], [k % 2 for k in range(100)] + [1, 0])
+    assert model.score([copies[0]])[0] == pytest.approx(0.5, abs=1e-9)
+    model = quality_knn.fit([*copies, "Other words!"], [k < 25 for k in range(100)] + [1])
+    assert model.score([copies[0]] * 3).tolist() == pytest.approx([0.25] * 3, abs=1e-9)
+
+
+def test_a_score_does_not_depend_on_its_block(spark):
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice(["Alpha", "beta", "12", "$$", "gamma,", "Delta!", "x.y"]) for _ in range(rng.randint(1, 60)))
+    model = quality_knn.fit([say() for _ in range(300)], [rng.randrange(2) for _ in range(300)])
+    texts = [say() for _ in range(200)]
+    together = model.score(texts)
+    assert [float(model.score([t])[0]) for t in texts] == together.tolist() == model.score(texts[::-1])[::-1].tolist()
+    assert len(set(model.score([texts[0]] * 1500).tolist())) == 1
