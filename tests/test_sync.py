@@ -58,6 +58,30 @@ def test_project_blocks_accepts_and_annotates(spark, tmp_path):
     assert p.verify() == [2]
 
 
+def test_a_sync_reads_its_source_once_and_only_buckets_that_moved(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def growing(batches):  # each read adds to what the source holds
+        reads.add(1)
+        for b in batches:
+            yield b
+
+    rows = [(f"k{i}", float(i), None if i % 7 else "x") for i in range(200)]
+    source = lambda rows: spark.createDataFrame(rows, "k string, v double, n string").coalesce(1).mapInArrow(growing, "k string, v double, n string")
+    p = Project(spark, str(tmp_path / "p"), ["k"], buckets=8)
+    assert p.sync(source(rows)).counts == {"added": 200} and reads.value == 1
+    changed = [(k, v + (k == "k7"), n) for k, v, n in rows]
+    report = p.sync(source(changed), dry_run=True)
+    plan = report.changes._jdf.queryExecution().executedPlan().toString()
+    assert reads.value == 2 and report.counts == {"modified": 1} and [(r.k, r.columns) for r in report.changes.collect()] == [("k7", "v")]
+    bucket = spark.createDataFrame([("k7",)], "k string").select(F.pmod(F.xxhash64("k"), F.lit(8)).alias("b")).first().b
+    assert plan.count(f"__bucket") >= 2 and plan.count(f"= {bucket})") + plan.count(f"IN ({bucket})") >= 2
+    assert p.sync(source(changed[:-1] + [("new", 1.0, None)]), accept=True).counts == {"added": 1, "modified": 1, "removed": 1}
+    assert p.snapshot().columns == ["k", "v", "n"] and p.snapshot().count() == 200 and p.verify() == []
+    wider = spark.createDataFrame([(k, v, n) for k, v, n in rows], "k string, v double, n string").withColumn("v", F.col("v").cast("string"))
+    assert p.sync(wider).blocked and len(list((tmp_path / "p" / "data").iterdir())) == 3
+
+
 def test_project_without_keys_is_append_only(spark, tmp_path):
     table = lambda vs: spark.createDataFrame([(i, v) for i, v in enumerate(vs)], f"{ROW} long, v string")
     p = Project(spark, str(tmp_path / "p"))
