@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _CMP, _FLAG, _LABELLED, _QC, _STAGES, _ev, _flags, _holes, _labelled, _qc_points, _stage_rows, bounded, events, query, table
+from .catalog import _ORACLES, _CMP, _FLAG, _LABELLED, _QC, _STAGES, _ev, _flags, _holes, _labelled, _qc_points, _stage_rows, bounded, events, query, table
 from .dataset import Dataset
 from .functions.conditions import eligibility
 from .operators import actions, checks, comparators, intervals, laboratory, multi, multirule, statistics, study
@@ -123,6 +123,12 @@ def westgard_continue(spark, sf_dir):
     return multirule.multirule(_qc_points(spark, sf_dir), "grp", after_reject="CONTINUE", scope="WITHIN_MATERIAL").select("event_id", "violation", "warning", "decision", "run_decision")
 
 
+@query(_ORACLES["westgard_continue"])
+def westgard_segments(spark, sf_dir):
+    """The same charts, each cut into segments that are judged side by side."""
+    return multirule.multirule(_qc_points(spark, sf_dir), "grp", after_reject="CONTINUE", scope="WITHIN_MATERIAL", segment_points=300).select("event_id", "violation", "warning", "decision", "run_decision")
+
+
 # Samples, digests, snapshots --------------------------------------------------------
 
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import special as S
 from .intervals import harris_boyd
-from .ordering import meet, running
+from .ordering import MAX_GROUPS, bounded_groups, meet, running  # noqa: F401
 from .study import wilcoxon_pairs
 from .summaries import quantiles
 
-#: Most groups whose pairs are formed; fewest values of a group that allow a recommendation.
-MAX_GROUPS, MIN_PARTITION = 64, 20
+#: Fewest values of a group that allow a recommendation.
+MIN_PARTITION = 20
 
 
 def normal_cdf(z: Column) -> Column:
@@ -31,14 +31,6 @@ def kolmogorov(s: Column) -> Column:
     return F.when(s < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * sum(terms[1:], terms[0]))))
 
 
-def bounded_groups(df: DataFrame, group: Column) -> list[str]:
-    """Names of the groups, at most MAX_GROUPS: pairs of more are refused."""
-    found = df.select(group.cast("string").alias("g")).where("g is not null").distinct().limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: their pairs are not formed")
-    return sorted(r.g for r in found)
-
-
 def lilliefors(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     """Distance of each group to the normal with its mean and SD, and the p of Dallal and Wilkinson; null below five values or without spread."""
     x = df.select(*by, value.cast("double").alias("x")).where("x is not null").groupBy(*by, "x").agg(F.count("*").alias("k"))
@@ -53,7 +45,7 @@ def lilliefors(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     k = F.when(F.col("n") <= 100, F.col("d")).otherwise(F.col("d") * F.pow(F.col("n") / 100, F.lit(0.49)))
     m = F.least(F.col("n"), F.lit(100)).cast("double")
     p = F.exp(-7.01256 * k * k * (m + 2.78019) + 2.99587 * k * F.sqrt(m + 2.78019) - 0.122119 + 0.974598 / F.sqrt(m) + 1.67997 / m)
-    return g.select(*by, "n", F.round("d", 6).alias("d"), F.round(F.least(F.lit(1.0), p), 6).alias("p"))
+    return g.select(*by, "n", F.round("d", 6).alias("d"), F.round(F.when(F.col("d").isNotNull(), F.least(F.lit(1.0), p)), 6).alias("p"))
 
 
 def ks_pairs(df: DataFrame, group: Column, value: Column) -> DataFrame:

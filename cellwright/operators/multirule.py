@@ -1,12 +1,17 @@
 """Control rules over runs: N_ks, MofN_ks, R_ks, Nx, with scopes and what a rejected run does to later counts.
 
-RESTART and SKIP make a decision depend on the decisions before it, so one group (an analyte on an instrument) is judged in order
-by one Python call per group.  What a group must remember is small: for each material the last few values that
-still count, and the last few complete runs; a stream carries exactly that (see ``streaming.streams.stateful_multirule``).
+RESTART and SKIP make a decision depend on the decisions before it, so one group (an analyte on an instrument) is judged in order.
+What a group must remember is small: for each material the last few values that still count, and the last few
+complete runs; a stream carries exactly that (see ``streaming.streams.stateful_multirule``).
+
+A long group is judged in segments side by side.  Each begins with what the one before it seems to leave behind; segments whose beginning
+turns out otherwise are judged again, until none does.  The first segment is right at once, each next one at the latest a round later, and memory
+is short: a wrong beginning is forgotten after a rejection or a few runs, so that two or three rounds settle all of them.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import deque
@@ -15,13 +20,18 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .ordering import meet
+
 #: Default rules, words of the options, the limit of the classic trigger, severities in rising order.
 WARN, REJECT = ["1_2s"], ["1_3s", "2_2s", "R_4s", "4_1s", "10x"]
 SCOPES, TRIGGERS, AFTER, FORMS, ACTIONS = ("BOTH", "WITHIN_MATERIAL", "ACROSS_MATERIAL"), ("ALWAYS", "1_2S"), ("RESTART", "SKIP", "CONTINUE"), ("COUNT", "RANGE"), ("REJECT", "WARNING", "OFF")
 TRIGGER_SD = 2.0
 SEVERITY = ["IN_CONTROL", "NOT_EVALUATED", "WARNING", "REJECT"]
+#: Points of a segment of a long group, segments of a group, and of all groups together (a row each on the driver).
+SEGMENT_POINTS, MAX_SEGMENTS, MAX_STATES = 50_000, 1024, 1 << 18
 ADDED = ["violation", "warning", "rule_scope", "error_type", "decision", "run_decision"]
 
 _NAME = re.compile(r"(?:(?P<need>\d+)of)?(?P<of>\d+|R)(?:_(?P<limit>\d+(?:\.\d+)?)s|(?P<mean>x))", re.IGNORECASE)
@@ -168,6 +178,16 @@ class Chart:
         self.tails = {m: deque(v, self.depth) for m, v in (tails or {}).items()}
         self.runs = deque(((frozenset(m), list(v)) for m, v in runs), (self.depth + 2) // 2)
 
+    @property
+    def state(self) -> str:
+        """What the chart remembers, spelled alike whenever it is alike."""
+        return json.dumps([sorted((m, list(v)) for m, v in self.tails.items() if v), [[sorted(m), v] for m, v in self.runs]])
+
+    @classmethod
+    def at(cls, plan: Plan, state: str | None) -> Chart:
+        tails, runs = json.loads(state) if state else ([], [])
+        return cls(plan, dict(tails), runs)
+
     def judge(self, materials: list[str], z: list[float]) -> list[list[str]]:
         """The columns ADDED for each point of one run."""
         if len(set(materials)) < len(materials):
@@ -263,15 +283,72 @@ def judge(points: pd.DataFrame, plan: Plan | None = None, chart: Chart | None =
     return out.drop(columns=["_first", "_run", "_material"]).assign(**dict(zip(ADDED, map(list, zip(*rows, strict=True)) if rows else [[]] * len(ADDED), strict=True)))
 
 
-def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings: Mapping | None = None, result: str | None = None, **options) -> DataFrame:
+def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings: Mapping | None = None, result: str | None = None, segment_points: int = SEGMENT_POINTS, **options) -> DataFrame:
     """``points(group, run, order, material, z)`` with the columns ADDED; one group's runs are in sequence by definition.
 
-    ``settings`` may hold BY_RESULT entries keyed by the text of the column ``result``, or of the group.
+    ``settings`` may hold BY_RESULT entries keyed by the text of the column ``result``, or of the group.  Groups of more than ``segment_points`` points are
+    judged in segments of about so many, if ``order`` is a number or a time.
     """
 
+    def plan_for(pdf: pd.DataFrame) -> Plan:
+        return rule_plan(settings, str(pdf[result or group].iloc[0])) if settings is not None else plan or plan_of(**options)
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return judge(pdf, rule_plan(settings, str(pdf[result or group].iloc[0])) if settings is not None else plan, **options)
+        return judge(pdf, plan_for(pdf))
 
     rule_plan(settings)  # a wrong setting fails here, not in a task
     schema = StructType([*points.schema.fields, *[StructField(c, StringType()) for c in ADDED]])
-    return points.groupBy(group).applyInPandas(one, schema)
+    whole = lambda df: df.groupBy(group).applyInPandas(one, schema)
+    if dict(points.dtypes)["order"] in ("string", "binary"):
+        return whole(points)
+    sizes = points.groupBy(group).agg(F.count("*").alias("_n"))
+    long = sizes.where(F.col("_n") > segment_points)
+    if long.isEmpty():
+        return whole(points)
+    pieces = _segments(meet(points, long, [group]), group, segment_points)
+    judged = _side_by_side(pieces, group, plan_for, schema)
+    return whole(meet(points, long.select(group), [group], "left_anti")).unionByName(judged)
+
+
+def _segments(points: DataFrame, group: str, segment_points: int) -> DataFrame:
+    """``points`` with ``_seg``: ranges of the runs' first order, so that a run lies in one."""
+    runs = points.groupBy(group, "run").agg(F.min("order").cast("double").alias("_first"), F.first("_n").alias("_n"))
+    cuts = runs.groupBy(group).agg(F.percentile_approx("_first", [(i + 1) / MAX_SEGMENTS for i in range(MAX_SEGMENTS - 1)], 10 * MAX_SEGMENTS).alias("_cuts"), F.first("_n").alias("_n"))
+    # Every so many of the cuts: segments of about segment_points points, MAX_SEGMENTS at most.
+    every = F.greatest(F.lit(1), F.ceil(F.lit(MAX_SEGMENTS) * segment_points / F.col("_n"))).cast("int")
+    cuts = cuts.select(group, F.array_distinct(F.filter("_cuts", lambda _, i: (i + 1) % every == 0)).alias("_cuts"))
+    at = meet(runs.drop("_n"), cuts, [group]).select(group, "run", F.size(F.filter("_cuts", lambda v: v <= F.col("_first"))).alias("_seg"))
+    return meet(points.drop("_n"), at, [group, "run"])
+
+
+def _side_by_side(pieces: DataFrame, group: str, plan_for, schema: StructType) -> DataFrame:
+    """Judge segments from supposed beginnings until each begins as the one before it ends."""
+    spark = pieces.sparkSession
+    kind = pieces.schema[group].dataType.simpleString()
+    begin = StructType([pieces.schema[group], *StructType.fromDDL("_seg int, _state string").fields])
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        chart = Chart.at(plan_for(pdf), pdf["_state"].iloc[0])
+        judge(pdf.drop(columns=["_seg", "_state"]), chart=chart)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "_seg": [pdf["_seg"].iloc[0]], "_end": [chart.state]})
+
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return judge(pdf.drop(columns=["_seg", "_state"]), chart=Chart.at(plan_for(pdf), pdf["_state"].iloc[0]))
+
+    names = [tuple(r) for r in pieces.select(group, "_seg").distinct().limit(MAX_STATES + 1).collect()]
+    if len(names) > MAX_STATES:
+        raise ValueError(f"more than {MAX_STATES} segments: raise segment_points")
+    before: dict[tuple, tuple | None] = {}
+    for g in {g for g, _ in names}:
+        own = sorted(s for h, s in names if h == g)
+        before |= {(g, s): (g, own[k - 1]) if k else None for k, s in enumerate(own)}
+    states = {k: Chart(plan_of()).state for k in names}
+    again, after = names, {}
+    while again:
+        table = spark.createDataFrame([(*k, states[k]) for k in again], begin)
+        found = meet(pieces, F.broadcast(table), [group, "_seg"]).groupBy(group, "_seg").applyInPandas(ends, f"`{group}` {kind}, _seg int, _end string").collect()  # a row a segment
+        after |= {(r[group], r["_seg"]): r["_end"] for r in found}
+        again = [k for k in names if before[k] is not None and states[k] != after[before[k]]]
+        states |= {k: after[before[k]] for k in again}
+    table = spark.createDataFrame([(*k, s) for k, s in states.items()], begin)
+    return meet(pieces, F.broadcast(table), [group, "_seg"]).groupBy(group, "_seg").applyInPandas(judged, schema)

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 #: Cuts of a group, accuracy of their search, rows of a group or a range that one task may hold.
 CUTS, ACCURACY, TASK_ROWS = 255, 5000, 50_000
+#: Most groups whose pairs are formed.
+MAX_GROUPS = 64
 #: Points whose slopes are formed, groups beyond TASK_ROWS that are searched together, points whose slopes are tried first, width at which a search ends.
 SMALL_PAIRS, MAX_SEARCHED, SAMPLE, WIDTH = 1000, 4096, 128, 1e-11
 
@@ -47,6 +49,14 @@ def _range(cuts: str, x: Column) -> Column:
     return (2 * F.size(F.filter(cuts, lambda v: v < x)) + F.exists(cuts, lambda v: v == x).cast("int")).cast("int")
 
 
+def bounded_groups(df: DataFrame, group: Column) -> list[str]:
+    """Names of the groups, at most MAX_GROUPS: pairs of more are refused."""
+    found = df.select(group.cast("string").alias("g")).where("g is not null").distinct().limit(MAX_GROUPS + 1).collect()
+    if len(found) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups: their pairs are not formed")
+    return sorted(r.g for r in found)
+
+
 # Quantiles -----------------------------------------------------------------------
 
 

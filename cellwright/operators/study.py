@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as S
 from ..functions import values as V
+from .ordering import bounded_groups
 from .statistics import average_rank, running_sums
 from .summaries import quantile, quantiles
 
@@ -135,8 +136,9 @@ def wilcoxon_pairs(df: DataFrame, group: Column, value: Column) -> DataFrame:
     """Every pair of groups: rank sum of the first, z with tie and continuity correction, two-sided p.
 
     Ranks are taken within the pair, from counts of distinct values: a pair sees one row per value and group.
-    z is the distance from the mean rank sum less 1/2, never beyond 0; without variance z is 0 and p 1.
+    z is the distance from the mean rank sum less 1/2, never beyond 0; without variance z is 0 and p 1.  More than 64 groups are refused.
     """
+    bounded_groups(df, group)
     x = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null")
     counts = x.groupBy("g", "x").agg(F.count("*").alias("k"))
     names = x.select("g").distinct()
