@@ -39,8 +39,9 @@ def meet(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -
 
 
 def _cuts(x: str, n: Column, rows: int) -> Column:
-    """Cuts of a group with more than ``rows`` rows; none of a smaller one."""
-    found = F.array_distinct(F.percentile_approx(x, [(i + 1) / (CUTS + 1) for i in range(CUTS)], ACCURACY))
+    """Cuts of a group with more than ``rows`` rows, so many rows apart if CUTS allows; none of a smaller one."""
+    every = F.greatest(F.lit(1), F.floor(F.lit(CUTS + 1) * rows / n)).cast("int")
+    found = F.array_distinct(F.filter(F.percentile_approx(x, [(i + 1) / (CUTS + 1) for i in range(CUTS)], ACCURACY), lambda _, i: (i + 1) % every == 0))
     return F.when(n > rows, found).otherwise(F.array().cast("array<double>"))
 
 
