@@ -102,9 +102,9 @@ def act_date_compare(spark, sf_dir):
     return _act(orders(spark, sf_dir).with_df(table(spark, sf_dir, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))), type="ROW.INCLUDE", column="o_orderdate", op="ge", value="1996-01-01").select("o_orderkey")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_type), 'brass|tin$')")
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_type), 'large|omo$')")
 def act_regex(spark, sf_dir):
-    return _act(Dataset(table(spark, sf_dir, "part")), type="ROW.INCLUDE", column="p_type", op="regex", value="BRASS|tin$").select("p_partkey", "p_name")
+    return _act(Dataset(table(spark, sf_dir, "part")), type="ROW.INCLUDE", column="p_type", op="regex", value="LARGE|omo$").select("p_partkey", "p_name")
 
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a') AND starts_with(lower(p_type), 's') OR ends_with(lower(p_brand), '3')")
@@ -266,9 +266,10 @@ def act_dedup_last(spark, sf_dir):
     return _act(events(spark, sf_dir), type="DEDUP", columns=["user_id", "event_type"], keep="last").select("event_id", "user_id", "event_type")
 
 
-@query("SELECT event_id, user_id, event_type FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE n = 1")
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)) AS n FROM events) WHERE n = 1")
 def act_dedup_none(spark, sf_dir):
-    return _act(events(spark, sf_dir), type="DEDUP", columns=["user_id", "event_type"], keep="none").select("event_id", "user_id", "event_type")
+    ds = events(spark, sf_dir)
+    return _act(ds.with_df(ds.df.withColumn("day", F.to_date("ts"))), type="DEDUP", columns=["user_id", "event_type", "day"], keep="none").select("event_id", "user_id", "event_type")
 
 
 @query("SELECT * FROM (SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem GROUP BY ALL)")
@@ -309,10 +310,12 @@ def act_pivot_wider_first(spark, sf_dir):
 
 
 def _customers(spark, sf_dir) -> Dataset:
-    return Dataset(table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select("c_custkey", "c_name", "c_nationkey"), {"c_name": ("NAME",)})
+    """All customers; every fourth has a key that no order has."""
+    moved = F.when(F.col("c_custkey") % 4 == 0, -F.col("c_custkey") - 1).otherwise(F.col("c_custkey"))
+    return Dataset(table(spark, sf_dir, "customer").select(moved.alias("c_custkey"), "c_name", "c_nationkey"), {"c_name": ("NAME",)})
 
 
-_CUSTOMERS = "(SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 4 <> 0)"
+_CUSTOMERS = "(SELECT CASE WHEN c_custkey % 4 = 0 THEN -c_custkey - 1 ELSE c_custkey END AS c_custkey, c_name, c_nationkey FROM customer)"
 
 
 def _join(how):
@@ -393,9 +396,9 @@ def intersect(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def except_rows(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("""SELECT event_id, count(b.lot) AS matches, min(b.lot) AS lot FROM events LEFT JOIN (SELECT event_type AS t, m, 'lot' || CAST(m AS VARCHAR) AS lot, date_trunc('day', lo) + INTERVAL (30 * m) DAY AS a, date_trunc('day', lo) + INTERVAL (30 * m + 30) DAY AS b FROM (SELECT DISTINCT event_type FROM events), (SELECT min(ts) AS lo FROM events), range(0, 2) r(m)) b ON t = event_type AND ts >= a AND ts < b GROUP BY event_id""")

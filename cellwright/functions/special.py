@@ -154,6 +154,17 @@ def ks_two_sample(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return d, min(1.0, max(0.0, p))
 
 
+def lilliefors_fit(x: np.ndarray) -> tuple[float, float]:
+    """Distance to the fitted normal, and the p-value of Dallal and Wilkinson (at most 0.1 is exact)."""
+    x = np.sort(x)
+    n = len(x)
+    z = np.asarray([normal_cdf(v) for v in (x - x.mean()) / x.std(ddof=1)])
+    d = float(max((np.arange(1, n + 1) / n - z).max(), (z - np.arange(n) / n).max()))
+    k, m = (d, n) if n <= 100 else (d * (n / 100) ** 0.49, 100)
+    p = math.exp(-7.01256 * k * k * (m + 2.78019) + 2.99587 * k * math.sqrt(m + 2.78019) - 0.122119 + 0.974598 / math.sqrt(m) + 1.67997 / m)
+    return d, min(1.0, p)
+
+
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
     """Royston's approximation for 12 <= n <= 5000."""
     x = np.sort(np.asarray(x, dtype=float))

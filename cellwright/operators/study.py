@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special as S
+from ..functions.special import lilliefors_fit as lilliefors
 from ..functions import values as V
 from .ordering import bounded_groups
 from .statistics import average_rank, running_sums
@@ -110,17 +111,6 @@ def normality(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     return x.groupBy(*by).applyInPandas(one, f"{fields}, n bigint, shapiro_w double, shapiro_p double, lilliefors_d double, lilliefors_p double")
 
 
-def lilliefors(x: np.ndarray) -> tuple[float, float]:
-    """Distance to the fitted normal, and the p-value of Dallal and Wilkinson (at most 0.1 is exact)."""
-    x = np.sort(x)
-    n = len(x)
-    z = np.asarray([S.normal_cdf(v) for v in (x - x.mean()) / x.std(ddof=1)])
-    d = float(max((np.arange(1, n + 1) / n - z).max(), (z - np.arange(n) / n).max()))
-    k, m = (d, n) if n <= 100 else (d * (n / 100) ** 0.49, 100)
-    p = math.exp(-7.01256 * k * k * (m + 2.78019) + 2.99587 * k * math.sqrt(m + 2.78019) - 0.122119 + 0.974598 / math.sqrt(m) + 1.67997 / m)
-    return d, min(1.0, p)
-
-
 def wilcoxon_partition(df: DataFrame, group: Column, value: Column) -> DataFrame:
     """Two groups: rank sum and z without corrections.  More groups are refused; :func:`wilcoxon_pairs` takes any number, with p."""
     x = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null")

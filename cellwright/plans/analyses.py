@@ -15,6 +15,7 @@ from ..dataset import Dataset, as_list, ci
 from ..functions import values as V
 from ..functions.conditions import eligibility
 from ..operators import intervals, laboratory, statistics, study, summaries
+from ..operators.ordering import bounded_groups
 from ..operators.starting import bind_roles
 from .runner import Output, step
 
@@ -210,7 +211,7 @@ def _judged(limits: DataFrame, by: list[str], subjects: bool, options: dict) ->
     out = limits.withColumn("adequacy", adequacy)
     status = intervals.interval_status(
         F.col("n"), F.col("low"), F.col("high"), order_resolved=F.col("note") != "the tails lie beyond the ranks", confirmed=F.lit(bool(ci(options, "CONFIRMED", default=False))), subjects_known=F.lit(subjects),
-        censored=F.col("censored"), adequacy=F.col("adequacy"), fits=~parametric | F.coalesce(F.col("fit_p") >= 0.05, F.lit(True)), least=F.col("least"), min_n=int(ci(options, "MIN_N", default=intervals.MIN_NONPARAMETRIC)),
+        censored=F.col("censored"), adequacy=F.col("adequacy"), fits=~parametric | F.coalesce(F.col("fit_p") >= 0.05, F.lit(False)), least=F.col("least"), min_n=int(ci(options, "MIN_N", default=intervals.MIN_NONPARAMETRIC)),
     )
     out = out.withColumn("status", status)
     if ci(options, "DECIMALS") is not None or ci(options, "CLAMP"):
@@ -220,7 +221,8 @@ def _judged(limits: DataFrame, by: list[str], subjects: bool, options: dict) ->
 
 
 def _bias_pairs(df: DataFrame, by: str, x: Column) -> DataFrame:
-    """Bias ratios of every pair of groups against the pooled interval: one row a group is compared."""
+    """Bias ratios of every pair of at most 64 groups against the pooled interval: one row a group is compared."""
+    bounded_groups(df, F.col(f"`{by}`"))
     cut = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     v = df.select(F.col(f"`{by}`").cast("string").alias("g"), x.cast("double").alias("x")).where("x is not null and g is not null")
     each, pooled = v.groupBy("g").agg(cut("x").alias("q")), v.agg(cut("x").alias("p"))
