@@ -1108,4 +1108,4 @@ def ri_levels(spark, sf_dir):
     return reference_levels(orders(spark, sf_dir).df, F.col("o_orderstatus"), V.sex(F.expr(SEX)), F.expr(_AGE), F.col("o_totalprice"))
 
 
-from . import catalog_orders, catalog_studies  # noqa: E402, F401  (they register their queries)
+from . import catalog_models, catalog_orders, catalog_studies  # noqa: E402, F401  (they register their queries)
