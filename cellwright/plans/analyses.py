@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..dataset import Dataset, as_list, ci
 from ..functions import values as V
 from ..functions.conditions import eligibility
-from ..operators import intervals, laboratory, statistics, study, summaries
+from ..operators import intervals, laboratory, models, statistics, study, summaries
 from ..operators.ordering import bounded_groups
 from ..operators.starting import bind_roles
 from .runner import Output, step
@@ -241,7 +241,7 @@ ANALYSES: dict[str, tuple[set[str], set[str]]] = {
     "ROC": ({"LABEL_ID"}, {"POLICY"}),
     "GROUP_TEST": ({"BY_ID"}, {"POLICY"}),
     "CORRELATION": ({"WITH_IDS"}, {"METHOD"}),
-    "MODEL": ({"COVARIATE_IDS"}, {"COVARIANCE", "CLUSTER_ID", "WEIGHT_ID", "STRATUM_ID", "PSU_ID", "GROUP"}),
+    "MODEL": ({"COVARIATE_IDS"}, {"CATEGORICAL", "COVARIANCE", "CLUSTER_ID", "WEIGHT_ID", "STRATUM_ID", "PSU_ID", "GROUP"}),
     "INTERVALS": (set(), {"BY_ID", "METHOD", "OUTLIERS", "POLICY"}),
 }
 _EVERY = {"TYPE", "NAME", "RESULT_IDS", "RESULT_TAGS", "RESULT"}
@@ -346,7 +346,12 @@ def _planned(ds: Dataset, kind: str, a: dict, c: str, groups: dict[str, Column])
     xs = [name_of(v) for v in as_list(ci(a, "COVARIATE_IDS"))]
     inside = groups[ci(a, "GROUP", default="ALL")]
     how = str(ci(a, "COVARIANCE", default="HC3")).upper()
-    if how == "SURVEY":
+    if levels := as_list(ci(a, "CATEGORICAL")):
+        # Each {COLUMN_ID, LEVELS, REFERENCE}; COVARIATE_IDS may be empty beside them.
+        listed = {name_of(ci(v, "COLUMN_ID")): (as_list(ci(v, "LEVELS")), ci(v, "REFERENCE")) for v in levels}
+        keys = {k: name_of(ci(a, f"{k}_ID".upper())) for k in {"CLUSTER": ("cluster",), "SURVEY": ("weight", "stratum", "psu")}.get(how, ())}
+        fit = models.linear_model(ds.df.withColumn("_y", x), "_y", xs, listed, how, domain=inside, **keys)
+    elif how == "SURVEY":
         fit = statistics.survey_regression(ds.df.withColumn("_y", x), "_y", xs, *[name_of(ci(a, k)) for k in ("WEIGHT_ID", "STRATUM_ID", "PSU_ID")], inside)
     else:
         fit = statistics.least_squares(ds.df.where(inside).withColumn("_y", x), "_y", xs, name_of(ci(a, "CLUSTER_ID")) if how == "CLUSTER" else None)

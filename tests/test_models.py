@@ -83,3 +83,17 @@ def test_bad_designs_are_refused(spark):
         models.linear_model(df.limit(0), "y", ["x"])
     with pytest.raises(ValueError, match="covariance"):
         models.linear_model(df, "y", ["x"], covariance="HC9")
+
+
+def test_planned_models_have_levels(spark):
+    from cellwright.dataset import Dataset
+    from cellwright.plans import runner
+
+    df = spark.createDataFrame(rows(), SCHEMA)
+    ds = Dataset(df, {"y": ("RESULT", "NUM")}, {"COLUMN": {c: {"ID": c.upper()} for c in ("y", "x", "c", "g", "w", "h")}})
+    level = {"COLUMN_ID": "C", "LEVELS": ["a", "b", "z"], "REFERENCE": "b"}
+    made = [{"TYPE": "MODEL", "NAME": n, "COVARIATE_IDS": xs, "CATEGORICAL": [level], "COVARIANCE": how, **more} for n, xs, how, more in (("m", ["X"], "HC3", {}), ("mc", [], "CLUSTER", {"CLUSTER_ID": "G"}), ("ms", ["X"], "SURVEY", {"WEIGHT_ID": "W", "STRATUM_ID": "H", "PSU_ID": "G"}))]
+    tables = runner.run_step(ds, "ANALYZE", {"ANALYSES": made}).tables
+    assert {k: [r.term for r in t.collect()] for k, t in tables.items()} == {"m:y": ["intercept", "x", "c=a", "c=z"], "mc:y": ["intercept", "c=a", "c=z"], "ms:y": ["intercept", "x", "c=a", "c=z"]}
+    want = models.linear_model(df, "y", ["x"], {"c": (["a", "b", "z"], "b")})
+    np.testing.assert_allclose([r.se for r in tables["m:y"].collect()], want["se"], rtol=1e-6)
