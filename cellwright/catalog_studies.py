@@ -147,7 +147,7 @@ def sample_with_replacement(spark, sf_dir):
     return multi.sample(events(spark, sf_dir).df, F.col("event_id"), n=50, by=["event_type"], seed=3, replace=True).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5(concat_ws(chr(31), '=' || CAST(c_custkey AS VARCHAR), coalesce('=' || c_name, '-'), '=' || CAST(c_nationkey AS VARCHAR))), 1, 15))::HUGEINT) AS VARCHAR) AS digest FROM customer")
+@query("SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5(md5('=' || CAST(c_custkey AS VARCHAR)) || md5(coalesce('=' || c_name, '-')) || md5('=' || CAST(c_nationkey AS VARCHAR))), 1, 15))::HUGEINT) AS VARCHAR) AS digest FROM customer")
 def content_hash(spark, sf_dir):
     return multi.content_hash(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
 

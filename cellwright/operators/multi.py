@@ -188,13 +188,17 @@ def annotate_results(old: DataFrame | None, new: DataFrame, keys: list[str], val
 
 
 def content_hash(df: DataFrame, ordered_by: str | None = None) -> DataFrame:
-    """One row: count and a digest (a sum of 60 bits of each row's MD5) that does not depend on row order; with an order key it enters each row."""
+    """One row: count and a digest (a sum of 60 bits of each row's MD5) that does not depend on row order; with an order key it enters each row.
+
+    Cells enter a row's digest by digests of their own, so that no cell's text can pass for a border between two.
+    """
     cells = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns if c != ROW]
     key = [F.col(f"`{ordered_by}`").cast("string")] if ordered_by else []
-    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells, *key).cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    each = [F.md5(c.cast("binary")) for c in [*cells, *key]]
+    h = F.conv(F.substring(F.md5(F.concat_ws("", *each).cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
 
 
 def chain_hash(df: DataFrame) -> Column:
-    """SHA-256 of a row's cells in column order, states kept apart."""
-    return F.sha2(F.concat_ws("\x1f", *[F.concat(V.state(F.col(f"`{c}`").cast("string")), F.lit(":"), V.text(F.col(f"`{c}`"))) for c in df.columns if c != ROW]).cast("binary"), 256)
+    """SHA-256 of the digests of a row's cells in column order, states kept apart."""
+    return F.sha2(F.concat_ws("", *[F.sha2(F.concat(V.state(F.col(f"`{c}`").cast("string")), F.lit(":"), V.text(F.col(f"`{c}`"))).cast("binary"), 256) for c in df.columns if c != ROW]).cast("binary"), 256)
