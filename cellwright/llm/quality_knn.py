@@ -24,6 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import worker
 from .names import column, numbered
+from .storage import small_batches
 
 #: Fixed values.  Bound of the labelled sample, dimensions of the latent space, voting neighbours, cut.
 SAMPLE_ROWS, DIMS, NEIGHBOURS, THRESHOLD = 4096, 48, 25, 0.3
@@ -174,6 +175,7 @@ def held_out(name: str) -> Column:
 
 
 def _model(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, sample_rows: int) -> Broadcast:
+    small_batches(docs.sparkSession)
     named = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     return docs.sparkSession.sparkContext.broadcast(learn(named, labels, sample_rows))
 

@@ -25,10 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and a worker, where the session sets none: both sides hold a few of them at once.
+BATCH_BYTES, _BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, unless the application was started with a bound of its own."""
+    if spark.sparkContext.getConf().get(_BATCH_KEY) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 class Scratch:
     """Names written tables and drops those that later steps no longer need."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{_open[-1] if _open else shared_dir(spark) + '/cellwright'}/{name}-{uuid.uuid4().hex}"
         self.count = 0
