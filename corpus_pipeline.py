@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm import exact_dedup, ngram_jaccard, packing, quality_knn, secret_scan
-from cellwright.llm.queries import table, tokenizer_path, word_encoder
+from cellwright.llm.queries import table, tokenizer_path
 from cellwright.llm.storage import Scratch
 
+#: Words that a worker of the last stage remembers in each of two generations: fewer than packing by itself, as memory of earlier stages is still held.
+MEMO_WORDS = 200_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -33,7 +36,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences, by piece, with the ids."""
-    return packing.pack(docs, Scratch(spark, "packed"), word_encoder(tokenizer_path("word_bpe_49k.json")), keep_ids=True)
+    path = tokenizer_path("word_bpe_49k.json")
+    return packing.pack(docs, Scratch(spark, "packed"), lambda: packing.memo_of(path, MEMO_WORDS).encode, keep_ids=True)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("secrets", secrets), ("packed", packed)]
