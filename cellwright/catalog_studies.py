@@ -99,7 +99,7 @@ def tat_bottlenecks(spark, sf_dir):
 @query("SELECT decision, reasons, count(*) AS n FROM (SELECT CASE WHEN value > 400 THEN 'HOLD' WHEN value < 2 OR value > 60 OR a > 40 OR p > 500 THEN 'REVIEW' ELSE 'PASS' END AS decision, concat_ws(';', CASE WHEN value > 400 THEN 'CRITICAL_HIGH' END, CASE WHEN value < 2 THEN 'REF_LOW' END, CASE WHEN value > 60 THEN 'REF_HIGH' END, CASE WHEN a > 40 THEN 'DELTA_ABS' END, CASE WHEN p > 500 THEN 'DELTA_PERCENT' END) AS reasons FROM (SELECT value, abs(value - lag(value) OVER w) AS a, CASE WHEN lag(value) OVER w <> 0 THEN 100 * abs(value - lag(value) OVER w) / abs(lag(value) OVER w) END AS p FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))) GROUP BY ALL")
 def autoverification_delta(spark, sf_dir):
     e = _ev(spark, sf_dir)
-    d = laboratory.delta(e, F.col("user_id"), F.col("event_type"), F.col("ts"), F.col("value"), ["event_id"]).select("event_id", "abs_change", "pct_change")
+    d = laboratory.delta(e, F.col("user_id"), F.col("event_type"), F.col("ts"), F.col("value"), ["event_id"], digits=None).select("event_id", "abs_change", "pct_change")
     x = laboratory.flag_results(e.withColumn("low", F.lit(2.0)).withColumn("high", F.lit(60.0)), F.col("value"), F.col("low"), F.col("high"), keep_parsed=True).join(d, "event_id", "left")
     decision, why = laboratory.autoverify(F.col("_number"), F.col("_sign"), F.col("flag"), F.col("abs_change"), F.col("pct_change"), None, 400.0, 40.0, 500.0)
     return x.groupBy(decision.alias("decision"), why.alias("reasons")).agg(F.count("*").alias("n"))

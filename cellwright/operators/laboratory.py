@@ -75,13 +75,17 @@ def tukey_outliers(df: DataFrame, item: Column, value: Column, k: float = 1.5, a
     return x.join(q, "item").groupBy("item", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")).agg(F.count("*").alias("n"), n(F.col("x") < F.col("low")).alias("below"), n(F.col("x") > F.col("high")).alias("above"))
 
 
-def delta(df: DataFrame, patient: Column, item: Column, at: Column, value: Column, keep: list[str] = ()) -> DataFrame:
-    """Change from the previous result of the same patient and item.  A zero before gives no percentage."""
+def delta(df: DataFrame, patient: Column, item: Column, at: Column, value: Column, keep: list[str] = (), digits: int | None = 6) -> DataFrame:
+    """Change from the previous result of the same patient and item.  A zero before gives no percentage.
+
+    Limits are held against unrounded changes (``digits=None``): 40.0000000001 is beyond 40.
+    """
+    r = lambda c: c if digits is None else F.round(c, digits)
     x = df.select(*keep, patient.alias("patient"), item.alias("item"), at.alias("at"), value.cast("double").alias("x")).where("x is not null and at is not null")
     w = Window.partitionBy("patient", "item").orderBy("at", *keep)
     x = x.withColumns({"previous": F.lag("x").over(w), "previous_at": F.lag("at").over(w)})
     d = F.col("x") - F.col("previous")
-    return x.where("previous is not null").select(*keep, "patient", "item", "at", F.col("x").alias("value"), "previous", F.round(d, 6).alias("change"), F.round(F.abs(d), 6).alias("abs_change"), F.round(F.when(F.col("previous") != 0, 100 * F.abs(d) / F.abs("previous")), 6).alias("pct_change"), F.round(minutes(F.col("previous_at"), F.col("at")) / 60, 6).alias("hours"))
+    return x.where("previous is not null").select(*keep, "patient", "item", "at", F.col("x").alias("value"), "previous", r(d).alias("change"), r(F.abs(d)).alias("abs_change"), r(F.when(F.col("previous") != 0, 100 * F.abs(d) / F.abs("previous"))).alias("pct_change"), r(minutes(F.col("previous_at"), F.col("at")) / 60).alias("hours"))
 
 
 def top_delta(deltas: DataFrame, k: int = 500, *ties: str) -> DataFrame:
