@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import numpy as np
@@ -65,12 +66,31 @@ def predicted_bias(fit: DataFrame, points: list[float]) -> DataFrame:
     return fit.select("*", at).withColumn("bias", F.round(b, 6)).withColumn("bias_pct", F.round(F.when(F.col("at") != 0, 100 * b / F.col("at")), 6))
 
 
-def method_comparison(df: DataFrame, keys: list[str], by: list[str], method: str, value: Column, a: str, b: str, points: list[float] = (), ratio: float = 1.0) -> dict[str, DataFrame]:
-    """All tables of a comparison of two methods over one paired base."""
+class Tables(Mapping):
+    """Tables by name, each built when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def method_comparison(df: DataFrame, keys: list[str], by: list[str], method: str, value: Column, a: str, b: str, points: list[float] = (), ratio: float = 1.0) -> Mapping[str, DataFrame]:
+    """All tables of a comparison of two methods over one paired base; the search for slope medians runs only if its lines are read."""
     pairs = pair_methods(df, list(dict.fromkeys([*by, *keys])), method, value, a, b)
-    lines = {"deming": deming(pairs, by, ratio), "passing_bablok": passing_bablok(pairs, by)}
-    out = {"pairs": pairs, **lines, "bland_altman": bland_altman(pairs, by), "bias": mean_bias(pairs, by)}
-    return out | {f"{k}_predicted": predicted_bias(t, list(points)) for k, t in lines.items() if points}
+    lines = {"deming": lambda: deming(pairs, by, ratio), "passing_bablok": lambda: passing_bablok(pairs, by)}
+    out = {"pairs": lambda: pairs, **lines, "bland_altman": lambda: bland_altman(pairs, by), "bias": lambda: mean_bias(pairs, by)}
+    tables = Tables(out | {f"{k}_predicted": (lambda k=k: predicted_bias(tables[k], list(points))) for k in lines if points})
+    return tables
 
 
 def passing_bablok_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
