@@ -4,9 +4,9 @@ RESTART and SKIP make a decision depend on the decisions before it, so one group
 What a group must remember is small: for each material the last few values that still count, and the last few
 complete runs; a stream carries exactly that (see ``streaming.streams.stateful_multirule``).
 
-A long group is judged in segments side by side.  Each begins with what the one before it seems to leave behind; segments whose beginning
-turns out otherwise are judged again, until none does.  The first segment is right at once, each next one at the latest a round later, and memory
-is short: a wrong beginning is forgotten after a rejection or a few runs, so that two or three rounds settle all of them.
+A long group is judged in segments side by side, once the beginning of each is known.  With CONTINUE a segment adds its values to whatever came before;
+with RESTART it leaves behind what follows its last rejection that a single value makes.  Where there is none, and with SKIP, a segment is judged from what the
+one before it seems to leave behind, and again where that turns out otherwise, until none does: each next one is right at the latest a round later.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .ordering import meet
+from .ordering import _small, below, meet
 
 #: Default rules, words of the options, the limit of the classic trigger, severities in rising order.
 WARN, REJECT = ["1_2s"], ["1_3s", "2_2s", "R_4s", "4_1s", "10x"]
@@ -271,16 +272,71 @@ def judge(points: pd.DataFrame, plan: Plan | None = None, chart: Chart | None =
     NOT_EVALUATED.  A decision depends on its own and earlier runs alone.  ``chart`` goes on from earlier runs.
     """
     chart = chart or Chart(plan or plan_of(**options))
+    out, run, materials, z = _ordered(points)
+    rows: list[list[str]] = []
+    for start, end in _bounds(run):
+        rows += chart.judge(materials[start:end], z[start:end])
+    return out.assign(**dict(zip(ADDED, map(list, zip(*rows, strict=True)) if rows else [[]] * len(ADDED), strict=True)))
+
+
+def _ordered(points: pd.DataFrame) -> tuple[pd.DataFrame, list[str], list[str], list[float]]:
+    """Points in the order of their runs; run, material and z of each."""
     first = points.groupby("run", sort=False)["order"].transform("min")
     out = points.assign(_first=first, _run=points["run"].astype(str), _material=points["material"].astype(str)).sort_values(["_first", "_run", "_material"], kind="stable").reset_index(drop=True)
-    run, materials, z = out["_run"].tolist(), out["_material"].tolist(), out["z"].astype(float).tolist()
-    rows: list[list[str]] = []
+    return out.drop(columns=["_first", "_run", "_material"]), out["_run"].tolist(), out["_material"].tolist(), out["z"].astype(float).tolist()
+
+
+def _bounds(run: list[str]) -> Iterable[tuple[int, int]]:
     start = 0
-    for end in range(1, len(out) + 1):
-        if end == len(out) or run[end] != run[start]:
-            rows += chart.judge(materials[start:end], z[start:end])
+    for end in range(1, len(run) + 1):
+        if end == len(run) or run[end] != run[start]:
+            yield start, end
             start = end
-    return out.drop(columns=["_first", "_run", "_material"]).assign(**dict(zip(ADDED, map(list, zip(*rows, strict=True)) if rows else [[]] * len(ADDED), strict=True)))
+
+
+def ending(points: pd.DataFrame, plan: Plan, state: str | None = None) -> dict:
+    """What a segment leaves behind: ``state``, and whether it holds for any beginning (``sure``), adds to any beginning (``adds``; ``ended``: materials and
+    runs whose sequence the segment ends), or was judged from ``state`` (``from``).
+
+    After a rejection that a single value makes, RESTART remembers nothing of before; CONTINUE remembers values whatever was decided.
+    """
+    _, run, materials, z = _ordered(points)
+    bounds, chart = list(_bounds(run)), Chart.at(plan, state)
+    if plan.after_reject == "CONTINUE":
+        chart = Chart(plan)
+        ended: set[str] = set()
+        broken = False
+        for start, end in bounds:
+            missing = {materials[k] for k in range(start, end) if math.isnan(z[k])}
+            ended |= missing
+            broken |= bool(missing)
+            chart._remember(materials[start:end], z[start:end], not missing, False)
+        return {"kind": "adds", "state": chart.state, "ended": sorted(ended), "broken": broken}
+    if plan.after_reject == "RESTART":
+        limits = [r.limit for r, action, *_ in chart.rules if r.kind == "point" and action == "REJECT"]
+        sure = max(min(limits), TRIGGER_SD if plan.trigger == "1_2S" else 0.0) if limits else math.inf
+        for at in reversed(range(len(bounds))):
+            if any(abs(v) > sure for v in z[slice(*bounds[at])]):
+                chart = Chart(plan)
+                for start, end in bounds[at + 1 :]:
+                    chart.judge(materials[start:end], z[start:end])
+                return {"kind": "sure", "state": chart.state}
+    for start, end in bounds:
+        chart.judge(materials[start:end], z[start:end])
+    return {"kind": "from", "state": chart.state, "begin": state}
+
+
+def followed(begin: str, end: dict, plan: Plan) -> str:
+    """The state after a segment that begins with ``begin``; a supposition if it was judged from another one."""
+    if end["kind"] != "adds":
+        return end["state"]
+    was, more = Chart.at(plan, begin), Chart.at(plan, end["state"])
+    for m, tail in was.tails.items():
+        if m not in end["ended"]:
+            more.tails[m] = deque([*tail, *more.tails.get(m, ())], more.depth)
+    if not end["broken"]:
+        more.runs = deque([*was.runs, *more.runs], more.runs.maxlen)
+    return more.state
 
 
 def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings: Mapping | None = None, result: str | None = None, segment_points: int = SEGMENT_POINTS, **options) -> DataFrame:
@@ -290,8 +346,11 @@ def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings:
     judged in segments of about so many, if ``order`` is a number or a time.
     """
 
+    def plan_named(name: object) -> Plan:
+        return rule_plan(settings, str(name)) if settings is not None else plan or plan_of(**options)
+
     def plan_for(pdf: pd.DataFrame) -> Plan:
-        return rule_plan(settings, str(pdf[result or group].iloc[0])) if settings is not None else plan or plan_of(**options)
+        return plan_named(pdf[result or group].iloc[0])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return judge(pdf, plan_for(pdf))
@@ -301,54 +360,60 @@ def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings:
     whole = lambda df: df.groupBy(group).applyInPandas(one, schema)
     if dict(points.dtypes)["order"] in ("string", "binary"):
         return whole(points)
-    sizes = points.groupBy(group).agg(F.count("*").alias("_n"))
-    long = sizes.where(F.col("_n") > segment_points)
-    if long.isEmpty():
+    # Cuts are taken once and held, so that every later read cuts alike.
+    share = F.ceil(F.lit(MAX_SEGMENTS) * segment_points / F.col("_n"))
+    cuts = F.percentile_approx(F.col("order").cast("double"), [(i + 1) / MAX_SEGMENTS for i in range(MAX_SEGMENTS - 1)], 4 * MAX_SEGMENTS)
+    sizes = points.groupBy(group).agg(F.count("*").alias("_n"), cuts.alias("_cuts")).where(F.col("_n") > segment_points)
+    every = F.greatest(F.lit(1), share).cast("int")
+    thin = sizes.select(group, F.array_distinct(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda _, i: (i + 1) % every == 0)).alias("_cuts"))
+    held = [tuple(r) for r in thin.limit(MAX_STATES + 1).collect()]
+    if not held:
         return whole(points)
-    pieces = _segments(meet(points, long, [group]), group, segment_points)
-    judged = _side_by_side(pieces, group, plan_for, schema)
+    if sum(len(c) + 1 for _, c in held) > MAX_STATES:
+        raise ValueError(f"more than {MAX_STATES} segments: raise segment_points")
+    long = _small(points.sparkSession, held, points.select(group), "_cuts array<double>")
+    first = F.min(F.col("order").cast("double")).over(Window.partitionBy(group, "run"))
+    pieces = meet(points, long, [group]).withColumn("_first", first)
+    # A run lies in one segment; runs without an order come last, as in ``judge``.
+    pieces = pieces.withColumn("_seg", F.when(F.col("_first").isNull(), F.size("_cuts")).otherwise(below("_cuts", F.col("_first")))).drop("_cuts", "_first")
+    judged = _side_by_side(pieces, group, result or group, plan_named, schema)
     return whole(meet(points, long.select(group), [group], "left_anti")).unionByName(judged)
 
 
-def _segments(points: DataFrame, group: str, segment_points: int) -> DataFrame:
-    """``points`` with ``_seg``: ranges of the runs' first order, so that a run lies in one."""
-    runs = points.groupBy(group, "run").agg(F.min("order").cast("double").alias("_first"), F.first("_n").alias("_n"))
-    cuts = runs.groupBy(group).agg(F.percentile_approx("_first", [(i + 1) / MAX_SEGMENTS for i in range(MAX_SEGMENTS - 1)], 10 * MAX_SEGMENTS).alias("_cuts"), F.first("_n").alias("_n"))
-    # Every so many of the cuts: segments of about segment_points points, MAX_SEGMENTS at most.
-    every = F.greatest(F.lit(1), F.ceil(F.lit(MAX_SEGMENTS) * segment_points / F.col("_n"))).cast("int")
-    cuts = cuts.select(group, F.array_distinct(F.filter("_cuts", lambda _, i: (i + 1) % every == 0)).alias("_cuts"))
-    at = meet(runs.drop("_n"), cuts, [group]).select(group, "run", F.size(F.filter("_cuts", lambda v: v <= F.col("_first"))).alias("_seg"))
-    return meet(points.drop("_n"), at, [group, "run"])
-
-
-def _side_by_side(pieces: DataFrame, group: str, plan_for, schema: StructType) -> DataFrame:
-    """Judge segments from supposed beginnings until each begins as the one before it ends."""
+def _side_by_side(pieces: DataFrame, group: str, result: str, plan_named, schema: StructType) -> DataFrame:
+    """Each segment's end is sought by itself; segments whose end depends on a beginning that turns out otherwise are judged again, until none does."""
     spark = pieces.sparkSession
     kind = pieces.schema[group].dataType.simpleString()
     begin = StructType([pieces.schema[group], *StructType.fromDDL("_seg int, _state string").fields])
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        chart = Chart.at(plan_for(pdf), pdf["_state"].iloc[0])
-        judge(pdf.drop(columns=["_seg", "_state"]), chart=chart)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "_seg": [pdf["_seg"].iloc[0]], "_end": [chart.state]})
-
-    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
-        return judge(pdf.drop(columns=["_seg", "_state"]), chart=Chart.at(plan_for(pdf), pdf["_state"].iloc[0]))
-
-    names = [tuple(r) for r in pieces.select(group, "_seg").distinct().limit(MAX_STATES + 1).collect()]
-    if len(names) > MAX_STATES:
-        raise ValueError(f"more than {MAX_STATES} segments: raise segment_points")
-    before: dict[tuple, tuple | None] = {}
-    for g in {g for g, _ in names}:
-        own = sorted(s for h, s in names if h == g)
-        before |= {(g, s): (g, own[k - 1]) if k else None for k, s in enumerate(own)}
-    states = {k: Chart(plan_of()).state for k in names}
-    again, after = names, {}
-    while again:
-        table = spark.createDataFrame([(*k, states[k]) for k in again], begin)
-        found = meet(pieces, F.broadcast(table), [group, "_seg"]).groupBy(group, "_seg").applyInPandas(ends, f"`{group}` {kind}, _seg int, _end string").collect()  # a row a segment
-        after |= {(r[group], r["_seg"]): r["_end"] for r in found}
-        again = [k for k in names if before[k] is not None and states[k] != after[before[k]]]
-        states |= {k: after[before[k]] for k in again}
-    table = spark.createDataFrame([(*k, s) for k, s in states.items()], begin)
-    return meet(pieces, F.broadcast(table), [group, "_seg"]).groupBy(group, "_seg").applyInPandas(judged, schema)
+    def ends(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({group: [], "_seg": [], "_name": [], "_end": []})
+        name = pdf[result].iloc[0]
+        end = ending(pdf.drop(columns="_seg"), plan_named(name), states["_state"].iloc[0] if len(states) else None)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "_seg": [pdf["_seg"].iloc[0]], "_name": [str(name)], "_end": [json.dumps(end)]})
+
+    def judged(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return judge(pdf.drop(columns="_seg"))
+        return judge(pdf.drop(columns="_seg"), chart=Chart.at(plan_named(pdf[result].iloc[0]), states["_state"].iloc[0]))
+
+    def beside(rows: DataFrame, states: list[tuple], one, out) -> DataFrame:
+        keys = [F.col(group), F.col("_seg")]
+        return rows.groupBy(*keys).cogroup(spark.createDataFrame(states, begin).groupBy(*keys)).applyInPandas(one, out)  # a state reaches its segment once
+
+    fresh = Chart(plan_of()).state
+    found: dict[tuple, dict] = {}
+    names: dict[tuple, str] = {}
+    states: dict[tuple, str] = {}
+    again: list[tuple] | None = None
+    while again is None or again:
+        rows = pieces if again is None else meet(pieces, F.broadcast(spark.createDataFrame([(*k, states[k]) for k in again], begin).drop("_state")), [group, "_seg"], "left_semi")
+        for r in beside(rows, [(*k, states[k]) for k in again or ()], ends, f"`{group}` {kind}, _seg int, _name string, _end string").collect():  # a row a segment
+            found[r[group], r["_seg"]], names[r[group], r["_seg"]] = json.loads(r["_end"]), r["_name"]
+        last: dict = {}
+        for k in sorted(found, key=lambda k: k[1]):
+            states[k] = last.get(k[0], fresh)
+            last[k[0]] = followed(states[k], found[k], plan_named(names[k]))
+        again = [k for k in found if found[k]["kind"] == "from" and (found[k]["begin"] or fresh) != states[k]]
+    return beside(pieces, [(*k, s) for k, s in states.items()], judged, schema)

@@ -19,3 +19,36 @@ def test_a_change_just_beyond_its_limit_is_reviewed(spark, tmp_path):
     path = events(spark, tmp_path, [(1, "a", 10.0), (1, "a", 50.000000001), (2, "a", 10.0), (2, "a", 50.0)])
     got = {(r.decision, r.reasons): r.n for r in __spark_entry__.queries()["autoverification_delta"](spark, path).collect()}
     assert got == {("PASS", ""): 3, ("REVIEW", "DELTA_ABS"): 1}
+
+
+def test_a_comparison_builds_only_the_tables_that_are_read(spark, monkeypatch):
+    from cellwright.operators import statistics
+
+    def never(*_):
+        raise AssertionError("no line is asked for")
+
+    monkeypatch.setattr(statistics, "passing_bablok", never)
+    df = spark.createDataFrame([(i, "g", m, float(i + (m == "B"))) for i in range(5) for m in "AB"], "k long, g string, m string, v double")
+    got = statistics.method_comparison(df, ["k"], ["g"], "m", F.col("v"), "A", "B", [1.0])
+    assert got["bias"].first().bias == 1.0 and set(got) == {"pairs", "deming", "passing_bablok", "bland_altman", "bias", "deming_predicted", "passing_bablok_predicted"}
+
+
+@pytest.mark.parametrize("after", ["RESTART", "SKIP", "CONTINUE"])
+def test_ends_of_segments_follow_each_other(after):
+    """What segments leave behind, one by one, is what the whole chart remembers, whichever way an end is found."""
+    from cellwright.operators import multirule as M
+
+    rng = np.random.default_rng(4)
+    rows = [("g", r, r, m, float(z)) for r in range(400) for m, z in zip("ABC", rng.normal(0, 1.3, 3), strict=True) if m != "C" or r % 29 < 9]
+    points = pd.DataFrame(rows, columns=["g", "run", "order", "material", "z"])
+    points.loc[rng.choice(len(points), 12, replace=False), "z"] = np.nan
+    plan, state, kinds = M.plan_of(after_reject=after), M.Chart(M.plan_of()).state, set()
+    for start in range(0, 400, 23):
+        part = points[(points["run"] >= start) & (points["run"] < start + 23)]
+        end = M.ending(part, plan, state)
+        state = M.followed(state, end, plan)
+        kinds.add(end["kind"])
+        chart = M.Chart(plan)
+        M.judge(points[points["run"] < start + 23], chart=chart)
+        assert state == chart.state, start
+    assert kinds <= {"RESTART": {"sure", "from"}, "SKIP": {"from"}, "CONTINUE": {"adds"}}[after]
