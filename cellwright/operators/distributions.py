@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import special as S
 from .intervals import harris_boyd
-from .ordering import MAX_GROUPS, bounded_groups, meet, running  # noqa: F401
-from .study import wilcoxon_pairs
-from .summaries import quantiles
+from .ordering import MAX_GROUPS, bounded_groups, exact_quantiles, meet, pair_counts, running  # noqa: F401
+from .study import rank_sum_test
 
 #: Fewest values of a group that allow a recommendation.
 MIN_PARTITION = 20
@@ -50,19 +49,12 @@ def lilliefors(df: DataFrame, by: list[str], value: Column) -> DataFrame:
 
 def ks_pairs(df: DataFrame, group: Column, value: Column) -> DataFrame:
     """Every pair of at most MAX_GROUPS groups: largest distance of their distributions, and its p."""
-    bounded_groups(df, group)
-    x = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null")
-    counts = x.groupBy("g", "x").agg(F.count("*").alias("k"))
-    names = F.broadcast(x.select(F.col("g").alias("other")).distinct())  # at most MAX_GROUPS rows
-    by = ["group_a", "group_b"]
-    mine = lambda here: F.when(F.col("g") < F.col("other"), F.col("k") if here else F.lit(0)).otherwise(F.lit(0) if here else F.col("k")).cast("bigint")
-    pairs = counts.join(names, F.col("g") != F.col("other")).select(F.least("g", "other").alias("group_a"), F.greatest("g", "other").alias("group_b"), "x", mine(True).alias("ka"), mine(False).alias("kb"))
-    v = pairs.groupBy(*by, "x").agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb"))
-    n = v.groupBy(*by).agg(F.sum("ka").alias("n_a"), F.sum("kb").alias("n_b"))
-    upto = meet(running(v, by, "x", {"ka": "ua", "kb": "ub"}), n, by)
-    d = upto.groupBy(*by).agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max(F.abs(F.col("ua") / F.col("n_a") - F.col("ub") / F.col("n_b"))).alias("d"))
+    return _ks(pair_counts(df, group, value))
+
+
+def _ks(pairs: DataFrame) -> DataFrame:
     root = F.sqrt(F.col("n_a").cast("double") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
-    return d.select(*by, "n_a", "n_b", F.round("d", 6).alias("d"), F.round(kolmogorov((root + 0.12 + 0.11 / root) * F.col("d")), 6).alias("p"))
+    return pairs.select("group_a", "group_b", "n_a", "n_b", F.round("d", 6).alias("d"), F.round(kolmogorov((root + 0.12 + 0.11 / root) * F.col("d")), 6).alias("p"))
 
 
 def group_difference(df: DataFrame, group: Column, value: Column, alpha: float = 0.05) -> DataFrame:
@@ -74,7 +66,10 @@ def group_difference(df: DataFrame, group: Column, value: Column, alpha: float =
     bounded_groups(df, group)
     x = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null")
     by = ["group_a", "group_b"]
-    m = x.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"), quantiles(F.col("x"), [0.025, 0.975]).alias("q"))
+    m = meet(x.groupBy("g").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v")), exact_quantiles(x, ["g"], F.col("x"), [0.025, 0.975]), ["g"])
+    # At most MAX_GROUPS groups and their pairs: read once.
+    once = lambda t: df.sparkSession.createDataFrame([tuple(r) for r in t.collect()], t.schema)
+    m, counted = once(m), once(pair_counts(df, group, value))
     a, b = m.alias("a"), m.alias("b")
     va, vb = F.col("a.v") / F.col("a.n"), F.col("b.v") / F.col("b.n")
     ok = (va + vb > 0) & (F.col("a.n") > 1) & (F.col("b.n") > 1)
@@ -89,8 +84,8 @@ def group_difference(df: DataFrame, group: Column, value: Column, alpha: float =
 
     pairs = a.join(b, F.col("a.g") < F.col("b.g")).select(F.col("a.g").alias("group_a"), F.col("b.g").alias("group_b"), t.alias("_t"), dof.alias("_dof"), F.when(narrow > 0, F.greatest(high - low, F.lit(0.0)) / narrow).alias("_overlap"))
     out = pairs.select(*by, F.round(two_sided("_t", "_dof"), 6).alias("welch_p"), F.round("_overlap", 6).alias("overlap"))
-    out = meet(out, wilcoxon_pairs(df, group, value).select(*by, F.round("p", 6).alias("mann_whitney_p")), by)
-    out = meet(out, ks_pairs(df, group, value).select(*by, "n_a", "n_b", F.col("p").alias("ks_p")), by)
+    out = meet(out, rank_sum_test(counted).select(*by, F.round("p", 6).alias("mann_whitney_p")), by)
+    out = meet(out, _ks(counted).select(*by, "n_a", "n_b", F.col("p").alias("ks_p")), by)
     out = meet(out, harris_boyd(df, [], group, value).select(*by, "z", "z_limit"), by)
     least = F.least("welch_p", "mann_whitney_p", "ks_p")
     split = F.coalesce(F.col("z") > F.col("z_limit"), F.lit(False))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import special as S
 from ..functions.special import lilliefors_fit as lilliefors
 from ..functions import values as V
-from .ordering import bounded_groups
-from .statistics import average_rank, running_sums
+from .ordering import bounded_groups, pair_counts  # noqa: F401
+from .statistics import average_rank, running_sums  # noqa: F401
 from .summaries import quantile, quantiles
 
 
@@ -128,18 +128,12 @@ def wilcoxon_pairs(df: DataFrame, group: Column, value: Column) -> DataFrame:
     Ranks are taken within the pair, from counts of distinct values: a pair sees one row per value and group.
     z is the distance from the mean rank sum less 1/2, never beyond 0; without variance z is 0 and p 1.  More than 64 groups are refused.
     """
-    bounded_groups(df, group)
-    x = df.select(group.cast("string").alias("g"), value.cast("double").alias("x")).where("x is not null and g is not null")
-    counts = x.groupBy("g", "x").agg(F.count("*").alias("k"))
-    names = x.select("g").distinct()
-    pairs = names.select(F.col("g").alias("group_a")).join(names.select(F.col("g").alias("group_b")), F.col("group_a") < F.col("group_b"))
-    first = counts.join(pairs, F.col("g") == F.col("group_a")).select("group_a", "group_b", "x", F.col("k").alias("ka"), F.lit(0).cast("bigint").alias("kb"))
-    second = counts.join(pairs, F.col("g") == F.col("group_b")).select("group_a", "group_b", "x", F.lit(0).cast("bigint").alias("ka"), F.col("k").alias("kb"))
+    return rank_sum_test(pair_counts(df, group, value))
+
+
+def rank_sum_test(g: DataFrame) -> DataFrame:
+    """The test from n_a, n_b, w and ties of each pair (see ``ordering.pair_counts``)."""
     by = ["group_a", "group_b"]
-    v = first.unionByName(second).groupBy(*by, "x").agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb")).withColumn("t", F.col("ka") + F.col("kb"))
-    r = running_sums(v, "x", {"t": "upto"}, by)
-    rank, t = F.col("upto") - (F.col("t") - 1) / 2, F.col("t").cast("double")
-    g = r.groupBy(*by).agg(F.sum("ka").alias("n_a"), F.sum("kb").alias("n_b"), F.sum(F.col("ka") * rank).alias("w"), F.sum(t * t * t - t).alias("ties"))
     a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = a + b
     off = F.col("w") - a * (n + 1) / 2

@@ -52,3 +52,20 @@ def test_ends_of_segments_follow_each_other(after):
         M.judge(points[points["run"] < start + 23], chart=chart)
         assert state == chart.state, start
     assert kinds <= {"RESTART": {"sure", "from"}, "SKIP": {"from"}, "CONTINUE": {"adds"}}[after]
+
+
+def test_all_pairs_of_groups_are_read_in_one_pass(spark, monkeypatch):
+    """Ranges hold counts of distinct values of all groups; nothing is multiplied by the number of pairs."""
+    from cellwright.functions import special as S
+    from cellwright.operators import ordering
+
+    monkeypatch.setattr(ordering, "CUTS", 7)
+    rng = np.random.default_rng(5)
+    each = {g: np.round(rng.normal(i, 2, 90 + i), 1) for i, g in enumerate("abcd")} | {"flat": np.full(50, 1.0)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in each.items() for v in vs] + [("a", None), (None, 1.0)], "g string, x double")
+    got = {(r.group_a, r.group_b): r for r in ordering.pair_counts(df, F.col("g"), F.col("x")).collect()}
+    assert len(got) == 10
+    for (a, b), r in got.items():
+        both = pd.Series(np.concatenate([each[a], each[b]]))
+        assert (r.n_a, r.n_b, r.w) == (len(each[a]), len(each[b]), pytest.approx(both.rank()[: len(each[a])].sum()))
+        assert r.d == pytest.approx(S.ks_two_sample(each[a], each[b])[0]) and r.ties == sum(t**3 - t for t in both.value_counts())
