@@ -69,3 +69,18 @@ def test_all_pairs_of_groups_are_read_in_one_pass(spark, monkeypatch):
         both = pd.Series(np.concatenate([each[a], each[b]]))
         assert (r.n_a, r.n_b, r.w) == (len(each[a]), len(each[b]), pytest.approx(both.rank()[: len(each[a])].sum()))
         assert r.d == pytest.approx(S.ks_two_sample(each[a], each[b])[0]) and r.ties == sum(t**3 - t for t in both.value_counts())
+
+
+def test_large_groups_alone_leave_nothing_to_list(spark, monkeypatch):
+    from cellwright.operators import ordering
+
+    hows, plainly = [], ordering.meet
+
+    def spy(left, right, by, how="inner"):
+        hows.append(how)
+        return plainly(left, right, by, how)
+
+    monkeypatch.setattr(ordering, "meet", spy)
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), (F.col("id") % 50).cast("double").alias("v"))
+    got = {r.g: (r.n, r.q) for r in ordering.exact_quantiles(df, ["g"], F.col("v"), [0.0, 0.5, 1.0], rows=100).collect()}
+    assert got == {0: (2000, [0.0, 24.0, 48.0]), 1: (2000, [1.0, 25.0, 49.0])} and "left_anti" not in hows
