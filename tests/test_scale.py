@@ -71,6 +71,30 @@ def test_all_pairs_of_groups_are_read_in_one_pass(spark, monkeypatch):
         assert r.d == pytest.approx(S.ks_two_sample(each[a], each[b])[0]) and r.ties == sum(t**3 - t for t in both.value_counts())
 
 
+def test_rows_of_large_groups_are_looked_up_where_they_are(spark, monkeypatch):
+    """Rows are not moved by group before they are cut into ranges, else a group is one task's."""
+    from cellwright.operators import intervals
+
+    seen, plainly = [], intervals.values_at
+
+    def spy(x, *rest):
+        seen.append(x._jdf.queryExecution().sparkPlan().toString())
+        return plainly(x, *rest)
+
+    monkeypatch.setattr(intervals, "values_at", spy)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(60_030).select(F.when(F.col("id") >= 30, "hot").otherwise("small").alias("g"), F.col("id").cast("double").alias("v"))
+        ranked = {r.g: (r.n, r.low) for r in intervals.ranked_intervals(df, ["g"], F.col("v")).collect()}
+        got = {r.g: (r.n, r.low) for r in intervals.reference_intervals(df, ["g"], F.col("v"), how="RANK").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    hot = (60_000, 30 + 0.025 * 60_001 - 1)
+    assert ranked["hot"] == pytest.approx(hot) and got["hot"] == pytest.approx(hot) and got["small"][0] == ranked["small"][0] == 30
+    assert len(seen) == 2 and "Join" not in seen[0] and "BroadcastHashJoin" in seen[1] and "SortMergeJoin" not in seen[1]
+
+
 def test_large_groups_alone_leave_nothing_to_list(spark, monkeypatch):
     from cellwright.operators import ordering
 
