@@ -372,10 +372,9 @@ def multirule(points: DataFrame, group: str, plan: Plan | None = None, settings:
     if sum(len(c) + 1 for _, c in held) > MAX_STATES:
         raise ValueError(f"more than {MAX_STATES} segments: raise segment_points")
     long = _small(points.sparkSession, held, points.select(group), "_cuts array<double>")
-    first = F.min(F.col("order").cast("double")).over(Window.partitionBy(group, "run"))
-    pieces = meet(points, long, [group]).withColumn("_first", first)
-    # A run lies in one segment; runs without an order come last, as in ``judge``.
-    pieces = pieces.withColumn("_seg", F.when(F.col("_first").isNull(), F.size("_cuts")).otherwise(below("_cuts", F.col("_first")))).drop("_cuts", "_first")
+    # A run lies in one segment, that of its first point; runs without an order come last, as in ``judge``.  Each row leaves its group's cuts before it is shuffled.
+    at = F.when(F.col("order").isNull(), F.size("_cuts")).otherwise(below("_cuts", F.col("order").cast("double")))
+    pieces = meet(points, long, [group]).withColumn("_seg", at).drop("_cuts").withColumn("_seg", F.min("_seg").over(Window.partitionBy(group, "run")))
     judged = _side_by_side(pieces, group, result or group, plan_named, schema)
     return whole(meet(points, long.select(group), [group], "left_anti")).unionByName(judged)
 

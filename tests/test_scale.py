@@ -1,5 +1,7 @@
 """Limits against unrounded changes, and order statistics and charts of groups that no task holds."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -108,3 +110,21 @@ def test_large_groups_alone_leave_nothing_to_list(spark, monkeypatch):
     df = spark.range(4000).select((F.col("id") % 2).alias("g"), (F.col("id") % 50).cast("double").alias("v"))
     got = {r.g: (r.n, r.q) for r in ordering.exact_quantiles(df, ["g"], F.col("v"), [0.0, 0.5, 1.0], rows=100).collect()}
     assert got == {0: (2000, [0.0, 24.0, 48.0]), 1: (2000, [1.0, 25.0, 49.0])} and "left_anti" not in hows
+
+
+@pytest.mark.parametrize("after", ["RESTART", "CONTINUE"])
+def test_cuts_of_long_charts_are_not_shuffled_with_their_rows(spark, capsys, after):
+    """Points of a run lie far apart or have no order; they stay in one segment, and no row takes its group's cuts through a shuffle."""
+    from cellwright.operators import multirule as M
+
+    rng = np.random.default_rng(8)
+    rows = [("g", r, None if r % 40 == k else float(r + 30 * k * (r % 3)), m, float(np.round(rng.normal(0, 1.4), 2))) for r in range(240) for k, m in enumerate("ab")]
+    rows += [("g", 900 + r, None, "a", 1.5) for r in range(3)]
+    df = spark.createDataFrame(rows, "g string, run long, order double, material string, z double")
+    out = M.multirule(df, "g", after_reject=after, segment_points=12)
+    got = {(r.run, r.material): tuple(r[c] for c in M.ADDED) for r in out.collect()}
+    want = M.judge(pd.DataFrame(rows, columns=["g", "run", "order", "material", "z"]), after_reject=after)
+    assert got == {(r.run, r.material): tuple(getattr(r, c) for c in M.ADDED) for r in want.itertuples()}
+    out.explain(mode="formatted")
+    shuffled = re.findall(r"\) Exchange\nInput [^\n]*", capsys.readouterr().out)
+    assert any("_seg" in line for line in shuffled) and not any("_cuts" in line for line in shuffled)
